@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from siftwell.llm import truncation
+from siftwell.session import table
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_records(table(spark, d, "items"))
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, d, "items"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
