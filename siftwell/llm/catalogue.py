@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import truncation
+from siftwell.llm import spelling, truncation
 from siftwell.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.same_looking(table(spark, d, "items"))
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.canonical_texts(table(spark, d, "items")).select("id", "field", "canonical")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_records(table(spark, d, "items"))
 
@@ -16,5 +24,5 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(table(spark, d, "items"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
