@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import neardup, spelling, truncation
+from siftwell.llm import history, neardup, spelling, truncation
 from siftwell.session import table
 
 
@@ -16,6 +16,10 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return spelling.canonical_texts(table(spark, d, "items")).select("id", "field", "canonical")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats(table(spark, d, "items"), table(spark, d, "incoming_items"), table(spark, d, "sources"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(table(spark, d, "items"))
 
@@ -28,5 +32,5 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(table(spark, d, "items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p3_found": p3_found, "p6_found": p6_found, "p6_rates": p6_rates}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_rates": p6_rates}
 SQL: dict[str, str] = {}
