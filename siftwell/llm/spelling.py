@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shown import BLANK_CLASS, LOOKALIKES, canonical, replacements, suspect_class
+from siftwell.llm.shown import LOOKALIKES, canonical, replacements
+from siftwell.session import cut
 
 BUDGET = 0.0
 EDIT_COST = 1.0
@@ -35,7 +37,7 @@ EDIT_COST = 1.0
 #: A word as written: letters, digits, marks and invisible characters in a row; Han characters stand alone.
 _HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
 _RAW = re.compile(rf"(?:[^\W_{_HAN}]|[̀-ͯ­͏​-‏⁠-⁤﻿︀-️])+")
-_JAVA_PLAIN = r"(?<![\p{L}\p{M}\p{Cf}])[\p{IsLatin}\p{IsCyrillic}&&\p{L}][\p{IsLatin}\p{IsCyrillic}0-9&&[\p{L}0-9]]*(?![\p{L}\p{M}\p{Cf}])"
+_ASCII = re.compile(r"[A-Za-z0-9]+")
 
 
 @lru_cache(maxsize=1)
@@ -132,22 +134,37 @@ def _long(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return records.where("id is not null").select("id", F.explode(fields).alias("x")).select("id", "x.field", "x.text").where("text is not null")
 
 
-def _odd_words(text: str) -> list[str]:
-    return [] if text.isascii() else list(dict.fromkeys(w for w in _RAW.findall(text) if not w.isascii() and not plain(w)))
-
-
-def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        found = [(i, f, w) for i, f, t in zip(p.id, p.field, p.text, strict=True) for w in _odd_words(t)]
-        yield pd.DataFrame(found, columns=["id", "field", "word"])
+@lru_cache(maxsize=200_000)
+def _kind(word: str) -> bool:
+    return plain(word)
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a batch: vocabulary words with their counts (no id), and the odd words of each text."""
+    for b in batches:
+        ids, fields, texts = (b.column(i).to_pylist() for i in range(3))
+        known: Counter[str] = Counter()
+        odd = []
+        for i, f, t in zip(ids, fields, texts, strict=True):
+            if t.isascii():
+                known.update(_ASCII.findall(t))
+                continue
+            for w, n in Counter(_RAW.findall(t)).items():
+                if w.isascii() or _kind(w):
+                    known[w] += n
+                else:
+                    odd.append((i, f, w))
+        words = [w for w in known if not w.isdigit()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None] * len(words) + [x[k] for x in odd], t) if k < 2 else pa.array(words + [x[2] for x in odd], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            + [pa.array([known[w] for w in words] + [0] * len(odd), pa.int64())],
+            names=["id", "field", "word", "n"],
+        )
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
-        known = p["n"].notna() & p.word.map(plain)
-        odd = p["n"].isna()
-        p = p[known | odd]
-        yield pd.DataFrame({"key": p.word.map(meeting_key), "word": p.word, "n": p["n"].fillna(0).astype("int64")})
+        yield pd.DataFrame({"key": p.word.map(meeting_key), "word": p.word, "n": p["n"]})
 
 
 def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +182,12 @@ def _spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["word", "spelling"])
 
 
-def spellings(texts: DataFrame, odd: DataFrame) -> DataFrame:
-    """(word, spelling) for each distinct word of `odd`, by the vocabulary of all the texts (id, field, text)."""
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(_JAVA_PLAIN), F.lit(0))).alias("word"))
-    vocabulary = words.groupBy("word").agg(F.count("*").alias("n"))
-    both = vocabulary.unionByName(odd.select("word").distinct().withColumn("n", F.lit(None).cast("long")))
+def spellings(scan: DataFrame) -> DataFrame:
+    """(word, spelling) for each distinct odd word of a scan, by the vocabulary of all its texts."""
+    both = scan.groupBy("word").agg(F.sum("n").alias("n"))  # odd words have the count 0
     keyed = both.mapInPandas(_keyed, "key string, word string, n long")
-    return keyed.repartition("key").sortWithinPartitions("key", F.desc("n")).mapInPandas(_spell, "word string, spelling string")
+    meets = keyed.where("n = 0").select("key").distinct()
+    return keyed.join(meets, "key", "left_semi").repartition("key").sortWithinPartitions("key", F.desc("n")).mapInPandas(_spell, "word string, spelling string")
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,11 +208,12 @@ def _between(x: str) -> str:
 def canonical_texts(records: DataFrame, columns: tuple[str, ...] = ("title", "summary")) -> DataFrame:
     """(id, field, text, canonical): the stored and the canonical form of each text that isn't null."""
     texts = _long(records, columns)
-    odd_text = F.col("text").rlike(suspect_class()) | F.col("text").rlike(r"[\x{ff01}-\x{ff5e}]")
-    easy = texts.where(~odd_text).select("id", "field", "text", F.trim(F.regexp_replace("text", BLANK_CLASS + "+", " ")).alias("canonical"))
+    odd_text = F.col("text").rlike(r"[^\x20-\x7e]")
+    easy = texts.where(~odd_text).select("id", "field", "text", F.trim(F.regexp_replace("text", " +", " ")).alias("canonical"))
     hard = texts.where(odd_text)
-    words = hard.mapInPandas(_words_of, "id long, field string, word string")
-    to = spellings(texts, words)
+    scan = cut(texts.mapInArrow(_scan, "id long, field string, word string, n long"))
+    words = scan.where("n = 0").select("id", "field", "word")
+    to = spellings(scan)
     maps = words.join(to, "word").groupBy("id", "field").agg(F.collect_list(F.struct("word", "spelling")).alias("m"))  # the words of one text
     rewritten = (
         hard.join(maps, ["id", "field"], "left")
