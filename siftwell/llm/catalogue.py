@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import history, neardup, spelling, truncation
+from siftwell.llm import encoding, history, mixing, neardup, spans, spelling, survivor, truncation
 from siftwell.session import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(table(spark, d, "items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.best_fields(table(spark, d, "items"), table(spark, d, "sources"))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.records(table(spark, d, "items"), table(spark, d, "sources"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_records(table(spark, d, "items"))
 
@@ -32,5 +40,29 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(table(spark, d, "items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_rates": p6_rates}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.decode(encoding.encode(table(spark, d, "documents")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "sources"))
+
+
+def p8_selected(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.selected(table(spark, d, "documents"), table(spark, d, "mix_targets"), table(spark, d, "sources"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing(table(spark, d, "documents"))
+
+
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return spans.coverage(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_shares": p8_shares, "p8_selected": p8_selected, "p9_found": p9_found, "p9_coverage": p9_coverage}
 SQL: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """The text as a reader sees it: one canonical spelling per appearance.
 
-`canonical` works on one Python string. `shown` is the column: texts whose characters all stand for themselves
-stay in the JVM; only the others cross to Python, once, through Arrow. `folded` is a coarser fold for counting
+`canonical` works on one Python string. `shown` is the column: plain ASCII texts stay in the JVM; only the others cross
+to Python, once, through Arrow. `folded` is a coarser fold for counting
 (accents dropped as well), wholly in the JVM.
 """
 
@@ -86,17 +86,6 @@ def _ranges(points: list[int]) -> str:
     return "".join(out)
 
 
-@lru_cache(maxsize=1)
-def suspect_class() -> str:
-    """A Java character class of whatever `canonical` may change, beyond blanks and the wide forms that `shown` translates itself."""
-    own = set(map(ord, WIDE)) | set(map(ord, BLANKS))
-    odd = [o for o in replacements() if o not in own]
-    odd += [o for low, high in _RANGES for o in range(low, high) if o not in own and unicodedata.normalize("NFC", chr(o)) != chr(o)]
-    return f"[{_ranges(sorted(set(odd)))}\\p{{M}}]"
-
-
-WIDE = "".join(chr(o) for o in range(0xFF01, 0xFF5F) if o != 0xFF0D)
-NARROW = "".join(chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F) if o != 0xFF0D)
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 BLANK_CLASS = f"[{_ranges([ord(c) for c in BLANKS])}]"
 
@@ -108,8 +97,8 @@ def _canonical(texts: pd.Series) -> pd.Series:
 
 def shown(text: Column) -> Column:
     """`canonical` as a column; null stays null."""
-    easy = F.trim(F.regexp_replace(F.translate(text, WIDE, NARROW), BLANK_CLASS + "+", " "))
-    return F.coalesce(_canonical(F.when(text.rlike(suspect_class()), text)), easy)
+    easy = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.coalesce(_canonical(F.when(text.rlike(r"[^\x09-\x0d\x20-\x7e]"), text)), easy)
 
 
 @lru_cache(maxsize=1)
