@@ -1,10 +1,10 @@
 """Near-duplicate records: a binary-trie self-join of bit sketches.
 
-Each record that takes part is sketched by 128 minhash bits: two records differ in a bit with half the share by
-which their likeness falls short of one. The sketches of a block are a binary trie; the self-join goes down pairs of its
+Each record that takes part is sketched by 256 bits, two of each of 128 minhashes: two records differ in a bit with half
+the share by which their likeness falls short of one. The sketches of a block are a binary trie; the self-join goes down pairs of its
 nodes together, adds up the bits in which the two paths differ, and drops a pair of nodes once the Hamming budget
-is spent. The budget lies over three standard deviations beyond what a pair at the limit shows. What is left is
-compared exactly.
+is spent. The budget of 82 bits lies 2.3 standard deviations beyond what a pair of likeness 0.5 shows, 3.1 beyond one of 0.55
+and 4.1 beyond one of 0.6. What is left is compared exactly.
 
 Blocks: records that agree in one of 32 bands of three minhashes, so that the nodes of one trie can meet in one task. A
 pair of likeness 0.5 meets with probability 0.986, one of 0.55 with 0.997, one of 0.6 with 0.9996. Records of one and the
@@ -28,30 +28,35 @@ from pyspark.sql import functions as F
 from siftwell.llm.likeness import LIKE, gram_sets, with_likeness, words_of
 from siftwell.session import cut
 
-BANDS, ROWS, BITS = 32, 3, 128
-BUDGET = 46
+BANDS, ROWS, HASHES, BITS = 32, 3, 128, 256
+WORDS = BITS // 64
+BUDGET = 82
 BLOCK_ROWS = 20_000
 BUCKETS = 1 << 16
+_BITS = [f"w{i}" for i in range(WORDS)]
 _LEAF = 256
 _MOST_PAIRS = 1 << 21
 
 _rng = np.random.default_rng(20240229)
-_MUL = _rng.integers(0, 2**63, BITS, dtype="uint64") * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BITS, dtype="uint64")
+_MUL = _rng.integers(0, 2**63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
+_CHUNK = 512
 
 
-def sketches(offsets: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bands, high, low): 32-bit band codes [n, BANDS] and the two halves of the 128-bit sketch of each set."""
+def sketches(offsets: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit band codes [n, BANDS] and sketches [WORDS, n] of each set."""
     n = len(offsets) - 1
-    bands, mix = np.zeros((n, BANDS), "uint64"), np.uint64(0x9E3779B97F4A7C15)
-    halves = np.zeros((2, n), "uint64")
+    bands, mix = np.zeros((BANDS, n), "uint64"), np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros((WORDS, n), "uint64")
     with np.errstate(over="ignore"):
-        for j in range(BITS):
-            least = np.minimum.reduceat((grams * _MUL[j] + _ADD[j]) >> np.uint64(24), offsets[:-1])
-            halves[j // 64] |= (least & np.uint64(1)) << np.uint64(63 - j % 64)
-            if j < BANDS * ROWS:
-                bands[:, j // ROWS] = (bands[:, j // ROWS] ^ least) * mix
-    return (bands >> np.uint64(32)).astype("uint32"), halves[0], halves[1]
+        for s in range(0, n, _CHUNK):  # what fits the processor's cache
+            e = min(n, s + _CHUNK)
+            own, begins = grams[offsets[s] : offsets[e]], offsets[s:e] - offsets[s]
+            for j in range(HASHES):
+                least = np.minimum.reduceat(own * _MUL[j], begins)
+                bits[j // 32, s:e] |= ((least >> np.uint64(37)) & np.uint64(3)) << np.uint64(62 - 2 * (j % 32))
+                if j < BANDS * ROWS:
+                    bands[j // ROWS, s:e] = (bands[j // ROWS, s:e] ^ least) * mix
+    return (bands >> np.uint64(32)).astype("uint32").T.copy(), bits
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,18 +65,18 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, offsets, g = gram_sets([words_of(t, s) for t, s in zip(titles, summaries, strict=True)])
         if not len(rows):
             continue
-        bands, high, low = sketches(offsets, g)
+        bands, bits = sketches(offsets, g)
         with np.errstate(over="ignore"):
             one = np.add.reduceat(g, offsets[:-1])
             two = np.bitwise_xor.reduceat(g * np.uint64(0xD6E8FEB86659FD93) ^ (g >> np.uint64(32)), offsets[:-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in rows], pa.int64())] + [pa.array(x.view("int64")) for x in (one, two, high, low)]
+            [pa.array([ids[i] for i in rows], pa.int64())] + [pa.array(x.view("int64")) for x in (one, two, *bits)]
             + [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view("int32")))],
-            names=["id", "one", "two", "high", "low", "bands"],
+            names=["id", "one", "two", *_BITS, "bands"],
         )
 
 
-def trie_pairs(starts: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.ndarray | None = None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(starts: np.ndarray, bits: list[np.ndarray], side: np.ndarray | None = None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of one block whose sketches differ in at most `budget` bits.
 
     Rows are sorted by block and sketch, so that a trie node is a range of rows; starts: where the blocks begin, and the end.
@@ -86,12 +91,12 @@ def trie_pairs(starts: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.n
             continue
         leaf = ((a1 - a0) * (b1 - b0) <= _LEAF) | (depth == BITS)
         if leaf.any():
-            yield from _leaves(a0[leaf], a1[leaf], b0[leaf], b1[leaf], high, low, side, budget)
+            yield from _leaves(a0[leaf], a1[leaf], b0[leaf], b1[leaf], bits, side, budget)
             a0, a1, b0, b1, diff = (x[~leaf] for x in (a0, a1, b0, b1, diff))
         if not len(a0) or depth == BITS:
             continue
-        word, shift = (high, 63 - depth) if depth < 64 else (low, 127 - depth)
-        ones = np.concatenate([[0], np.cumsum(((word >> np.uint64(shift)) & np.uint64(1)).astype("int64"))])
+        word, shift = bits[depth // 64], np.uint64(63 - depth % 64)
+        ones = np.concatenate([[0], np.cumsum(((word >> shift) & np.uint64(1)).astype("int64"))])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         own = a0 == b0  # node ranges of one depth are equal or apart
         parts = [(a0, am, b0, bm, diff), (am, a1, bm, b1, diff), (a0, am, bm, b1, diff + 1), (am[~own], a1[~own], b0[~own], bm[~own], diff[~own] + 1)]
@@ -102,7 +107,7 @@ def trie_pairs(starts: np.ndarray, high: np.ndarray, low: np.ndarray, side: np.n
             stack.append((depth + 1, *(x[k : k + _MOST_PAIRS] for x in (a0, a1, b0, b1, diff))))
 
 
-def _leaves(a0, a1, b0, b1, high, low, side, budget):
+def _leaves(a0, a1, b0, b1, bits, side, budget):
     """Row pairs of leaf pairs, in pieces of bounded size."""
     count = (a1 - a0) * (b1 - b0)
     cuts = np.searchsorted(np.cumsum(count), np.arange(_MOST_PAIRS, count.sum() + _MOST_PAIRS, _MOST_PAIRS), "left") + 1
@@ -117,24 +122,24 @@ def _leaves(a0, a1, b0, b1, high, low, side, budget):
         keep = i < j if side is None else (side[i] != side[j])
         keep &= (a0[which] != b0[which]) | (i < j)
         i, j = i[keep], j[keep]
-        near = np.bitwise_count(high[i] ^ high[j]).astype("int64") + np.bitwise_count(low[i] ^ low[j]) <= budget
+        near = sum(np.bitwise_count(w[i] ^ w[j]).astype("int64") for w in bits) <= budget
         yield i[near], j[near]
 
 
 def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, side, id, high, low) sorted by key and part: the near pairs of each block."""
+    """Rows (key, part, side, id, *_BITS) sorted by key and part: the near pairs of each block."""
     held: list[np.ndarray] | None = None
     flush = 200_000
 
     def joined(cols: list[np.ndarray]):
-        key, part, side, ids, high, low = cols
-        high, low = high.view("uint64"), low.view("uint64")
+        key, part, side, ids = cols[:4]
+        bits = [x.view("uint64") for x in cols[4:]]
         begins = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, [len(key)]])
         block = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
         many = np.diff(begins)[block] > 1
-        side, ids, high, low, block = (x[many] for x in (side, ids, high, low, block))
-        order = np.lexsort((low, high, block))
-        side, ids, high, low, block = (x[order] for x in (side, ids, high, low, block))
+        side, ids, block, *bits = (x[many] for x in (side, ids, block, *bits))
+        order = np.lexsort((*reversed(bits), block))
+        side, ids, block, *bits = (x[order] for x in (side, ids, block, *bits))
         starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, "int64")
         # a part beside itself has side -1 and joins all its rows; two different parts have sides 0 and 1
         for crossed in (False, True):
@@ -143,7 +148,7 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = (side >= 0)[starts[:-1]] == crossed if len(starts) > 1 else np.empty(0, bool)
             for s, e in _runs(starts, chosen):
                 sub = starts[s : e + 1]
-                for i, j in trie_pairs(sub, high, low, side if crossed else None):
+                for i, j in trie_pairs(sub, bits, side if crossed else None):
                     x, y = ids[i], ids[j]
                     found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
                     found = found[found[:, 0] != found[:, 1]]
@@ -151,7 +156,7 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id_a", "id_b"])
 
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 + WORDS)]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
         if len(held[0]) >= flush:
             key, part = held[0], held[1]
@@ -176,13 +181,13 @@ def _runs(starts: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _blocks(reps: DataFrame) -> DataFrame:
-    """(key, part, side, id, high, low), with blocks of more than BLOCK_ROWS rows split into pairs of parts."""
-    rows = reps.select("id", "high", "low", F.posexplode("bands").alias("band", "code"))
-    rows = rows.select((F.shiftleft(F.col("band").cast("long"), 32) + (F.col("code").cast("long") + F.lit(1 << 31))).alias("key"), "id", "high", "low")
+    """(key, part, side, id, *_BITS), with blocks of more than BLOCK_ROWS rows split into pairs of parts."""
+    rows = reps.select("id", *_BITS, F.posexplode("bands").alias("band", "code"))
+    rows = rows.select((F.shiftleft(F.col("band").cast("long"), 32) + (F.col("code").cast("long") + F.lit(1 << 31))).alias("key"), "id", *_BITS)
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
     # at most rows / BLOCK_ROWS buckets can be so full
     full = [r["b"] for r in rows.groupBy(bucket.alias("b")).count().where(F.col("count") > BLOCK_ROWS).select("b").collect()]
-    whole = rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "id", "high", "low")
+    whole = rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "id", *_BITS)
     if not full:
         return whole
     counts = rows.where(bucket.isin(full)).groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
@@ -191,21 +196,21 @@ def _blocks(reps: DataFrame) -> DataFrame:
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    split = split.select("key", (low * F.col("parts") + high).alias("part"), side.alias("side"), "id", "high", "low")
+    split = split.select("key", (low * F.col("parts") + high).alias("part"), side.alias("side"), "id", *_BITS)
     return whole.join(hot, "key", "left_anti").unionByName(split)
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(id, one, two, high, low, bands) of each record that takes part, kept in the shared folder."""
-    return cut(records.where("id is not null").select("id", "title", "summary").mapInArrow(_sketch_rows, "id long, one long, two long, high long, low long, bands array<int>"))
+    """(id, one, two, *_BITS, bands) of each record that takes part, kept in the shared folder."""
+    return cut(records.where("id is not null").select("id", "title", "summary").mapInArrow(_sketch_rows, "id long, one long, two long, " + "".join(f"{w} long, " for w in _BITS) + "bands array<int>"))
 
 
 def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of each record that takes part, and (rep_a, rep_b) of the classes that are alike."""
     found = classes(records)
-    reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"), F.min_by(F.struct("high", "low", "bands"), "id").alias("x"))
+    reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"), F.min_by(F.struct(*_BITS, "bands"), "id").alias("x"))
     members = found.select("id", "one", "two").distinct().join(reps.select("rep", "one", "two"), ["one", "two"]).select("id", "rep")
-    blocks = _blocks(reps.select(F.col("rep").alias("id"), "x.high", "x.low", "x.bands"))
+    blocks = _blocks(reps.select(F.col("rep").alias("id"), "x.*"))
     near = blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct()
     alike = with_likeness(near, records).where(F.col("likeness") >= like)
     return members, alike.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
