@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Parameters that don't tell pages apart.
 PAGE_TRACKING = r"^(utm_[^=]*|ref|ref_src|source|spm|fbclid|gclid|mc_cid)(=|$)"
@@ -20,3 +26,70 @@ def page_key(url: Column) -> Column:
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
     params = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(PAGE_TRACKING))), "&")
     return F.when(host != "", F.concat(scheme, F.lit("://"), host, path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise("")))
+
+
+# Parameters that a canonical address leaves out besides those beginning with utm_.
+TRACKING = ["fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "spm"]
+
+
+def hostname(url: Column) -> Column:
+    """The host in lower case without `www.`; '' if there is none."""
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.regexp_replace(host, r"^www\.", "")
+
+
+def domain_allowed(url: Column, domains: Column) -> Column:
+    """Whether the host is one of the domains or below one."""
+    host = hostname(url)
+
+    def matches(d: Column) -> Column:
+        domain = F.regexp_replace(F.lower(d), r"^www\.", "")
+        return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
+
+    return F.coalesce(F.exists(domains, matches) & (host != ""), F.lit(False))
+
+
+def _canonical(value: str) -> str:
+    """The canonical form of any address, for those that the native expression leaves alone."""
+    text = html.unescape(value.strip())
+    if not text:
+        return ""
+    try:
+        parts = urlsplit(text)
+        if not parts.scheme and parts.path:
+            parts = urlsplit(f"https://{text}")
+        scheme, host, port = parts.scheme or "https", (parts.hostname or "").removeprefix("www."), parts.port
+    except ValueError:
+        return text
+    place = host if port in (None, 0, {"https": 443, "http": 80}.get(scheme)) else f"{host}:{port}"
+    path = re.sub("/+", "/", parts.path or "/")
+    kept = sorted((k, v) for k, v in parse_qsl(parts.query) if not k.lower().startswith("utm_") and k.lower() not in TRACKING)
+    return urlunsplit((scheme, place, path if path == "/" else path.rstrip("/"), urlencode(kept), ""))
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_column(values: pd.Series) -> pd.Series:
+    return values.map(_canonical, na_action="ignore")
+
+
+def canonical_url(url: Column) -> Column:
+    """The canonical form of an address: lower host without `www.`, no default port, fragment, user or tracking
+    parameters, single slashes, none at the end, parameters in order and blank ones gone. Null is ''.
+
+    Plain http addresses are rewritten natively; what needs decoding, a scheme or a user goes through Arrow.
+    """
+    u = F.trim(F.coalesce(url, F.lit("")))
+    plain = u.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.\-]+(:[0-9]{1,5})?(/[A-Za-z0-9._~/\-]*)?(\?[A-Za-z0-9._\-=&]*)?(#[^\s]*)?$") & ~F.contains(F.lower(u), F.lit("&amp"))
+    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1))
+    place = F.regexp_replace(F.lower(F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1)), r"^www\.", "")
+    place = F.regexp_replace(F.regexp_replace(place, ":0+$", ""), ":0*([1-9][0-9]*)$", ":$1")
+    place = F.when(scheme == "https", F.regexp_replace(place, ":443$", "")).otherwise(F.regexp_replace(place, ":80$", ""))
+    path = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(u, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)), "/+", "/")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
+    keep = r"^(?i)(?!utm_|(?:" + "|".join(TRACKING) + r")=)[^=]*=.+$"
+    pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike(keep))
+    # a control character in place of the first '=' makes the order that of (name, value)
+    split_ = F.transform(pairs, lambda p: F.regexp_replace(p, "^([^=]*)=", "$1\x01"))
+    query = F.array_join(F.transform(F.array_sort(split_), lambda p: F.replace(F.replace(p, F.lit("="), F.lit("%3D")), F.lit("\x01"), F.lit("="))), "&")
+    native = F.concat(scheme, F.lit("://"), place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(plain, native).otherwise(_canonical_column(F.when(~plain, u)))
