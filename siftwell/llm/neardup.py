@@ -3,11 +3,11 @@
 Each record that takes part is sketched by 256 bits, two of each of 128 minhashes: two records differ in a bit with half
 the share by which their likeness falls short of one. The sketches of a block are a binary trie; the self-join goes down pairs of its
 nodes together, adds up the bits in which the two paths differ, and drops a pair of nodes once the Hamming budget
-is spent. The budget of 82 bits lies 2.3 standard deviations beyond what a pair of likeness 0.5 shows, 3.1 beyond one of 0.55
-and 4.1 beyond one of 0.6. What is left is compared exactly.
+is spent. The budget of 86 bits lies 2.7 standard deviations beyond what a pair of likeness 0.5 shows, 3.6 beyond one of 0.55
+and 4.6 beyond one of 0.6. What is left is compared exactly.
 
-Blocks: records that agree in one of 32 bands of three minhashes, so that the nodes of one trie can meet in one task. A
-pair of likeness 0.5 meets with probability 0.986, one of 0.55 with 0.997, one of 0.6 with 0.9996. Records of one and the
+Blocks: records that agree in one of 40 bands of three minhashes, so that the nodes of one trie can meet in one task. A
+pair of likeness 0.5 meets with probability 0.995, one of 0.55 with 0.9993, one of 0.6 with 0.9999. Records of one and the
 same set of sequences are one class: only its representative is joined, and its members are put back at the end.
 A block of more than BLOCK_ROWS rows is split into parts, each pair of parts being its own task; such blocks are found
 by bucket counts first, and no row is left out.
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.likeness import LIKE, gram_sets, with_likeness, words_of
 from siftwell.session import cut
 
-BANDS, ROWS, HASHES, BITS = 32, 3, 128, 256
+BANDS, ROWS, HASHES, BITS = 40, 3, 128, 256
 WORDS = BITS // 64
-BUDGET = 82
+BUDGET = 86
 BLOCK_ROWS = 20_000
 BUCKETS = 1 << 16
 _BITS = [f"w{i}" for i in range(WORDS)]
@@ -211,7 +211,7 @@ def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]
     reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"), F.min_by(F.struct(*_BITS, "bands"), "id").alias("x"))
     members = found.select("id", "one", "two").distinct().join(reps.select("rep", "one", "two"), ["one", "two"]).select("id", "rep")
     blocks = _blocks(reps.select(F.col("rep").alias("id"), "x.*"))
-    near = blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct()
+    near = cut(blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct())
     alike = with_likeness(near, records).where(F.col("likeness") >= like)
     return members, alike.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
 
