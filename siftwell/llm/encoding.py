@@ -1,9 +1,9 @@
 """Encoding a whole corpus with a public byte-pair tokenizer: each distinct word is encoded once.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. Documents are dealt into blocks of at most BLOCK_IDS
-ids; a block sends each of its distinct words once into the global shuffle of words, where each distinct word of
-the corpus is encoded once and its ids are joined back to the blocks that asked; every block then reassembles its texts
-by the positions of their words. So what is shuffled is the texts, once, and words, not every occurrence of one.
+ids; a block sends each of its distinct words once into the global shuffle of words. There each distinct word of
+the corpus is met in one place, encoded once, and its ids are joined to all blocks that asked; every block then
+reassembles its texts by the positions of their words. So what is shuffled is the texts, once, and words, not every occurrence of one.
 Decoding joins the table of the tokens' bytes by id and reassembles by position.
 
 Defined results: null and empty texts have an empty list of ids; texts of any length are encoded whole; repeated rows and equal
@@ -79,32 +79,46 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _encode(path: str):
+def _id_type(path: str) -> str:
+    return "uint16" if max(ranks(path).values()) < 1 << 16 else "uint32"
+
+
+def _answer(path: str):
+    """(block, word) to (block, word, ids); all rows of a word are in one partition, where it is encoded once."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _whole(path).encode_ordinary
+        encode_, kind, known = _whole(path).encode_ordinary, _id_type(path), {}
         for b in batches:
-            words = b.column(0)
-            ids = [np.array(encode(w), "int32").tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+            words, ids = b.column(1).to_pylist(), []
+            for w in words:
+                if (x := known.get(w)) is None:
+                    x = known[w] = np.array(encode_(w), kind).tobytes()
+                ids.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["block", "word", "ids"])
+            if len(known) > 1_000_000:
+                known = {}
 
     return rows
 
 
-def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-    out = [b"".join(map(known.__getitem__, _SPLIT.findall(t))) if t else b"" for t in docs.column("text").to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype("int32")
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "int32")))
-    return pa.table([docs.column("doc_id").combine_chunks(), lists], names=["doc_id", "ids"])
+def _assemble(kind: str):
+    def rows(docs: pa.Table, words: pa.Table) -> pa.Table:
+        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+        out = [b"".join(map(known.__getitem__, _SPLIT.findall(t))) if t else b"" for t in docs.column("text").to_pylist()]
+        flat = np.frombuffer(b"".join(out), kind).astype("int32")
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]) // np.dtype(kind).itemsize
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(flat))
+        return pa.table([docs.column("doc_id").combine_chunks(), lists], names=["doc_id", "ids"])
+
+    return rows
 
 
 def encode(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, ids): one row for each row of documents (doc_id, text)."""
     blocks = documents.select("doc_id", "text", F.floor(F.coalesce("doc_id", F.lit(0)) / BLOCK_IDS).cast("long").alias("block"))
-    asked = blocks.select("block", "text").mapInArrow(_distinct, "block long, word string").distinct()
-    known = asked.select("word").distinct().mapInArrow(_encode(path), "word string, ids binary")
-    told = asked.join(known, "word").select("block", "word", "ids")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    asked = blocks.select("block", "text").mapInArrow(_distinct, "block long, word string")
+    told = asked.repartition("word").mapInArrow(_answer(path), "block long, word string, ids binary")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble(_id_type(path)), "doc_id long, ids array<int>")
 
 
 def token_bytes(spark, path: str = TOKENIZER) -> DataFrame:
