@@ -132,7 +132,7 @@ def clipped(value: Column, most: int) -> Column:
 
 def unique_in_order(values: Column) -> Column:
     """Trimmed values that aren't empty, each once, in order of appearance."""
-    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def clipped_list(values: Column, most: int, length: int) -> Column:
