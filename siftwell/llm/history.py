@@ -174,9 +174,11 @@ class History:
         heads = new.join(members.where("id = rep").select("id"), "id", "left_semi")
         old, own = cut(self._related(self.cells(), heads)), cut(self._related(heads, heads).where("old < new"))
         accepted = cut(self._settle(heads, old, own))
+        found = self._repeats(members, old, own, accepted)
         if append_as:
+            found = cut(found)  # before the history holds what was accepted just now
             self.append(new.join(accepted.select("id"), "id", "left_semi").drop("batch_id"), append_as)
-        return self._repeats(members, old, own, accepted)
+        return found
 
     def _related(self, old: DataFrame, new: DataFrame) -> DataFrame:
         """(old, new) of records that are near in time and have one fingerprint or are alike."""

@@ -10,7 +10,7 @@ A window that more than HOT documents hold isn't paired: each of its occurrences
 around it by hash, and documents meet only where such a run is equal. That decides the same pairs exactly.
 
 Defined results: null, empty and shorter texts share nothing; a document doesn't share with itself; line ends, emoji and
-other characters are compared as they are; equal texts share all of themselves; very long texts are cut into overlapping
+other characters are compared as they are; equal texts share all of themselves; periodic texts are compared once a shift; very long texts are cut into overlapping
 pieces for hashing only; repeated rows of a doc_id are one document; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -195,6 +195,33 @@ def _extend(a: str, b: str, i: int, j: int) -> tuple[int, int, int]:
     return i - back, j - back, back + on
 
 
+def _progressions(pos: list[int]) -> list[tuple[int, int, int]]:
+    """Positions as (start, step, count): rows of three or more at one distance, as periodic text has them, and single ones."""
+    pos, out, k = sorted(set(pos)), [], 0
+    while k < len(pos):
+        n = k + 1
+        while n + 1 < len(pos) and pos[n + 1] - pos[n] == pos[k + 1] - pos[k]:
+            n += 1
+        if n < len(pos) and n - k >= 2:
+            out.append((pos[k], pos[k + 1] - pos[k], n - k + 1))
+            k = n + 1
+        else:
+            out.append((pos[k], 0, 1))
+            k += 1
+    return out
+
+
+def _starts(pos_a: list[int], pos_b: list[int]) -> Iterator[tuple[int, int]]:
+    """Pairs of positions, one on each diagonal of a pair of periodic stretches, all of the others."""
+    for a, d, m in _progressions(pos_a):
+        for b, e, n in _progressions(pos_b):
+            if d and d == e:
+                yield from ((a + d * k, b) for k in range(m))
+                yield from ((a, b + d * k) for k in range(1, n))
+            else:
+                yield from ((a + d * i, b + e * j) for i in range(m) for j in range(n))
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["doc_a", "doc_b", "start_a", "start_b", "length"]
     for p in batches:
@@ -202,13 +229,13 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, y, a, b, at in zip(p.doc_a, p.doc_b, p.text_a, p.text_b, p["at"], strict=True):
             done: dict[int, list[tuple[int, int]]] = {}
             for r in at:
-                i, j = r["pos_a"], r["pos_b"]
-                if any(s <= i < e for s, e in done.get(i - j, ())) or a[i : i + GRAM] != b[j : j + GRAM]:
-                    continue
-                s, t, n = _extend(a, b, i, j)
-                done.setdefault(i - j, []).append((s, s + n))
-                if n >= LEAST:
-                    out.add((x, y, s, t, n))
+                for i, j in _starts(list(r["pos_a"]), list(r["pos_b"])):
+                    if any(s <= i < e for s, e in done.get(i - j, ())) or a[i : i + GRAM] != b[j : j + GRAM]:
+                        continue
+                    s, t, n = _extend(a, b, i, j)
+                    done.setdefault(i - j, []).append((s, s + n))
+                    if n >= LEAST:
+                        out.add((x, y, s, t, n))
         yield pd.DataFrame(list(out), columns=names)
 
 
@@ -227,8 +254,9 @@ def shared_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     the runs of LEAST characters (run, doc, start) that more than one document holds."""
     windows = repeated_windows(documents)
     few, many = windows.where(F.col("docs") <= HOT), windows.where(F.col("docs") > HOT)
-    a, b = (few.select("h", F.col("doc").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
-    meet = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("at"))
+    held = few.groupBy("h", "doc").agg(F.collect_list("pos").alias("pos"))  # the places of a window in one document
+    a, b = (held.select("h", F.col("doc").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
+    meet = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("pos_a", "pos_b")).alias("at"))
     texts = cut(_texts_of(documents, few.select("doc")))
     meet = meet.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a").join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     pairs = meet.mapInPandas(_runs, "doc_a long, doc_b long, start_a long, start_b long, length long")

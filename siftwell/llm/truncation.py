@@ -5,7 +5,7 @@ text's first by their first letter: names and figures are too many to count one
 corpus is counted where the text goes on and where it ends. The final trigram of a text tells that the text was
 cut when it is frequent inside and almost never last. The share of ends is estimated in three steps, so that a
 trigram seen rarely (its last word is broken off) leans on its first two words with the kind of the third, those on
-the last word alone, and that on all words; a text's own end isn't counted for itself. A mark of elision at the end (three dots, bracketed or with a "read more", an unclosed tag, a broken entity or character) is taken
+the last word alone; a text's own end isn't counted for itself, and without evidence a text isn't cut. A mark of elision at the end (three dots, bracketed or with a "read more", an unclosed tag, a broken entity or character) is taken
 off first and tells of a cut by itself.
 
 Defined results: null, blank and empty texts aren't cut; a text of fewer than three words is padded at its start;
@@ -25,8 +25,10 @@ from siftwell.session import cut
 MORE = ["more", "read more", "continue reading", "keep reading", "full story", "weiterlesen", "mehr", "lire la suite", "suite", "leer mas", "seguir leyendo", "читать далее", "далее", "阅读全文", "全文", "更多"]
 #: A text is cut if less than this share of its final trigram's occurrences is last.
 LAST_SHARE = 0.04
-#: The occurrences that the wider estimate counts for beside a trigram's own.
-PRIOR = 30
+#: The occurrences that the wider estimate counts for beside a trigram's own, and beside those of a pair or a word.
+PRIOR, WIDER = 30, 10
+#: The share of ends at a word of which nothing is known: without evidence a text isn't cut.
+UNKNOWN = 0.2
 
 #: Characters at the end of a text in which a mark of elision is looked for.
 MARK_CHARS = 80
@@ -42,7 +44,7 @@ SELECT xxhash64(x, y, {_KIND}) AS pair, xxhash64(x, y, z) AS tri, xxhash64(z) AS
 FROM (
   SELECT n, pos, col.`0` AS x, col.`1` AS y, col.`2` AS z
   FROM (SELECT size(w) - 3 AS n, arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2)) AS grams FROM {{words}} WHERE size(w) > 2)
-  LATERAL VIEW posexplode(grams) AS pos, col
+  LATERAL VIEW OUTER posexplode(grams) AS pos, col
 )
 GROUP BY 1, 2, 3
 """
@@ -56,10 +58,9 @@ _JUDGED = """
 WITH finals AS (SELECT DISTINCT pair, tri, one FROM {final}),
 pairs AS (SELECT pair, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY pair),
 ones AS (SELECT one, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY one),
-whole AS (SELECT sum(ends) / (sum(inside) + sum(ends)) AS share FROM ones),
-words AS (SELECT one, (ends - 1 + {prior} * (SELECT share FROM whole)) / (inside + ends - 1 + {prior}) AS share FROM ones WHERE ends > 0),
+words AS (SELECT one, (ends - 1 + {wider} * {unknown}) / (inside + ends - 1 + {wider}) AS share FROM ones WHERE ends > 0),
 shares AS (
-  SELECT f.pair, f.tri, f.one, (t.ends - 1 + {prior} * (p.ends - 1 + {prior} * o.share) / (p.inside + p.ends - 1 + {prior})) / (t.inside + t.ends - 1 + {prior}) AS share
+  SELECT f.pair, f.tri, f.one, (t.ends - 1 + {prior} * (p.ends - 1 + {wider} * o.share) / (p.inside + p.ends - 1 + {wider})) / (t.inside + t.ends - 1 + {prior}) AS share
   FROM finals f
   JOIN {counts} t ON f.tri = t.tri AND f.pair = t.pair AND f.one = t.one
   JOIN pairs p ON f.pair = p.pair
@@ -97,7 +98,7 @@ def judged(records: DataFrame, column: str = "summary") -> DataFrame:
     near = once(spark.sql(f"SELECT id, source_id, marked, classed, {_TOKENS.format('right(classed, 160)')} AS near FROM {{texts}}", texts=texts), "near")
     tails = once(spark.sql(f"SELECT id, source_id, marked, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
     final = spark.sql(_FINAL, tails=tails)
-    return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, share=LAST_SHARE)
+    return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
 
 
 def cut_records(records: DataFrame, column: str = "summary") -> DataFrame:
