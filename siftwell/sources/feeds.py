@@ -60,12 +60,12 @@ def entries(payload: bytes) -> Iterator[dict]:
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _RAW.split(", ")]
     for p in batches:
-        out = []
+        out, blank = [], dict.fromkeys(columns)
         for source, payload in zip(p.source_id, p.payload, strict=True):
             try:
-                out += [{"source_id": source, **e, "error": None} for e in entries(bytes(payload))]
+                out += [blank | {"source_id": source} | e for e in entries(bytes(payload))]
             except Exception as e:
-                out.append({"source_id": source, "error": f"{type(e).__name__}: {e}"})
+                out.append(blank | {"source_id": source, "error": f"{type(e).__name__}: {e}"})
         yield pd.DataFrame(out, columns=columns).astype({"total": "Int32"})
 
 

@@ -130,10 +130,10 @@ def listing(payload: bytes) -> tuple[int | None, list[dict]]:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _ROWS.split(", ")]
     for p in batches:
-        out = []
+        out, blank = [], dict.fromkeys(columns)
         for page, category, payload in zip(p.page_id, p.category, p.payload, strict=True):
             total, rows = listing(bytes(payload))
-            out += [{"page_id": page, "category": category, "total": total, **r} for r in rows]
+            out += [blank | {"page_id": page, "category": category, "total": total} | r for r in rows]
         yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("total", "section_shown", "section_of", "place")})
 
 
