@@ -5,8 +5,9 @@ text's first by their first letter: names and figures are too many to count one
 corpus is counted where the text goes on and where it ends. The final trigram of a text tells that the text was
 cut when it is frequent inside and almost never last. The share of ends is estimated in three steps, so that a
 trigram seen rarely (its last word is broken off) leans on its first two words with the kind of the third, those on
-the last word alone; a text's own end isn't counted for itself, and without evidence a text isn't cut. A mark of elision at the end (three dots, bracketed or with a "read more", an unclosed tag, a broken entity or character) is taken
-off first and tells of a cut by itself.
+the last word alone; a text's own end isn't counted for itself, equal long ends (of copies) count once, and without
+evidence a text isn't cut. A mark of elision at the end (three dots, bracketed or with a "read more", an unclosed tag, a
+broken entity or character) is taken off first and tells of a cut by itself.
 
 Defined results: null, blank and empty texts aren't cut; a text of fewer than three words is padded at its start;
 repeated rows count as often as they occur and give one result each; extra columns are ignored; an empty table gives
@@ -25,8 +26,9 @@ from siftwell.session import cut
 MORE = ["more", "read more", "continue reading", "keep reading", "full story", "weiterlesen", "mehr", "lire la suite", "suite", "leer mas", "seguir leyendo", "читать далее", "далее", "阅读全文", "全文", "更多"]
 #: A text is cut if less than this share of its final trigram's occurrences is last.
 LAST_SHARE = 0.04
-#: The occurrences that the wider estimate counts for beside a trigram's own, and beside those of a pair or a word.
-PRIOR, WIDER = 30, 10
+#: The occurrences that the wider estimate counts for beside a trigram's own, beside those of a pair or a word, and beside those of a
+#: pair before a sign, of which there are always enough.
+PRIOR, WIDER, SIGN = 30, 4, 30
 #: The share of ends at a word of which nothing is known: without evidence a text isn't cut.
 UNKNOWN = 0.2
 
@@ -36,31 +38,36 @@ MARK_CHARS = 80
 _TOKENS = "concat(array('^', '^'), regexp_extract_all({0}, '\\\\p{{{{IsHan}}}}|\\\\^?\\\\p{{{{L}}}}+9?|[^\\\\s]', 0))"
 
 #: The kind of a word: a name, another word of letters, or the sign itself.
-_KIND = """CASE WHEN right(z, 1) = '9' THEN 'N'
+_KIND = """CASE WHEN right(z, 1) = '9' OR (length(z) = 1 AND (ascii(z) BETWEEN 65 AND 90 OR ascii(z) BETWEEN 1040 AND 1071)) THEN 'N'
   WHEN ascii(z) BETWEEN 97 AND 122 OR ascii(z) BETWEEN 65 AND 90 OR ascii(z) BETWEEN 192 AND 8191 OR ascii(z) BETWEEN 12352 AND 65280 THEN 'w' ELSE z END"""
 
 _COUNTS = f"""
-SELECT xxhash64(x, y, {_KIND}) AS pair, xxhash64(x, y, z) AS tri, xxhash64(z) AS one, sum(IF(pos = n, 0L, 1L)) AS inside, sum(IF(pos = n, 1L, 0L)) AS ends
+SELECT pair, tri, one, sum(inside) AS inside, sum(ends) AS ends
 FROM (
-  SELECT n, pos, col.`0` AS x, col.`1` AS y, col.`2` AS z
-  FROM (SELECT size(w) - 3 AS n, arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2)) AS grams FROM {{words}} WHERE size(w) > 2)
-  LATERAL VIEW OUTER posexplode(grams) AS pos, col
+  SELECT xxhash64(x, y, {_KIND}) AS pair, xxhash64(x, y, z) AS tri, xxhash64(z) AS one, 1L AS inside, 0L AS ends
+  FROM (
+    SELECT n, pos, col.`0` AS x, col.`1` AS y, col.`2` AS z
+    FROM (SELECT size(w) - 3 AS n, arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2)) AS grams FROM {{words}} WHERE size(w) > 3)
+    LATERAL VIEW OUTER posexplode(grams) AS pos, col
+  ) WHERE pos < n
+  UNION ALL
+  SELECT pair, tri, one, 0L, 1L FROM (SELECT DISTINCT pair, tri, one, tail FROM {{final}})
 )
-GROUP BY 1, 2, 3
+GROUP BY pair, tri, one
 """
 
 _FINAL = f"""
-SELECT id, source_id, marked, xxhash64(x, y, {_KIND}) AS pair, xxhash64(x, y, z) AS tri, xxhash64(z) AS one
-FROM (SELECT id, source_id, marked, w[size(w) - 3] AS x, w[size(w) - 2] AS y, w[size(w) - 1] AS z FROM {{tails}} WHERE size(w) > 2)
+SELECT id, source_id, marked, tail, xxhash64(x, y, {_KIND}) AS pair, xxhash64(x, y, z) AS tri, xxhash64(z) AS one, IF({_KIND} = z, {{sign}}, {{wider}}) AS weight
+FROM (SELECT id, source_id, marked, tail, w[size(w) - 3] AS x, w[size(w) - 2] AS y, w[size(w) - 1] AS z FROM {{tails}} WHERE size(w) > 2)
 """
 
 _JUDGED = """
-WITH finals AS (SELECT DISTINCT pair, tri, one FROM {final}),
+WITH finals AS (SELECT DISTINCT pair, tri, one, weight FROM {final}),
 pairs AS (SELECT pair, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY pair),
 ones AS (SELECT one, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY one),
 words AS (SELECT one, (ends - 1 + {wider} * {unknown}) / (inside + ends - 1 + {wider}) AS share FROM ones WHERE ends > 0),
 shares AS (
-  SELECT f.pair, f.tri, f.one, (t.ends - 1 + {prior} * (p.ends - 1 + {wider} * o.share) / (p.inside + p.ends - 1 + {wider})) / (t.inside + t.ends - 1 + {prior}) AS share
+  SELECT f.pair, f.tri, f.one, (t.ends - 1 + {prior} * (p.ends - 1 + f.weight * o.share) / (p.inside + p.ends - 1 + f.weight)) / (t.inside + t.ends - 1 + {prior}) AS share
   FROM finals f
   JOIN {counts} t ON f.tri = t.tri AND f.pair = t.pair AND f.one = t.one
   JOIN pairs p ON f.pair = p.pair
@@ -93,11 +100,11 @@ def judged(records: DataFrame, column: str = "summary") -> DataFrame:
     spark = records.sparkSession
     texts = _classed(records, column)
     words = once(spark.sql(f"SELECT {_TOKENS.format('classed')} AS w FROM {{texts}}", texts=texts), "w")
-    counts = cut(spark.sql(_COUNTS, words=words))
     # the last three words: of the last characters, unless these hold fewer than six words
     near = once(spark.sql(f"SELECT id, source_id, marked, classed, {_TOKENS.format('right(classed, 160)')} AS near FROM {{texts}}", texts=texts), "near")
-    tails = once(spark.sql(f"SELECT id, source_id, marked, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
-    final = spark.sql(_FINAL, tails=tails)
+    tails = once(spark.sql(f"SELECT id, source_id, marked, IF(length(classed) > 60, xxhash64(right(classed, 60)), xxhash64(id)) AS tail, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
+    final = cut(spark.sql(_FINAL, tails=tails, wider=WIDER, sign=SIGN))
+    counts = cut(spark.sql(_COUNTS, words=words, final=final))
     return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
 
 
