@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import encoding, history, mixing, neardup, spans, spelling, survivor, truncation
-from siftwell.session import table
+from siftwell.session import spread
+from siftwell.session import table as plain_table
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(plain_table(spark, d, name))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
