@@ -33,7 +33,8 @@ WORDS = BITS // 64
 BUDGET = 86
 BLOCK_ROWS = 20_000
 BUCKETS = 1 << 16
-_BITS = [f"w{i}" for i in range(WORDS)]
+ODD = 8
+_BITS, _ODDS = [f"w{i}" for i in range(WORDS)], [f"o{i}" for i in range(ODD)]
 _LEAF = 256
 _MOST_PAIRS = 1 << 21
 
@@ -59,6 +60,13 @@ def sketches(offsets: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.nda
     return (bands >> np.uint64(32)).astype("uint32").T.copy(), bits
 
 
+def parities(offsets: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """[ODD, n] words of the parity of each set's sequences, dealt to 64 * ODD bits by their hash."""
+    bit = (grams >> np.uint64(20)) & np.uint64(64 * ODD - 1)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    return np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == w, one, np.uint64(0)), offsets[:-1]) for w in range(ODD)])
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, titles, summaries = (b.column(i).to_pylist() for i in range(3))
@@ -70,9 +78,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = np.add.reduceat(g, offsets[:-1])
             two = np.bitwise_xor.reduceat(g * np.uint64(0xD6E8FEB86659FD93) ^ (g >> np.uint64(32)), offsets[:-1])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in rows], pa.int64())] + [pa.array(x.view("int64")) for x in (one, two, *bits)]
+            [pa.array([ids[i] for i in rows], pa.int64())] + [pa.array(x.view("int64")) for x in (one, two, *bits, *parities(offsets, g))] + [pa.array(np.diff(offsets).astype("int32"))]
             + [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view("int32")))],
-            names=["id", "one", "two", *_BITS, "bands"],
+            names=["id", "one", "two", *_BITS, *_ODDS, "n", "bands"],
         )
 
 
@@ -201,8 +209,16 @@ def _blocks(reps: DataFrame) -> DataFrame:
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """(id, one, two, *_BITS, bands) of each record that takes part, kept in the shared folder."""
-    return cut(records.where("id is not null").select("id", "title", "summary").mapInArrow(_sketch_rows, "id long, one long, two long, " + "".join(f"{w} long, " for w in _BITS) + "bands array<int>"))
+    """(id, one, two, *_BITS, *_ODDS, n, bands) of each record that takes part, kept in the shared folder."""
+    return cut(records.where("id is not null").select("id", "title", "summary").mapInArrow(_sketch_rows, "id long, one long, two long, " + "".join(f"{w} long, " for w in (*_BITS, *_ODDS)) + "n int, bands array<int>"))
+
+
+def _may_be_alike(pairs: DataFrame, found: DataFrame, like: float) -> DataFrame:
+    """The pairs whose parities leave room for the likeness; none that is alike is lost."""
+    a, b = (found.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), *(F.col(o).alias(f"{o}_{x}") for o in _ODDS)).dropDuplicates([f"id_{x}"]) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in _ODDS), F.lit(0))
+    room = (F.col("n_a") + F.col("n_b")) * ((1 - like) / (1 + like))
+    return pairs.join(a, "id_a").join(b, "id_b").where(differ <= room).select("id_a", "id_b")
 
 
 def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +227,8 @@ def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]
     reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"), F.min_by(F.struct(*_BITS, "bands"), "id").alias("x"))
     members = found.select("id", "one", "two").distinct().join(reps.select("rep", "one", "two"), ["one", "two"]).select("id", "rep")
     blocks = _blocks(reps.select(F.col("rep").alias("id"), "x.*"))
-    near = cut(blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct())
+    near = blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct()
+    near = cut(_may_be_alike(near, found, like))
     alike = with_likeness(near, records).where(F.col("likeness") >= like)
     return members, alike.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
 
