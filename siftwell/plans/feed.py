@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text, times, urls
 from siftwell.operators import checks, cluster, dedup, intervals, reads, store
 from siftwell.session import table
+from siftwell.sources import feeds
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -391,3 +392,18 @@ def labels_unique(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "items").select("id", text.unique_in_order(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("categories", F.array().cast("array<string>")))).alias("l"))
     return rows.select("id", F.array_join("l", "|").alias("listed"))
 
+
+
+@query()
+def title_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = reads.timed(table(spark, d, "items")).where("kind = 'news'")
+    return cluster.similar_pairs(cluster.titled(rows.select("id", "title", "at", F.col("source_tier").alias("tier"), F.length("summary").alias("length"))))
+
+
+@query("SELECT CAST(id AS VARCHAR) AS guid, source_id, trim(url) AS link FROM items WHERE trim(coalesce(url, '')) != ''")
+def feed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Each record written as a feed of one item and read again."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = table(spark, d, "items").where("trim(coalesce(url, '')) != ''")
+    item = F.concat(F.lit("<rss><channel><item><title>T</title><guid>"), F.col("id").cast("string"), F.lit("</guid><link>"), safe(F.col("url")), F.lit("</link></item></channel></rss>"))
+    return feeds.raw_entries(rows.select("source_id", item.cast("binary").alias("payload"))).select("guid", "source_id", "link")
