@@ -39,6 +39,8 @@ SLAB_DAYS = 3
 DAY_US = 86_400_000_000
 SAMPLE, CENTROIDS, FREQUENT = 20_000, 8, 256
 PART_ROWS = 20_000
+#: Cells up to which their sizes are broadcast (a few MB); more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _SCHEMA = "id long, us long, page long, page2 int, fp string, one long, two long, cell int, off int, n int, vec binary, grams array<int>"
 
@@ -245,7 +247,8 @@ def _alike(old: DataFrame, new: DataFrame, frame: Frame) -> DataFrame:
     bound = F.get("far", F.col("cell")) - F.col("radius")
     probes = probes.where((F.col("us_min") <= F.col("q_us") + span) & (F.col("us_max") >= F.col("q_us") - span) & (bound <= room) & (F.col("n_max") >= F.col("q_n") * LIKE) & (F.col("n_min") * LIKE <= F.col("q_n")))
     probes = probes.select("slab", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), "id", F.col("q_us").alias("us"), F.col("q_n").alias("n"), "vec")
-    parts = rows.join(F.broadcast(meta.select("slab", "cell", "parts")), ["slab", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sizes = meta.select("slab", "cell", "parts")
+    parts = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["slab", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     parts = parts.select("slab", "cell", "piece", "id", "us", "n", "vec")
     near = parts.groupBy("slab", "cell", "piece").cogroup(probes.groupBy("slab", "cell", "piece")).applyInPandas(_in_cell, "old long, new long")
     x, y = old.select(F.col("id").alias("old"), F.col("grams").alias("gx")), new.select(F.col("id").alias("new"), F.col("grams").alias("gy"))

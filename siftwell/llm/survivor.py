@@ -59,10 +59,9 @@ def best_fields(items: DataFrame, sources: DataFrame) -> DataFrame:
 def transitions(values: DataFrame) -> DataFrame:
     """(field, before, after): learned precedence. values: (cluster_key, field, value, id, utc_us)."""
     stamped = values.where("utc_us is not null").groupBy("cluster_key", "field", "value").agg(F.min("utc_us").alias("since"))
-    # a group's values in order of their first time: one row a distinct value
-    steps = stamped.groupBy("cluster_key", "field").agg(F.array_sort(F.collect_list(F.struct("since", "value"))).alias("v")).where(F.size("v").between(2, 64))
-    steps = steps.select("field", F.explode(F.arrays_zip(F.slice("v.value", F.lit(1), F.size("v") - 1).alias("before"), F.slice("v.value", F.lit(2), F.size("v") - 1).alias("after"))).alias("s"))
-    counts = steps.groupBy("field", F.col("s.before").alias("before"), F.col("s.after").alias("after")).agg(F.count("*").alias("n"))
+    # each value with the next one of its group, over distinct values only; the window streams and spills, nothing is collected
+    steps = stamped.selectExpr("field", "value as before", "lead(value) over (partition by cluster_key, field order by since, value) as after").where("after is not null")
+    counts = steps.groupBy("field", "before", "after").agg(F.count("*").alias("n"))
     reverse = counts.select("field", F.col("after").alias("before"), F.col("before").alias("after"), F.col("n").alias("back"))
     return counts.join(reverse, ["field", "before", "after"], "left").where((F.col("n") >= SEEN) & (F.col("n") >= OFTENER * F.coalesce("back", F.lit(0)))).select("field", "before", "after")
 
