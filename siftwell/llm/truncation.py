@@ -34,6 +34,8 @@ UNKNOWN = 0.2
 
 #: Characters at the end of a text in which a mark of elision is looked for.
 MARK_CHARS = 80
+#: Characters at the end by which copies are known.
+TAIL_CHARS = 60
 
 _TOKENS = "concat(array('^', '^'), regexp_extract_all({0}, '\\\\p{{{{IsHan}}}}|\\\\^?\\\\p{{{{L}}}}+9?|[^\\\\s]', 0))"
 
@@ -91,8 +93,10 @@ def _classed(records: DataFrame, column: str) -> DataFrame:
     tail = F.right("text", F.lit(MARK_CHARS))
     found = once(found.withColumn("bare", F.regexp_replace(tail, sign, "")), "bare").withColumn("marked", F.length("bare") < F.length(tail))
     body = F.when(F.col("marked"), F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - MARK_CHARS)), F.col("bare"))).otherwise(F.col("text"))
-    numbered = F.regexp_replace(F.concat(F.lit("^"), body), r"[0-9]+(?:[.,][0-9]+)*", "0")
-    return once(found.select("id", "source_id", "marked", F.regexp_replace(numbered, r"(?<![\p{L}^])(\p{Lu})\p{L}+", "$19").alias("classed")), "classed")
+    # copies of a text end alike; short texts are texts of their own
+    found = once(found.select("id", "source_id", "marked", body.alias("body")), "body").withColumn("tail", F.when(F.length("body") > TAIL_CHARS, F.xxhash64(F.right("body", F.lit(TAIL_CHARS)))).otherwise(F.xxhash64("id")))
+    numbered = F.regexp_replace(F.concat(F.lit("^"), F.col("body")), r"[0-9]+(?:[.,][0-9]+)*", "0")
+    return once(found.select("id", "source_id", "marked", "tail", F.regexp_replace(numbered, r"(?<![\p{L}^])(\p{Lu})\p{L}+", "$19").alias("classed")), "classed")
 
 
 def judged(records: DataFrame, column: str = "summary") -> DataFrame:
@@ -101,8 +105,8 @@ def judged(records: DataFrame, column: str = "summary") -> DataFrame:
     texts = _classed(records, column)
     words = once(spark.sql(f"SELECT {_TOKENS.format('classed')} AS w FROM {{texts}}", texts=texts), "w")
     # the last three words: of the last characters, unless these hold fewer than six words
-    near = once(spark.sql(f"SELECT id, source_id, marked, classed, {_TOKENS.format('right(classed, 160)')} AS near FROM {{texts}}", texts=texts), "near")
-    tails = once(spark.sql(f"SELECT id, source_id, marked, IF(length(classed) > 60, xxhash64(right(classed, 60)), xxhash64(id)) AS tail, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
+    near = once(spark.sql(f"SELECT id, source_id, marked, tail, classed, {_TOKENS.format('right(classed, 160)')} AS near FROM {{texts}}", texts=texts), "near")
+    tails = once(spark.sql(f"SELECT id, source_id, marked, tail, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
     final = cut(spark.sql(_FINAL, tails=tails, wider=WIDER, sign=SIGN))
     counts = cut(spark.sql(_COUNTS, words=words, final=final))
     return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
