@@ -29,6 +29,9 @@ LAST_SHARE = 0.04
 #: The occurrences that the wider estimate counts for beside a trigram's own, beside those of a pair or a word, and beside those of a
 #: pair before a sign, of which there are always enough.
 PRIOR, WIDER, SIGN = 30, 4, 30
+#: The part of a pair's occurrences that counts for it beside a trigram's own, so that a fragment of a word that cuts leave again and
+#: again, as corpora grow, still is rare beside the words that go on from there.
+LEAN = 0.03
 #: The share of ends at a word of which nothing is known: without evidence a text isn't cut.
 UNKNOWN = 0.2
 
@@ -69,7 +72,9 @@ pairs AS (SELECT pair, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GR
 ones AS (SELECT one, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY one),
 words AS (SELECT one, (ends - 1 + {wider} * {unknown}) / (inside + ends - 1 + {wider}) AS share FROM ones WHERE ends > 0),
 shares AS (
-  SELECT f.pair, f.tri, f.one, (t.ends - 1 + {prior} * (p.ends - 1 + f.weight * o.share) / (p.inside + p.ends - 1 + f.weight)) / (t.inside + t.ends - 1 + {prior}) AS share
+  SELECT f.pair, f.tri, f.one,
+         (t.ends - 1 + ({prior} + {lean} * (p.inside + p.ends)) * (p.ends - 1 + f.weight * o.share) / (p.inside + p.ends - 1 + f.weight))
+         / (t.inside + t.ends - 1 + {prior} + {lean} * (p.inside + p.ends)) AS share
   FROM finals f
   JOIN {counts} t ON f.tri = t.tri AND f.pair = t.pair AND f.one = t.one
   JOIN pairs p ON f.pair = p.pair
@@ -109,7 +114,7 @@ def judged(records: DataFrame, column: str = "summary") -> DataFrame:
     tails = once(spark.sql(f"SELECT id, source_id, marked, tail, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
     final = cut(spark.sql(_FINAL, tails=tails, wider=WIDER, sign=SIGN))
     counts = cut(spark.sql(_COUNTS, words=words, final=final))
-    return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
+    return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, lean=LEAN, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
 
 
 def cut_records(records: DataFrame, column: str = "summary") -> DataFrame:
