@@ -4,7 +4,7 @@ Texts are cut into pre-tokens by the tokenizer's pattern. Documents are dealt in
 ids; a block sends each of its distinct words once into the global shuffle of words. There each distinct word of
 the corpus is met in one place, encoded once, and its ids are joined to all blocks that asked; every block then
 reassembles its texts by the positions of their words. So what is shuffled is the texts, once, and words, not every occurrence of one.
-Decoding joins the table of the tokens' bytes by id and reassembles by position.
+Decoding joins the table of the tokens' bytes by id, in order of position.
 
 Defined results: null and empty texts have an empty list of ids; texts of any length are encoded whole; repeated rows and equal
 texts give one result a row; extra columns are ignored; an empty table gives no rows; ids decode to the exact
@@ -121,20 +121,36 @@ def encode(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble(_id_type(path)), "doc_id long, ids array<int>")
 
 
-def token_bytes(spark, path: str = TOKENIZER) -> DataFrame:
-    """(id, bytes): the table of the tokens, as large as the vocabulary."""
-    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("bytes", T.BinaryType())])
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks(path).items()], schema)
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> pa.Array:
+    """The table of the tokens: the bytes of each id, at its place; null where an id is free."""
+    table = ranks(path)
+    by_id = {i: b for b, i in table.items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.large_binary())
 
 
 def decode(encoded: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); a null list gives null, an empty one the empty text."""
-    table = F.broadcast(token_bytes(encoded.sparkSession, path))  # one row a token of the vocabulary
-    parts = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    texts = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("p"))
-    whole = F.decode(F.aggregate(F.col("p.bytes"), F.expr("X''"), lambda a, x: F.concat(a, x)), "UTF-8")
-    empty = encoded.select("doc_id", F.when(F.size("ids") == 0, F.lit("")).alias("none"))
-    return empty.join(texts.select("doc_id", whole.alias("text")), "doc_id", "left").select("doc_id", F.coalesce("text", "none").alias("text"))
+    """(doc_id, text) of rows (doc_id, ids); a null list gives null, an empty one the empty text; an id that no token has is an error.
+
+    Each batch joins the token table by taking its rows at the ids, in order of position, so nothing is shuffled: what is taken lies
+    in one buffer, of which every document is a slice.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for b in batches:
+            lists = b.column(1)
+            taken = table.take(lists.flatten())
+            if taken.null_count:
+                raise ValueError("an id has no token")
+            ends = np.frombuffer(taken.buffers()[1], "int64")[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, "int64")
+            data = bytes(taken.buffers()[2] or b"") if len(taken) else b""
+            sizes = np.where(np.asarray(lists.is_null()), 0, np.asarray(lists.value_lengths().fill_null(0)))
+            at = ends[np.concatenate([[0], np.cumsum(sizes)]).astype("int64")]
+            texts = [None if null else data[s:e].decode("utf-8", "replace") for null, s, e in zip(lists.is_null().to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -39,6 +39,11 @@ def test_counts(spark):
     assert got == {i * 3000: len(whole(t)) for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, []), (2, None), (3, [220])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in encoding.decode(df).collect()} == {1: "", 2: None, 3: " "}
+
+
 def test_vocabulary_is_named_by_path(spark):
     with pytest.raises(FileNotFoundError):
         encoding.ranks("/nowhere")
