@@ -81,11 +81,17 @@ def fit(records: DataFrame) -> Frame:
     sample = cut(gram_arrays(chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)))
     top = sample.select(F.explode("grams").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["g"] for r in top], "int32"))
-    rows = [r["grams"] for r in sample.select("grams").collect()]  # bounded by SAMPLE
-    if not rows:
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(0).flatten()
+            v = vectors(np.concatenate([[0], np.cumsum(b.column(0).value_lengths().to_numpy())]), sets.to_numpy(), frequent)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v[:, :4]], pa.binary())], names=["bits"])
+
+    found = [bytes(r["bits"]) for r in sample.select("grams").mapInArrow(held, "bits binary").collect()]  # 32 bytes of at most SAMPLE records
+    if not found:
         return Frame(frequent, np.zeros((1, 4), "uint64"))
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    bits = vectors(offsets, np.concatenate(rows).astype("int32"), frequent)[:, :4]
+    bits = np.frombuffer(b"".join(found), "uint64").reshape(len(found), 4)
     rng = np.random.default_rng(7)
     centroids = bits[rng.choice(len(bits), min(CENTROIDS, len(bits)), replace=False)]
     for _ in range(6):  # majority of the bits of each centroid's records
