@@ -212,10 +212,13 @@ def _progressions(pos: list[int]) -> list[tuple[int, int, int]]:
 
 
 def _starts(pos_a: list[int], pos_b: list[int]) -> Iterator[tuple[int, int]]:
-    """Pairs of positions, one on each diagonal of a pair of periodic stretches, all of the others."""
+    """Pairs of positions, one on each diagonal of a pair of periodic stretches, all of the others.
+
+    Windows at one distance of at most GRAM cover their stretch, which then is periodic; between windows further apart the text is free.
+    """
     for a, d, m in _progressions(pos_a):
         for b, e, n in _progressions(pos_b):
-            if d and d == e:
+            if 0 < d == e <= GRAM:
                 yield from ((a + d * k, b) for k in range(m))
                 yield from ((a, b + d * k) for k in range(1, n))
             else:

@@ -84,6 +84,15 @@ def test_long_periodic_texts(spark):
     check(spark, docs)
 
 
+def test_a_notice_at_equal_distances_beyond_a_window(spark):
+    rng, docs = random.Random(11), []
+    free = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for k in range(24):  # the second of three notices stands in a longer shared run, the first and third don't
+        notice, left, right = free(150), free(30), free(30)
+        docs += [(2 * k + x, notice + free(320) + left + notice + right + free(320) + notice + free(90)) for x in range(2)]
+    assert len(check(spark, docs)) == 24
+
+
 def test_empty(spark):
     df = frame(spark, [(1, "x")])
     assert spans.sharing(df.limit(0)).count() == 0 and spans.coverage(df.limit(0)).count() == 0 and spans.coverage(df).first()["shared_part"] == 0.0
