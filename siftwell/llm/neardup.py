@@ -13,7 +13,7 @@ A block of more than BLOCK_ROWS rows is split into parts, each pair of parts bei
 by bucket counts first, and no row is left out.
 
 Defined results: records whose summary is null or of fewer than 12 words take no part; repeated rows of one id are one record;
-a pair is given once, smaller id first; ties can't occur; whole texts are treated; extra columns are ignored; an empty table gives no pairs.
+a pair is given once, smaller id first; a group holds all that pairs connect, is named by its smallest id, and records without a pair are in none; ties can't occur; whole texts are treated; extra columns are ignored; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.likeness import LIKE, gram_sets, with_likeness, words_of
+from siftwell.operators.cluster import components
 from siftwell.session import cut
 
 BANDS, ROWS, HASHES, BITS = 40, 3, 128, 256
@@ -241,3 +242,13 @@ def pairs(records: DataFrame, like: float = LIKE) -> DataFrame:
     within = a.join(b, F.col("rep_a") == F.col("rep_b")).where("id_a < id_b").select("id_a", "id_b")
     across = between.join(a, "rep_a").join(b, "rep_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return within.unionByName(across)
+
+
+def groups(records: DataFrame, like: float = LIKE) -> DataFrame:
+    """(id, group) of all records that are alike with another: the connected parts of the pairs, named by their smallest id."""
+    members, between = links(records, like)
+    members = cut(members)
+    parts = components(cut(between.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))).select(F.col("id").alias("rep"), "part")
+    copied = members.groupBy("rep").agg(F.count("*").alias("rows"))
+    rows = members.join(copied, "rep").join(parts, "rep", "left").where("rows > 1 or part is not null")
+    return rows.select("id", F.coalesce("part", "rep").alias("group"))

@@ -68,6 +68,25 @@ def test_copies_are_one_class(spark):
     assert neardup.pairs(items(spark, rows)).count() == 190
 
 
+def test_groups_are_the_connected_parts_of_the_pairs(spark):
+    rows = corpus(5)
+    rng = random.Random(6)
+    chain = [[rng.choice(VOCABULARY) for _ in range(60)]]
+    for k in range(7):  # neighbours are alike, the ends aren't
+        chain.append([*chain[-1][:k * 8], *(rng.choice(VOCABULARY) for _ in range(8)), *chain[-1][k * 8 + 8 :]])
+    rows += [(2000 - k, "", " ".join(w)) for k, w in enumerate(chain)]
+    text = " ".join(VOCABULARY[:30])
+    rows += [(3000 + k, "t", text) for k in range(3)] + [(4000, "few words", "only three words"), (4001, "t", None), (0, *rows[0][1:])]
+    want = brute({r[0]: r for r in rows}.values())
+    part = {i: i for pair in want for i in pair}
+    for _ in part:
+        for a, b in want:
+            part[a] = part[b] = min(part[a], part[b])
+    got = [tuple(r) for r in neardup.groups(items(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and dict(got) == part and (1993, 2000) not in want and part[1993] == part[2000] == 1993 and part[3002] == 3000
+    assert neardup.groups(items(spark, rows)).columns == ["id", "group"] and neardup.groups(items(spark, []).limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert neardup.pairs(items(spark, []).limit(0)).count() == 0
 
