@@ -3,7 +3,7 @@
 Each field has its own order of preference: the most trusted tier, the most complete summary that wasn't cut off, the latest
 instant. Fields that change over time (CURRENT) take their current value, by currency reasoning: the timestamped rows of
 all groups teach which values follow which (a value precedes another if it was followed by it far more often than the other
-way round); in each group, timestamps order the values that have any, the learned precedence orders those that lack
+way round, and all that those precede, be they in the group or not); in each group, timestamps order the values that have any, the learned precedence orders those that lack
 one, and the topologically latest value is taken: one that no other value of the group follows.
 
 All is aggregated by group with partial aggregation, so a group may hold any share of the rows; the partial order of a
@@ -11,7 +11,8 @@ group is joined from its distinct values and the learned transitions, never from
 
 Defined results: a null or blank key belongs to no group, and a group of one row is left out of `best_fields`; a field without a usable
 value gives no row (`best_fields`) or null (`records`); equal values go to the smaller id; repeated rows of one id
-are one row; a cycle of learned precedence leaves the value with the latest timestamp, else the smallest; extra columns are
+are one row; values of a cycle of learned precedence have no order among themselves, so that the latest timestamp decides, else the
+smallest id; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -66,10 +67,28 @@ def transitions(values: DataFrame) -> DataFrame:
     return counts.join(reverse, ["field", "before", "after"], "left").where((F.col("n") >= SEEN) & (F.col("n") >= OFTENER * F.coalesce("back", F.lit(0)))).select("field", "before", "after")
 
 
+def reachable(learned: DataFrame) -> DataFrame:
+    """(field, before, after): learned precedence over any number of steps, without pairs that precede each other.
+
+    Paths double in length each round, so the rounds grow with the logarithm of the longest shortest one.
+    """
+    paths = cut(learned.distinct())
+    known = paths.count()
+    while known:
+        on = paths.select("field", F.col("before").alias("after"), F.col("after").alias("far"))
+        longer = paths.join(on, ["field", "after"]).select("field", "before", F.col("far").alias("after"))
+        paths = cut(paths.unionByName(longer).distinct())
+        if (now := paths.count()) == known:
+            break
+        known = now
+    back = paths.select("field", F.col("after").alias("before"), F.col("before").alias("after"))
+    return paths.join(back, ["field", "before", "after"], "left_anti")
+
+
 def current_values(values: DataFrame) -> DataFrame:
     """(cluster_key, field, value): the topologically latest value of each group and field."""
     own = cut(values.where("value is not null").groupBy("cluster_key", "field", "value").agg(F.max("utc_us").alias("last"), F.min("id").alias("id")))
-    learned = transitions(values.where("value is not null"))
+    learned = reachable(transitions(values.where("value is not null")))
     newest = own.groupBy("cluster_key", "field").agg(F.max("last").alias("newest"))
     # among timestamped values the latest is not followed by another; the learned order decides wherever one lacks a time
     after = own.select("cluster_key", "field", F.col("value").alias("after"), F.col("last").alias("after_last"))

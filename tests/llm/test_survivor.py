@@ -38,6 +38,22 @@ def test_current_values_without_timestamps(spark):
     assert learned == {("draft", "review"), ("review", "final")}
 
 
+def test_current_values_when_a_group_skips_a_step(spark):
+    rows = []
+    for g in range(5):  # taught: draft, review, final by single steps, and a cycle of x, y, z that out follows
+        rows += [(g * 10 + k, f"g{g}{k // 2}", f"2025-01-0{k + 1}T00:00:00Z", v) for k, v in enumerate(("draft", "review"))]
+        rows += [(g * 10 + k, f"h{g}", f"2025-01-0{k + 1}T00:00:00Z", v) for k, v in enumerate(("review", "final"), 3)]
+        for n, (a, b) in enumerate(("xy", "yz", "zx", ("z", "out"))):
+            rows += [(1000 + g * 10 + n, f"{n}c{g}", "2025-01-01T00:00:00Z", a), (2000 + g * 10 + n, f"{n}c{g}", "2025-01-02T00:00:00Z", b)]
+    rows += [(100, "untimed", None, "draft"), (101, "untimed", None, "final"), (102, "beside", "2025-01-09T00:00:00Z", "draft"), (103, "beside", None, "final"), (104, "timed", "2025-01-02T00:00:00Z", "final"), (105, "timed", "2025-01-03T00:00:00Z", "draft")]
+    rows += [(106, "cycle", None, "z"), (107, "cycle", None, "y"), (108, "cycle", None, "x"), (109, "left", None, "x"), (110, "left", None, "out"), (111, "apart", None, "x"), (112, "apart", None, "draft")]
+    values = spark.createDataFrame(rows, "id long, cluster_key string, at string, value string").selectExpr("cluster_key", "'status' as field", "value", "id", "unix_micros(to_timestamp(at)) as utc_us")
+    got = {r["cluster_key"]: r["value"] for r in survivor.current_values(values).collect()}
+    assert {k: got[k] for k in ("untimed", "beside", "timed", "cycle", "left", "apart")} == {"untimed": "final", "beside": "final", "timed": "draft", "cycle": "z", "left": "out", "apart": "x"}
+    order = {(r["before"], r["after"]) for r in survivor.reachable(survivor.transitions(values)).collect()}
+    assert order == {("draft", "review"), ("review", "final"), ("draft", "final"), *((v, "out") for v in "xyz")}
+
+
 def test_records(spark):
     rows = [(1, "a", 2, "Short.", "2025-01-01T00:00:00Z", None, "old"), (2, "A", 1, "Longer text.", "2025-02-01T00:00:00Z", '{"llm_screening":{"prompt_version":"v6"}}', "new"), (3, "b", None, None, None, None, None)]
     got = {r["cluster_key"]: r.asDict() for r in survivor.records(*frame(spark, rows)).collect()}
