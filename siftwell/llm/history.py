@@ -12,7 +12,7 @@ records are appended to it, and a check of any number of batches reads only the
 
 Acceptance in order of batch and id is settled in rounds: of the undecided records, those without an undecided
 earlier relative are accepted, and their relatives rejected, until none is left. Copies (same page, fingerprint,
-instant and sequences) are one class, of which only the first can be accepted.
+instant and sequences, of which some rule holds) are one class, of which only the first can be accepted.
 
 Defined results: a null or blank address, fingerprint or an unreadable time takes no part in the rule that needs it; summaries of fewer than 12 words
 take no part in likeness; equal order can't occur, as ids are unique; repeated rows count once; whole texts are
@@ -176,7 +176,10 @@ class History:
         """
         new = self.vectorised(batch, times)
         order = F.struct("batch_id", "id")
-        kinds = ["page", "page2", "fp", "us", "one", "two"]
+        # copies repeat each other by some rule; rows that none applies to stand alone
+        by_rule = F.col("page").isNotNull() | (F.col("us").isNotNull() & (F.col("fp").isNotNull() | (F.col("n") > 0)))
+        new = new.withColumn("solo", F.when(~by_rule, F.col("id")))
+        kinds = ["page", "page2", "fp", "us", "one", "two", "solo"]
         reps = new.groupBy(*kinds).agg(F.min(order).alias("first"))
         same = [F.col(f"new.{k}").eqNullSafe(F.col(f"reps.{k}")) for k in kinds]
         members = new.select("id", "batch_id", *kinds).alias("new").join(reps.alias("reps"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep"))
@@ -187,7 +190,7 @@ class History:
         found = self._repeats(members, old, own, accepted)
         if append_as:
             found = cut(found)  # before the history holds what was accepted just now
-            self.append(new.join(accepted.select("id"), "id", "left_semi").drop("batch_id"), append_as)
+            self.append(new.join(accepted.select("id"), "id", "left_semi").drop("batch_id", "solo"), append_as)
         return found
 
     def _related(self, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -83,6 +83,16 @@ def test_copies_in_bulk(spark):
     assert got == {(1000, 1000 + i) for i in range(1, 30)}
 
 
+def test_rows_without_a_rule_are_no_copies(spark):
+    text, at = " ".join(VOCABULARY[:40]), "2025-01-05T00:00:00Z"
+    kinds = [(None, None, None, at), (None, "", " ", at), ("too short", None, None, at), (text, None, None, None), (None, None, "f", None), (text, "", "g", None), (None, None, None, None)]
+    incoming = [(1000 + 2 * k + x, 1 + x, "t", *kind) for k, kind in enumerate(kinds) for x in range(2)]
+    incoming += [(1100 + x, 1, "t", *kind) for x, kind in enumerate([(text, None, None, at)] * 2 + [(None, None, "h", at)] * 2 + [(None, "https://e.com/y", None, None)] * 2)]
+    a, b = frame(spark, []), frame(spark, incoming)
+    got = {tuple(r) for r in history.History.build(a, times(a)).check(b, times(b)).collect()}
+    assert got == {(1100, 1101), (1102, 1103), (1104, 1105)}
+
+
 def test_empty_batches(spark):
     items, _ = corpus(4, 20, 4)
     a, b = frame(spark, items), frame(spark, [])
