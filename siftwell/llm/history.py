@@ -279,7 +279,7 @@ def _in_cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         differ = np.zeros((len(m[e]), len(n)), "uint16")
         for w in range(8):
             differ += np.bitwise_count(q[w][e][:, None] ^ v[w][None, :])
-        room = ((m[e][:, None] + n[None, :]) * ((1 - LIKE) / (1 + LIKE))).astype("uint16")
+        room = np.minimum((m[e][:, None] + n[None, :]) * ((1 - LIKE) / (1 + LIKE)), 512).astype("uint16")  # vectors have 512 bits
         i, j = np.nonzero(differ <= room)
         i += s
         keep = (np.abs(u[i] - t[j]) <= DAYS_APART * DAY_US) & (own[i] != ids[j])

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +95,13 @@ def test_rows_without_a_rule_are_no_copies(spark):
     assert got == {(1100, 1101), (1102, 1103), (1104, 1105)}
 
 
+def test_very_long_texts_keep_their_room():
+    for n in (30, 98_303, 98_304, 98_310, 200_000):
+        vec = [np.array([x] + [0] * 7, "uint64").tobytes() for x in (0, 0b111)]
+        rows, asked = (pd.DataFrame({"id": [i], "us": [0], "n": [n], "vec": [v]}) for i, v in enumerate(vec))
+        assert history._in_cell(rows, asked).values.tolist() == [[0, 1]]
+
+
 def test_empty_batches(spark):
     items, _ = corpus(4, 20, 4)
     a, b = frame(spark, items), frame(spark, [])
