@@ -7,8 +7,10 @@ differ never outnumber the sequences that only one of the records holds, so they
 Cells are slabs of SLAB_DAYS days, each divided by the nearest of a few centroids (fitted on at most SAMPLE records).
 A cell's bounds are its days, its sizes and its radius. A query probes the cells whose bounds leave room for a
 match, skips all others, and within a cell keeps what the vector bits leave room for; what remains is compared exactly. So
-no match is missed. Same pages and same fingerprints are found by key. The cells are a table in the shared folder; accepted
-records are appended to it, and a check of any number of batches reads only the cells that it probes.
+no match is missed. Same pages and same fingerprints are found by key. The cells are a table in the shared folder, a folder
+a slab with its cells in order, beside a small table of their bounds; accepted records are appended to both. For likeness and fingerprints a
+check reads only the slabs that lie near its records in time, and shuffles only the cells that it probes. Pages have no limit of
+time, so that the pages and ids of the whole history, and no other columns, are read for them.
 
 Acceptance in order of batch and id is settled in rounds: of the undecided records, those without an undecided
 earlier relative are accepted, and their relatives rejected, until none is left. Copies (same page, fingerprint,
@@ -43,6 +45,7 @@ PART_ROWS = 20_000
 BROADCAST_ROWS = 100_000
 
 _SCHEMA = "id long, us long, page long, page2 int, fp string, one long, two long, cell int, off int, n int, vec binary, grams array<int>"
+_BOUNDS = "slab int, cell int, radius int, n_min int, n_max int, us_min long, us_max long, rows long"
 
 
 class Frame:
@@ -145,6 +148,17 @@ def _slab(us: Column) -> Column:
     return F.floor(us / (SLAB_DAYS * DAY_US)).cast("int")
 
 
+def _slabs_near(us: Column) -> Column:
+    span = DAYS_APART * DAY_US
+    return F.explode(F.sequence(_slab(us - span), _slab(us + span)))
+
+
+def _bounds(rows: DataFrame) -> DataFrame:
+    """_BOUNDS of the cells of rows with a time; rows without sequences are in cell -1."""
+    cells = rows.where("us is not null").groupBy("slab", "cell")
+    return cells.agg(F.max("off").alias("radius"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("us").alias("us_min"), F.max("us").alias("us_max"), F.count("*").alias("rows"))
+
+
 class History:
     """All that was accepted, as a table of cells in the shared folder."""
 
@@ -161,10 +175,26 @@ class History:
 
     def append(self, rows: DataFrame, name: str) -> None:
         """Adds accepted rows to their cells; a name written again replaces what it held."""
-        rows.withColumn("slab", _slab(F.col("us"))).sortWithinPartitions("slab", "cell").write.mode("overwrite").parquet(f"{self.path}/part={name}")
+        placed = rows.withColumn("slab", _slab(F.col("us"))).hint("rebalance", "slab").sortWithinPartitions("slab", "cell")
+        placed.write.mode("overwrite").partitionBy("slab").parquet(f"{self.path}/rows/part={name}")
+        _bounds(self._read(f"rows/part={name}", _SCHEMA + ", slab int")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bounds/part={name}")
+
+    def _read(self, below: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{below}")
 
     def cells(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._read("rows", _SCHEMA + ", slab int")
+
+    def bounds(self) -> DataFrame:
+        """_BOUNDS of all cells, from what each append wrote."""
+        kept = self._read("bounds", _BOUNDS)
+        return kept.groupBy("slab", "cell").agg(F.max("radius").alias("radius"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.min("us_min").alias("us_min"), F.max("us_max").alias("us_max"), F.sum("rows").alias("rows"))
+
+    def near(self, new: DataFrame, bounds: DataFrame) -> DataFrame:
+        """The cells of the slabs that lie near the new rows in time; no file of another slab is read."""
+        asked = new.where("us is not null").select(_slabs_near(F.col("us")).alias("slab")).distinct()
+        slabs = [r["slab"] for r in bounds.select("slab").distinct().join(asked, "slab").collect()]  # one a slab of the history at most
+        return self.cells().where(F.col("slab").isin(slabs))
 
     def vectorised(self, batch: DataFrame, times: DataFrame) -> DataFrame:
         return cut(_vectorised(batch, times, self.frame).join(batch.select("id", "batch_id"), "id").dropDuplicates(["id"]))
@@ -185,7 +215,9 @@ class History:
         members = new.select("id", "batch_id", *kinds).alias("new").join(reps.alias("reps"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep"))
         members = cut(members)
         heads = new.join(members.where("id = rep").select("id"), "id", "left_semi")
-        old, own = cut(self._related(self.cells(), heads)), cut(self._related(heads, heads).where("old < new"))
+        bounds = cut(self.bounds())
+        old = cut(self._related(self.near(heads, bounds), heads, bounds))
+        own = cut(self._related(heads, heads, cut(_bounds(heads.withColumn("slab", _slab(F.col("us")))))).where("old < new"))
         accepted = cut(self._settle(heads, old, own))
         found = self._repeats(members, old, own, accepted)
         if append_as:
@@ -193,14 +225,14 @@ class History:
             self.append(new.join(accepted.select("id"), "id", "left_semi").drop("batch_id", "solo"), append_as)
         return found
 
-    def _related(self, old: DataFrame, new: DataFrame) -> DataFrame:
+    def _related(self, old: DataFrame, new: DataFrame, bounds: DataFrame) -> DataFrame:
         """(old, new) of records that are near in time and have one fingerprint or are alike."""
         span = DAYS_APART * DAY_US
         a = old.where("us is not null")
         b = new.where("us is not null")
         fa, fb = a.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp"), b.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp")
         by_print = fa.join(fb, "fp").where(F.abs(F.col("us_old") - F.col("us_new")) <= span).where("old != new").select("old", "new")
-        return by_print.unionByName(_alike(a.where("cell >= 0"), b.where("cell >= 0"), self.frame)).distinct()
+        return by_print.unionByName(_alike(a.where("cell >= 0"), b.where("cell >= 0"), bounds.where("cell >= 0"), self.frame)).distinct()
 
     def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame) -> DataFrame:
         """(id, batch_id, page, page2) of the accepted heads."""
@@ -236,11 +268,10 @@ class History:
         return rows.where(earlier).select("accepted_id", "id").distinct()
 
 
-def _alike(old: DataFrame, new: DataFrame, frame: Frame) -> DataFrame:
-    """(old, new) of likeness LIKE or more at most DAYS_APART days apart: probe, bound, compare exactly."""
+def _alike(old: DataFrame, new: DataFrame, bounds: DataFrame, frame: Frame) -> DataFrame:
+    """(old, new) of likeness LIKE or more at most DAYS_APART days apart: probe, bound, compare exactly. bounds: of the cells of old."""
     rows = old.withColumn("slab", _slab(F.col("us")))
-    meta = rows.groupBy("slab", "cell").agg(F.max("off").alias("radius"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("us").alias("us_min"), F.max("us").alias("us_max"), F.count("*").alias("rows"))
-    meta = cut(meta.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int")))  # a row a cell: at most CENTROIDS a slab of days
+    meta = bounds.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))  # a row a cell: at most CENTROIDS a slab of days
     span = DAYS_APART * DAY_US
     centroids = [np.ascontiguousarray(c) for c in frame.centroids]
 
@@ -250,17 +281,18 @@ def _alike(old: DataFrame, new: DataFrame, frame: Frame) -> DataFrame:
             yield p.assign(far=[x.tolist() for x in np.stack([_differ(v, c) for c in centroids], 1).astype("int32")] if len(p) else [])
 
     asked = new.select("id", "us", "n", "vec").mapInPandas(far, "id long, us long, n int, vec binary, far array<int>")
-    asked = asked.withColumn("slab", F.explode(F.sequence(_slab(F.col("us") - span), _slab(F.col("us") + span))))
+    asked = asked.withColumn("slab", _slabs_near(F.col("us")))
     probes = asked.withColumnRenamed("us", "q_us").withColumnRenamed("n", "q_n").join(meta, "slab")
     room = (F.col("q_n") + F.col("n_max")) * ((1 - LIKE) / (1 + LIKE))
     bound = F.get("far", F.col("cell")) - F.col("radius")
     probes = probes.where((F.col("us_min") <= F.col("q_us") + span) & (F.col("us_max") >= F.col("q_us") - span) & (bound <= room) & (F.col("n_max") >= F.col("q_n") * LIKE) & (F.col("n_min") * LIKE <= F.col("q_n")))
+    sizes = cut(probes.select("slab", "cell", "parts").distinct())  # of the cells that are probed; no row of another is shuffled
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["slab", "cell"])
     probes = probes.select("slab", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), "id", F.col("q_us").alias("us"), F.col("q_n").alias("n"), "vec")
-    sizes = meta.select("slab", "cell", "parts")
-    parts = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["slab", "cell"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     parts = parts.select("slab", "cell", "piece", "id", "us", "n", "vec")
     near = parts.groupBy("slab", "cell", "piece").cogroup(probes.groupBy("slab", "cell", "piece")).applyInPandas(_in_cell, "old long, new long")
-    x, y = old.select(F.col("id").alias("old"), F.col("grams").alias("gx")), new.select(F.col("id").alias("new"), F.col("grams").alias("gy"))
+    x, y = rows.select(F.col("id").alias("old"), F.col("grams").alias("gx")), new.select(F.col("id").alias("new"), F.col("grams").alias("gy"))
     both = F.size(F.array_intersect("gx", "gy"))
     return near.join(x, "old").join(y, "new").where(both >= LIKE * (F.size("gx") + F.size("gy") - both)).select("old", "new")
 

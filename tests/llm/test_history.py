@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -102,6 +103,24 @@ def test_very_long_texts_keep_their_room():
         assert history._in_cell(rows, asked).values.tolist() == [[0, 1]]
 
 
+def test_a_check_reads_only_slabs_near_its_rows(spark):
+    text = " ".join(VOCABULARY[:40])
+    a = frame(spark, [(i, 0, "t", text, None, "f", f"2025-{1 + i % 6:02d}-10T00:00:00Z") for i in range(30)])
+    b = frame(spark, [(1000, 1, "t", text, None, "f", "2025-03-11T00:00:00Z"), (1001, 2, "t", text, None, "f", "2025-09-11T00:00:00Z")])
+    kept = history.History.build(a, times(a), scratch_path(spark, "kept"))
+    new = kept.vectorised(b, times(b))
+    assert {tuple(r) for r in kept.check(b, times(b), "late").collect()} == {(i, 1000) for i in range(2, 30, 6)}
+    want = {tuple(r) for r in history._bounds(kept.cells()).select("slab", "cell", "radius", "rows").collect()}
+    assert {tuple(r) for r in kept.bounds().select("slab", "cell", "radius", "rows").collect()} == want and len(want) == 7
+    held = {r["slab"] for r in kept.near(new, kept.bounds()).select("slab").distinct().collect()}
+    others = [f for f in Path(kept.path).glob("rows/part=*/slab=*/*.parquet") if int(f.parent.name[5:]) not in held]
+    for f in others:  # a file that is read fails
+        f.write_bytes(b"none")
+    assert len(held) == 2 and len(others) >= 5 and kept.near(new, kept.bounds()).select(F.sum("n")).first()[0] == 6 * 40
+    with pytest.raises(Exception, match="none|FAILED_READ_FILE|Parquet|hecksum"):
+        kept.cells().select(F.sum("n")).first()
+
+
 def test_empty_batches(spark):
     items, _ = corpus(4, 20, 4)
     a, b = frame(spark, items), frame(spark, [])
