@@ -73,5 +73,5 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_shares": p8_shares, "p8_selected": p8_selected, "p9_found": p9_found, "p9_coverage": p9_coverage}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_selected": p8_selected, "p8_shares": p8_shares, "p9_found": p9_found, "p9_coverage": p9_coverage}
 SQL: dict[str, str] = {}

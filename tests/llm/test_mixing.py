@@ -60,3 +60,18 @@ def test_shortage_goes_to_siblings_first():
 def test_empty(spark):
     docs, targets, sources = frames(spark, docs_of(), GOALS, SOURCES)
     assert mixing.selected(docs.limit(0), targets, sources).count() == 0 and mixing.shares(docs, targets.limit(0), sources).count() == 0
+
+
+def test_sources_of_several_languages_and_a_total(spark):
+    docs = [(k, "word " * (5 + k % 7), "two", "en" if k % 3 else "de") for k in range(90)] + [(100 + k, "word " * 9, "mono", "de") for k in range(40)] + [(300, "word " * 8, "two", None)]
+    goals, sources = [("m", "two", 3.0, 2), ("m", "mono", 1.0, 2)], [("two", "media"), ("mono", "media")]
+    f = frames(spark, docs, goals, sources)
+    rows = mixing.selected(*f, total=800).collect()
+    assert 800 - 3 * 60 <= sum(r["tokens"] for r in rows) <= 800
+    assert {(r["source"], r["lang"]) for r in rows} >= {("two", "en"), ("two", "de"), ("mono", "de")} and all(r["domain"] == "media" for r in rows)
+    lang = {d[0]: d[3] or "" for d in docs}
+    assert all(lang[r["doc_id"]] == r["lang"] for r in rows)
+    got = {r["source"]: r["actual_share"] for r in rows}
+    assert abs(got["two"] - 0.75) < 0.1 and abs(sum(r["tokens"] for r in rows if r["source"] == "two") / sum(r["tokens"] for r in rows) - got["two"]) < 1e-9
+    every = mixing.selected(*f, total=10**9).collect()  # more than there is: all that may be repeated, and no more
+    assert len(every) == 2 * len(docs) and {r["epoch"] for r in every} == {1, 2}
