@@ -1,14 +1,17 @@
 """Encoding a whole corpus with a public byte-pair tokenizer: each distinct word is encoded once.
 
-Texts are cut into pre-tokens by the tokenizer's pattern. Documents are dealt into blocks of at most BLOCK_IDS
-ids; a block sends each of its distinct words once into the global shuffle of words. There each distinct word of
-the corpus is met in one place, encoded once, and its ids are joined to all blocks that asked; every block then
-reassembles its texts by the positions of their words. So what is shuffled is the texts, once, and words, not every occurrence of one.
+Texts are cut into pre-tokens by the tokenizer's pattern, once. Consecutive documents of a partition make up pieces of bounded
+size; a piece is exploded into a row for each of its distinct words with the positions where it stands (by chunks of 65,536 words, so that a
+position takes two bytes), and one row that tells which documents it holds and how many words each. The words go through one
+global shuffle, where all rows of a word meet and it is encoded once (a word that fills more than a partition is split by
+the engine and encoded once in each split). The ids go back by piece with their positions, and each piece is
+reassembled by position alone; the texts themselves are never shuffled. Pieces are named by partition, so nothing depends on how ids are spread.
 Decoding joins the table of the tokens' bytes by id, in order of position.
 
-Defined results: null and empty texts have an empty list of ids; texts of any length are encoded whole; repeated rows and equal
-texts give one result a row; extra columns are ignored; an empty table gives no rows; ids decode to the exact
-text. The vocabulary file is named by path; it is never copied.
+Defined results: null and empty texts have an empty list of ids; texts of any length are encoded whole, a very long one as a piece of its own; repeated
+rows, equal texts and null ids give one result a row; extra columns are ignored; an empty table gives no rows; ids decode to the exact
+text. The rows of a partition must come in the same order if it is computed again, as those of a scan do; a piece that doesn't fit
+together is an error, never a wrong result. The vocabulary file is named by path; it is never copied.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +33,10 @@ from pyspark.sql import types as T
 TOKENIZER = os.environ.get("SIFTWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pattern that splits text before the merges of these rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_IDS = 4096
+#: Words of a chunk, so that positions take two bytes, and words after which a piece ends with the document at hand.
+CHUNK, PIECE = 1 << 16, 1 << 17
+#: Characters from which a text is split bit by bit instead of at once.
+LONG = 1 << 22
 _SPLIT = regex.compile(PATTERN)
 
 
@@ -58,25 +66,51 @@ def pretokens(text: str) -> list[str]:
     return _SPLIT.findall(text)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word): the distinct words of each block within some batches."""
-    seen: dict[int, set[str]] = {}
-    held = 0
-
-    def rows() -> pa.RecordBatch:
-        blocks = np.repeat(np.fromiter(seen, dtype="int64", count=len(seen)), [len(w) for w in seen.values()])
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([w for words in seen.values() for w in words], pa.string())], names=["block", "word"])
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, chunk, word, at): each piece's distinct words by chunk with their places in it; where word is null, what the piece holds."""
+    context = TaskContext.get()
+    piece = (context.partitionId() if context else 0) << 32
+    names = ["piece", "chunk", "word", "at"]
+    held: list[str] = []
+    docs: list[tuple[int, int, int]] = []
+    chunk = 0
+
+    def words() -> pa.RecordBatch:
+        nonlocal held, chunk
+        coded = pa.array(held[:CHUNK], pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        n = len(coded.dictionary)
+        places = np.argsort(codes, kind="stable").astype("uint16")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n))]) * 2
+        at = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype("int32").tobytes()), pa.py_buffer(places.tobytes())])
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), pa.array(np.full(n, chunk, "int32")), coded.dictionary, at], names=names)
+        held, chunk = held[CHUNK:], chunk + 1
+        return out
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal docs, piece, chunk
+        if held:
+            yield words()
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([np.array(docs, "int64").tobytes()], pa.binary())], names=names)
+        docs, piece, chunk = [], piece + 1, 0
 
     for b in batches:
-        for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if text:
-                seen.setdefault(block, set()).update(_SPLIT.findall(text))
-        held = sum(map(len, seen.values()))
-        if held > 500_000:
-            yield rows()
-            seen, held = {}, 0
-    if held:
-        yield rows()
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            before = chunk * CHUNK + len(held)
+            if t and len(t) < LONG:
+                held += _SPLIT.findall(t)
+                while len(held) >= CHUNK:
+                    yield words()
+            elif t:
+                for m in _SPLIT.finditer(t):
+                    held.append(m[0])
+                    if len(held) == CHUNK:
+                        yield words()
+            docs.append((i or 0, i is None, chunk * CHUNK + len(held) - before))
+            if chunk * CHUNK + len(held) >= PIECE or len(docs) >= CHUNK:
+                yield from close()
+    yield from close()
 
 
 def _id_type(path: str) -> str:
@@ -84,41 +118,63 @@ def _id_type(path: str) -> str:
 
 
 def _answer(path: str):
-    """(block, word) to (block, word, ids); all rows of a word are in one partition, where it is encoded once."""
+    """(piece, chunk, word, at) to (piece, chunk, at, ids); the rows of a word are in one partition, where it is encoded once. No word, no ids."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_, kind, known = _whole(path).encode_ordinary, _id_type(path), {}
         for b in batches:
-            words, ids = b.column(1).to_pylist(), []
-            for w in words:
+            coded = b.column(2).dictionary_encode()
+            table = []
+            for w in coded.dictionary.to_pylist():
                 if (x := known.get(w)) is None:
                     x = known[w] = np.array(encode_(w), kind).tobytes()
-                ids.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["block", "word", "ids"])
+                table.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(table, pa.binary()).take(coded.indices)], names=["piece", "chunk", "at", "ids"])
             if len(known) > 1_000_000:
                 known = {}
 
     return rows
 
 
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column, and where those of each row begin and the last end."""
+    a = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())  # begins at offset 0
+    if not len(a):
+        return np.empty(0, kind), np.zeros(1, "int64")
+    ends = np.frombuffer(a.buffers()[1], "int32")[a.offset : a.offset + len(a) + 1].astype("int64")
+    data = np.frombuffer(a.buffers()[2] or b"", "uint8")[ends[0] : ends[-1]].tobytes()
+    return np.frombuffer(data, kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
 def _assemble(kind: str):
-    def rows(docs: pa.Table, words: pa.Table) -> pa.Table:
-        known = dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        out = [b"".join(map(known.__getitem__, _SPLIT.findall(t))) if t else b"" for t in docs.column("text").to_pylist()]
-        flat = np.frombuffer(b"".join(out), kind).astype("int32")
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]) // np.dtype(kind).itemsize
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(flat))
-        return pa.table([docs.column("doc_id").combine_chunks(), lists], names=["doc_id", "ids"])
+    def rows(piece: pa.Table) -> pa.Table:
+        head = pa.compute.less(piece.column("chunk"), 0)
+        docs, _ = _flat(piece.filter(head).column("at"), "int64")
+        docs = docs.reshape(-1, 3)
+        body = piece.filter(pa.compute.invert(head))
+        places, begins = _flat(body.column("at"), "uint16")
+        ids, firsts = _flat(body.column("ids").cast(pa.binary()), kind)
+        row = np.repeat(np.arange(body.num_rows), np.diff(begins))
+        at = places.astype("int64") + (body.column("chunk").to_numpy().astype("int64") * CHUNK)[row]
+        n = int(docs[:, 2].sum())
+        if len(at) != n or (n and (np.bincount(at, minlength=n) != 1).any()):
+            raise ValueError("a piece doesn't fit together: its partition was computed twice in different orders")
+        of = np.empty(n, "int64")
+        of[at] = row
+        sizes = np.diff(firsts)[of]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = ids[np.repeat(firsts[of] - ends[:-1], sizes) + np.arange(ends[-1])].astype("int32") if n else np.empty(0, "int32")
+        offsets = ends[np.concatenate([[0], np.cumsum(docs[:, 2])])]
+        return pa.table([pa.array(docs[:, 0], pa.int64(), mask=docs[:, 1] == 1), pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(flat))], names=["doc_id", "ids"])
 
     return rows
 
 
 def encode(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, ids): one row for each row of documents (doc_id, text)."""
-    blocks = documents.select("doc_id", "text", F.floor(F.coalesce("doc_id", F.lit(0)) / BLOCK_IDS).cast("long").alias("block"))
-    asked = blocks.select("block", "text").mapInArrow(_distinct, "block long, word string")
-    told = asked.repartition("word").mapInArrow(_answer(path), "block long, word string, ids binary")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assemble(_id_type(path)), "doc_id long, ids array<int>")
+    exploded = documents.select("doc_id", "text").mapInArrow(_explode, "piece long, chunk int, word string, at binary")
+    told = exploded.hint("rebalance", "word").mapInArrow(_answer(path), "piece long, chunk int, at binary, ids binary")
+    return told.groupBy("piece").applyInArrow(_assemble(_id_type(path)), "doc_id long, ids array<int>")
 
 
 @lru_cache(maxsize=2)

@@ -47,3 +47,32 @@ def test_decoding_of_odd_lists(spark):
 def test_vocabulary_is_named_by_path(spark):
     with pytest.raises(FileNotFoundError):
         encoding.ranks("/nowhere")
+
+
+@pytest.mark.parametrize("ids", [lambda k: k * 9_000_000_001, lambda k: hash((k, "x")), lambda k: None, lambda k: 7])
+def test_sparse_hashed_null_and_equal_ids(spark, monkeypatch, ids):
+    texts = [f"doc {k} says {'word ' * (k % 9)}{k * k}" for k in range(300)] + [None, ""]
+    df = spark.createDataFrame([(ids(k), t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["doc_id"]), list(r["ids"])) for r in encoding.encode(df).collect())
+    assert got == sorted((str(ids(k)), whole(t)) for k, t in enumerate(texts))
+
+
+def test_pieces_chunks_and_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encoding, "CHUNK", 64)
+    monkeypatch.setattr(encoding, "PIECE", 200)
+    monkeypatch.setattr(encoding, "LONG", 2000)
+    texts = ["a b c " * 5, "x y " * 900, None, "", "the end " * 40, "z " * 64, "q"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    told = pa.Table.from_batches(encoding._answer(encoding.TOKENIZER)(encoding._explode(iter([batch]))))
+    pieces = sorted(set(told.column("piece").to_pylist()))
+    assert len(pieces) > 3
+    found = {}
+    for p in pieces:
+        own = told.filter(pa.compute.equal(told.column("piece"), p))
+        out = encoding._assemble(encoding._id_type(encoding.TOKENIZER))(own)
+        found |= dict(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True))
+        with pytest.raises(ValueError):
+            encoding._assemble(encoding._id_type(encoding.TOKENIZER))(pa.concat_tables([own, own]))
+    assert found == {k: whole(t) for k, t in enumerate(texts)}
