@@ -130,7 +130,7 @@ def _answer(path: str):
                     x = known[w] = np.array(encode_(w), kind).tobytes()
                 table.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(table, pa.binary()).take(coded.indices)], names=["piece", "chunk", "at", "ids"])
-            if len(known) > 1_000_000:
+            if len(known) > 250_000:
                 known = {}
 
     return rows

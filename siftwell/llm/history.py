@@ -1,23 +1,26 @@
 """New batches checked against all accepted history: persisted inverted-file cells of full vectors.
 
-A record's vector is its set of two-word sequences, kept whole, and in 512 bits: 256 tell which of the history's most
-frequent sequences it holds, 256 are the parity of its other sequences by hash. The bits in which two vectors
+A record's vector is its set of two-word sequences, kept whole, and in 512 bits of parity: the bits in which two vectors
 differ never outnumber the sequences that only one of the records holds, so they bound the distance from below.
 
-Cells are slabs of SLAB_DAYS days, each divided by the nearest of a few centroids (fitted on at most SAMPLE records).
-A cell's bounds are its days, its sizes and its radius. A query probes the cells whose bounds leave room for a
-match, skips all others, and within a cell keeps what the vector bits leave room for; what remains is compared exactly. So
-no match is missed. Same pages and same fingerprints are found by key. The cells are a table in the shared folder, a folder
-a slab with its cells in order, beside a small table of their bounds; accepted records are appended to both. For likeness and fingerprints a
-check reads only the slabs that lie near its records in time, and shuffles only the cells that it probes. Pages have no limit of
-time, so that the pages and ids of the whole history, and no other columns, are read for them.
+A cell holds the records of one slab of SLAB_DAYS days whose least sequence falls in one range, about CELL_ROWS of them. Its bounds
+are its days, its sizes and its support: a bit for every sequence that any of its records holds. What of a query's sequences isn't in the
+support is in no record of the cell, which bounds the distance of the whole cell from below. A query probes the cells whose bounds leave
+room for a match and skips all others; within a cell the vector bits decide, and what they leave room for is compared exactly. So
+no match is missed.
+
+The history is three tables in the shared folder. Rows: a folder an append and era (ERA_SLABS slabs), in order of slabs and cells, so that
+files and row groups of other days are skipped. Bounds: a small row a cell, in folders as well. Pages: the pages of accepted records with their
+ids. A check reads the bounds and the rows of the slabs near its records, of the latter shuffles only those of cells that it probes, and, as
+pages have no limit of time, the table of pages, which is looked up without being shuffled. Accepted records are appended to all
+three; nothing that is there is rewritten for it.
 
 Acceptance in order of batch and id is settled in rounds: of the undecided records, those without an undecided
 earlier relative are accepted, and their relatives rejected, until none is left. Copies (same page, fingerprint,
 instant and sequences, of which some rule holds) are one class, of which only the first can be accepted.
 
 Defined results: a null or blank address, fingerprint or an unreadable time takes no part in the rule that needs it; summaries of fewer than 12 words
-take no part in likeness; equal order can't occur, as ids are unique; repeated rows count once; whole texts are
+take no part in likeness; equal order can't occur, as ids are unique; repeated rows count once; rows without a batch come first; whole texts are
 treated; extra columns are ignored; empty batches give no rows, and an empty history only the batches' own repeats.
 """
 
@@ -26,218 +29,254 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.urls import page_key
-from siftwell.llm.likeness import LIKE, gram_arrays, gram_sets, words_of
+from siftwell.llm.likeness import LIKE, gram_sets, words_of
+from siftwell.llm.neardup import ODD, parities
 from siftwell.operators.timeline import instants
 from siftwell.session import cut, scratch_path
 
 DAYS_APART = 3
 SLAB_DAYS = 3
+#: Slabs whose cells lie in one folder.
+ERA_SLABS = 16
 DAY_US = 86_400_000_000
-SAMPLE, CENTROIDS, FREQUENT = 20_000, 8, 256
-PART_ROWS = 20_000
-#: Cells up to which their sizes are broadcast (a few MB); more are joined by shuffle.
+SPAN = DAYS_APART * DAY_US
+CELL_ROWS = 16
+#: Bits of a cell's support, about eight a sequence.
+SUPPORT = 1 << 14
+#: Cells and queries that one task compares at a time.
+CELLS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1 << 16
+#: Keys up to which a batch's side is broadcast (a few MB); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
-_SCHEMA = "id long, us long, page long, page2 int, fp string, one long, two long, cell int, off int, n int, vec binary, grams array<int>"
-_BOUNDS = "slab int, cell int, radius int, n_min int, n_max int, us_min long, us_max long, rows long"
-
-
-class Frame:
-    """What the vectors are measured by: the frequent sequences (sorted 32-bit hashes) and the centroids' bits."""
-
-    def __init__(self, frequent: np.ndarray, centroids: np.ndarray) -> None:
-        self.frequent, self.centroids = frequent, centroids
-
-
-def vectors(offsets: np.ndarray, grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """[n, 8] words of each set: 4 of frequent sequences, 4 of the parity of the others."""
-    n = len(offsets) - 1
-    out = np.zeros((n, 8), "uint64")
-    if not n:
-        return out
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        known = frequent[at] == grams
-    else:
-        at, known = np.zeros(len(grams), "int64"), np.zeros(len(grams), bool)
-    bit = np.where(known, at, FREQUENT + (grams.view("uint32") & np.uint32(255)).astype("int64"))
-    one = np.uint64(1) << (bit & 63).astype("uint64")
-    for w in range(8):
-        out[:, w] = np.bitwise_xor.reduceat(np.where(bit >> 6 == w, one, np.uint64(0)), offsets[:-1])
-    return out
-
-
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype="int64")
-
-
-def fit(records: DataFrame) -> Frame:
-    """The frame, from at most SAMPLE records chosen by the hash of their ids."""
-    some = min(1.0, 1.2 * SAMPLE / max(1, records.count()))
-    chosen = records.select("id", "title", "summary").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(some * (1 << 20)))  # so that few rows are sorted
-    sample = cut(gram_arrays(chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)))
-    top = sample.select(F.explode("grams").alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r["g"] for r in top], "int32"))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = b.column(0).flatten()
-            v = vectors(np.concatenate([[0], np.cumsum(b.column(0).value_lengths().to_numpy())]), sets.to_numpy(), frequent)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in v[:, :4]], pa.binary())], names=["bits"])
-
-    found = [bytes(r["bits"]) for r in sample.select("grams").mapInArrow(held, "bits binary").collect()]  # 32 bytes of at most SAMPLE records
-    if not found:
-        return Frame(frequent, np.zeros((1, 4), "uint64"))
-    bits = np.frombuffer(b"".join(found), "uint64").reshape(len(found), 4)
-    rng = np.random.default_rng(7)
-    centroids = bits[rng.choice(len(bits), min(CENTROIDS, len(bits)), replace=False)]
-    for _ in range(6):  # majority of the bits of each centroid's records
-        near = np.stack([_differ(bits, c) for c in centroids], 1).argmin(1)
-        own = np.unpackbits(bits.view("uint8").reshape(len(bits), 32), axis=1, bitorder="little")
-        centroids = np.stack([np.packbits(own[near == k].mean(0) > 0.5, bitorder="little").view("uint64") if (near == k).any() else c for k, c in enumerate(centroids)])
-    return Frame(frequent, centroids)
-
-
-def _vector_rows(frame: Frame):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            texts = [words_of(t, s) for t, s in zip(c["title"].to_pylist(), c["summary"].to_pylist(), strict=True)]
-            at, offsets, g = gram_sets(texts)
-            n = b.num_rows
-            size, cell, off = np.zeros(n, "int32"), np.full(n, -1, "int32"), np.zeros(n, "int32")
-            one, two, vec = np.zeros(n, "int64"), np.zeros(n, "int64"), [None] * n
-            flat = (g >> np.uint64(32)).astype("uint32").view("int32")
-            if len(at):
-                v = vectors(offsets, flat, frame.frequent)
-                far = np.stack([_differ(v[:, :4], k) for k in frame.centroids], 1)
-                size[at], cell[at], off[at] = np.diff(offsets), far.argmin(1), far.min(1)
-                with np.errstate(over="ignore"):
-                    one[at] = np.add.reduceat(g, offsets[:-1]).view("int64")
-                    two[at] = np.bitwise_xor.reduceat(g * np.uint64(0xD6E8FEB86659FD93) ^ (g >> np.uint64(32)), offsets[:-1]).view("int64")
-                for k, i in enumerate(at):
-                    vec[i] = v[k].tobytes()
-            full = np.zeros(n, "int64")
-            full[at] = np.diff(offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [c["id"], c["us"], c["page"], c["page2"], c["fp"], pa.array(one), pa.array(two), pa.array(cell), pa.array(off), pa.array(size), pa.array(vec, pa.binary()), lists],
-                names=["id", "us", "page", "page2", "fp", "one", "two", "cell", "off", "n", "vec", "grams"],
-            )
-
-    return rows
-
-
-def _vectorised(records: DataFrame, times: DataFrame, frame: Frame) -> DataFrame:
-    """Rows of _SCHEMA of records (id, title, summary, canonical_url, fingerprint); times: (id, utc_us)."""
+_V = [f"v{i}" for i in range(ODD)]
+_VECTORS = "id long, page long, page2 int, fp string, one long, two long, n int, least int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
+_ROWS = "id long, us long, fp string, n int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>, cell int, slab int, part string"
+_BOUNDS = "cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary, slab int, part string"
+_PAGES = "page long, page2 int, id long"
+_COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
+
+
+def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        c = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+        at, offsets, g = gram_sets([words_of(t, s) for t, s in zip(c["title"].to_pylist(), c["summary"].to_pylist(), strict=True)])
+        n = b.num_rows
+        size, least, one, two = np.zeros(n, "int32"), np.zeros(n, "int32"), np.zeros(n, "int64"), np.zeros(n, "int64")
+        vec, full = np.zeros((ODD, n), "int64"), np.zeros(n, "int64")
+        if len(at):
+            size[at] = full[at] = np.diff(offsets)
+            with np.errstate(over="ignore"):
+                least[at] = (np.minimum.reduceat(g * np.uint64(0xD6E8FEB86659FD93), offsets[:-1]) >> np.uint64(33)).astype("int32")
+                one[at] = np.add.reduceat(g, offsets[:-1]).view("int64")
+                two[at] = np.bitwise_xor.reduceat(g * np.uint64(0xD6E8FEB86659FD93) ^ (g >> np.uint64(32)), offsets[:-1]).view("int64")
+            vec[:, at] = parities(offsets, g).view("int64")
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32()), pa.array((g >> np.uint64(32)).astype("uint32").view("int32"), pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [c["id"], c["page"], c["page2"], c["fp"], *(pa.array(x) for x in (one, two, size, least, *vec)), lists], names=["id", "page", "page2", "fp", "one", "two", "n", "least", *_V, "grams"]
+        )
+
+
+def _vectorised(records: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows of _VECTORS and `us` of records (id, title, summary, canonical_url, fingerprint); times: (id, utc_us)."""
     page = page_key(F.col("canonical_url"))
     rows = records.where("id is not null").select(
         "id", "title", "summary", F.when(page.isNotNull(), F.xxhash64(page)).alias("page"), F.when(page.isNotNull(), F.hash(page)).alias("page2"), F.when(F.trim("fingerprint") != "", F.trim("fingerprint")).alias("fp")
     )
-    rows = rows.withColumn("us", F.lit(None).cast("long")).mapInArrow(_vector_rows(frame), _SCHEMA)
-    return rows.drop("us").join(times.select("id", F.col("utc_us").alias("us")), "id", "left")
+    return rows.mapInArrow(_vector_rows, _VECTORS).join(times.select("id", F.col("utc_us").alias("us")), "id", "left")
 
 
 def _slab(us: Column) -> Column:
     return F.floor(us / (SLAB_DAYS * DAY_US)).cast("int")
 
 
+def _era(slab: Column) -> Column:
+    return F.floor(slab / ERA_SLABS).cast("int")
+
+
 def _slabs_near(us: Column) -> Column:
-    span = DAYS_APART * DAY_US
-    return F.explode(F.sequence(_slab(us - span), _slab(us + span)))
+    return F.explode(F.sequence(_slab(us - SPAN), _slab(us + SPAN)))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of _ROWS without their part, and pages: each with its slab and its cell; rows without sequences are in cell -1."""
+    rows = rows.withColumn("slab", _slab(F.col("us")))
+    sizes = rows.where("n > 0 and us is not null").groupBy("slab").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"))  # a row a slab
+    cell = F.when(F.col("n") > 0, F.shiftright(F.col("least").cast("long") * F.col("cells"), 31).cast("int")).otherwise(-1)
+    return rows.join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "least")
+
+
+def _bounds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_BOUNDS of rows (slab, cell, us, n, grams) in order of slab and cell; a cell that lies in two batches gets two rows."""
+    for b in batches:
+        for s in range(0, b.num_rows, 8192):
+            part = b.slice(s, 8192)
+            slab, cell, us, n = (part.column(i).to_numpy() for i in range(4))
+            begins = np.concatenate([[0], np.flatnonzero((slab[1:] != slab[:-1]) | (cell[1:] != cell[:-1])) + 1])
+            own = np.repeat(np.arange(len(begins)), np.diff([*begins, len(slab)]))
+            grams, sizes = part.column(4).flatten().to_numpy(), part.column(4).value_lengths().to_numpy()
+            held = np.zeros((len(begins), SUPPORT), bool)
+            held[np.repeat(own, sizes), grams.view("uint32") & np.uint32(SUPPORT - 1)] = True
+            bits = np.packbits(held, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slab[begins]), pa.array(cell[begins]), pa.array(np.bincount(own)), *(pa.array(f.reduceat(x, begins)) for x, f in ((n, np.minimum), (n, np.maximum), (us, np.minimum), (us, np.maximum))), pa.array([x.tobytes() for x in bits], pa.binary())],
+                names=["slab", "cell", "rows", "n_min", "n_max", "us_min", "us_max", "support"],
+            )
 
 
 def _bounds(rows: DataFrame) -> DataFrame:
-    """_BOUNDS of the cells of rows with a time; rows without sequences are in cell -1."""
-    cells = rows.where("us is not null").groupBy("slab", "cell")
-    return cells.agg(F.max("off").alias("radius"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("us").alias("us_min"), F.max("us").alias("us_max"), F.count("*").alias("rows"))
+    return rows.where("cell >= 0").select("slab", "cell", "us", "n", "grams").mapInArrow(_bounds_rows, "slab int, cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary")
+
+
+def _probe(asked: pa.Table, cells: pa.Table) -> pa.Table:
+    """(slab, part, cell, new, probed): the cells whose days and sizes suit a query, and whether their support leaves room for a match.
+
+    asked: new, us, n, grams; cells: as of _BOUNDS; both of one slab.
+    """
+    names = ["slab", "part", "cell", "new", "probed"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+    if not asked.num_rows or not cells.num_rows:
+        return pa.table([pa.array([], k) for k in kinds], names=names)
+    low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
+    bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
+    held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
+    us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
+    grams = asked.column("grams").combine_chunks()
+    at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+    found, step = [], max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
+    for s in range(0, len(n), step):
+        e = min(len(n), s + step)
+        both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64")
+        m, t = n[s:e, None], us[s:e, None]
+        suits = (first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m)
+        room = both >= (m + np.maximum(low, m * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
+        q, c = np.nonzero(suits)
+        found.append((q + s, c, room[q, c]))
+    q, c, room = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table([cells.column("slab").take(pa.array(c)), cells.column("part").take(pa.array(c)), cells.column("cell").take(pa.array(c)), asked.column("new").take(pa.array(q)), pa.array(room)], names=names)
 
 
 class History:
-    """All that was accepted, as a table of cells in the shared folder."""
+    """All that was accepted, as tables of cells, bounds and pages in the shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str, frame: Frame) -> None:
-        self.spark, self.path, self.frame = spark, path, frame
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
     @classmethod
     def build(cls, items: DataFrame, times: DataFrame, path: str | None = None) -> History:
         """Everything in `items` is accepted; times: (id, utc_us)."""
-        spark = items.sparkSession
-        made = cls(spark, path or scratch_path(spark, "history"), fit(items))
-        made.append(_vectorised(items, times, made.frame), "base")
+        made = cls(items.sparkSession, path or scratch_path(items.sparkSession, "history"))
+        made.append(_placed(_vectorised(items, times).dropDuplicates(["id"])), "base")
         return made
 
-    def append(self, rows: DataFrame, name: str) -> None:
-        """Adds accepted rows to their cells; a name written again replaces what it held."""
-        placed = rows.withColumn("slab", _slab(F.col("us"))).hint("rebalance", "slab").sortWithinPartitions("slab", "cell")
-        placed.write.mode("overwrite").partitionBy("slab").parquet(f"{self.path}/rows/part={name}")
-        _bounds(self._read(f"rows/part={name}", _SCHEMA + ", slab int")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bounds/part={name}")
-
-    def _read(self, below: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{below}")
-
-    def cells(self) -> DataFrame:
-        return self._read("rows", _SCHEMA + ", slab int")
-
-    def bounds(self) -> DataFrame:
-        """_BOUNDS of all cells, from what each append wrote."""
-        kept = self._read("bounds", _BOUNDS)
-        return kept.groupBy("slab", "cell").agg(F.max("radius").alias("radius"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max"), F.min("us_min").alias("us_min"), F.max("us_max").alias("us_max"), F.sum("rows").alias("rows"))
-
-    def near(self, new: DataFrame, bounds: DataFrame) -> DataFrame:
-        """The cells of the slabs that lie near the new rows in time; no file of another slab is read."""
-        asked = new.where("us is not null").select(_slabs_near(F.col("us")).alias("slab")).distinct()
-        slabs = [r["slab"] for r in bounds.select("slab").distinct().join(asked, "slab").collect()]  # one a slab of the history at most
-        return self.cells().where(F.col("slab").isin(slabs))
-
-    def vectorised(self, batch: DataFrame, times: DataFrame) -> DataFrame:
-        return cut(_vectorised(batch, times, self.frame).join(batch.select("id", "batch_id"), "id").dropDuplicates(["id"]))
+    def append(self, placed: DataFrame, name: str) -> None:
+        """Adds accepted rows, as of `_placed`, to their cells; a name written again replaces what it held."""
+        rows = placed.select(*(c for c in _COLUMNS if c != "part"), "page", "page2", _era(F.col("slab")).alias("era"))  # rows without a time have pages only
+        rows.hint("rebalance", "era").sortWithinPartitions("era", "slab", "cell").write.mode("overwrite").partitionBy("era").parquet(f"{self.path}/rows/part={name}")
+        kept = self._read("rows", _ROWS + ", page long, page2 int, era int", [f"part={name}"])
+        bounds = _bounds(kept.where("slab is not null")).withColumn("era", _era(F.col("slab")))
+        bounds.hint("rebalance", "era").sortWithinPartitions("era", "slab").write.mode("overwrite").partitionBy("era").parquet(f"{self.path}/bounds/part={name}")
+        kept.where("page is not null").select("page", "page2", "id").hint("rebalance").write.mode("overwrite").parquet(f"{self.path}/pages/part={name}")
+
+    def _below(self, folder: str) -> list[str]:
+        """The names of what lies in a folder, by one listing."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _read(self, table: str, schema: str, folders: list[str]) -> DataFrame:
+        """Rows of the folders of a table; other folders aren't even listed."""
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/{f}" for f in folders))
+
+    def _near(self, table: str, schema: str, slabs: list[int]) -> DataFrame:
+        eras = {f"era={s // ERA_SLABS}" for s in slabs}
+        folders = [f"{part}/{era}" for part in self._below(table) if part.startswith("part=") for era in self._below(f"{table}/{part}") if era in eras]
+        return self._read(table, schema + ", era int", folders).where(F.col("slab").isin(slabs))
+
+    def rows(self, slabs: list[int]) -> DataFrame:
+        """_ROWS of the slabs; no folder of another era is read."""
+        return self._near("rows", _ROWS, slabs).select(*_COLUMNS)
+
+    def bounds(self, slabs: list[int]) -> DataFrame:
+        """_BOUNDS of the slabs' cells, from what each append wrote."""
+        return self._near("bounds", _BOUNDS, slabs).drop("era")
+
+    def pages(self) -> DataFrame:
+        return self._read("pages", _PAGES, [p for p in self._below("pages") if p.startswith("part=")])
 
     def check(self, batch: DataFrame, times: DataFrame, append_as: str | None = None) -> DataFrame:
         """(accepted_id, id) for the rows of one or more batches that repeat accepted records; the accepted are appended.
 
         batch: id, batch_id, title, summary, canonical_url, fingerprint; times: (id, utc_us) of its rows.
         """
-        new = self.vectorised(batch, times)
         order = F.struct("batch_id", "id")
+        numbered = batch.select("id", F.coalesce("batch_id", F.lit(-1)).alias("batch_id"))
+        new = _vectorised(batch, times).join(numbered, "id").dropDuplicates(["id"])
         # copies repeat each other by some rule; rows that none applies to stand alone
         by_rule = F.col("page").isNotNull() | (F.col("us").isNotNull() & (F.col("fp").isNotNull() | (F.col("n") > 0)))
-        new = new.withColumn("solo", F.when(~by_rule, F.col("id")))
+        new = cut(_placed(new.withColumn("solo", F.when(~by_rule, F.col("id")))))
         kinds = ["page", "page2", "fp", "us", "one", "two", "solo"]
         reps = new.groupBy(*kinds).agg(F.min(order).alias("first"))
         same = [F.col(f"new.{k}").eqNullSafe(F.col(f"reps.{k}")) for k in kinds]
-        members = new.select("id", "batch_id", *kinds).alias("new").join(reps.alias("reps"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep"))
-        members = cut(members)
-        heads = new.join(members.where("id = rep").select("id"), "id", "left_semi")
-        bounds = cut(self.bounds())
-        old = cut(self._related(self.near(heads, bounds), heads, bounds))
-        own = cut(self._related(heads, heads, cut(_bounds(heads.withColumn("slab", _slab(F.col("us")))))).where("old < new"))
-        accepted = cut(self._settle(heads, old, own))
-        found = self._repeats(members, old, own, accepted)
+        members = cut(new.alias("new").join(reps.alias("reps"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep")))
+        heads = cut(new.join(members.where("id = rep").select("id"), "id", "left_semi").withColumn("part", F.lit("")).repartition("slab").sortWithinPartitions("slab", "cell"))
+        related = cut(self._related(heads))
+        old, own = related.where("part != ''").select("old", "new"), related.where("part = '' and old < new").select("old", "new")
+        asked = members.where("page is not null").select("page", "page2").distinct()
+        held = cut(self.pages().join(F.broadcast(asked) if members.count() <= BROADCAST_ROWS else asked, ["page", "page2"]).select("page", "page2", F.col("id").alias("accepted_id")))
+        accepted = cut(self._settle(heads, old, own, held))
+        found = cut(self._repeats(members, old, own, held, accepted))
         if append_as:
-            found = cut(found)  # before the history holds what was accepted just now
-            self.append(new.join(accepted.select("id"), "id", "left_semi").drop("batch_id", "solo"), append_as)
+            self.append(heads.join(accepted.select("id"), "id", "left_semi"), append_as)
         return found
 
-    def _related(self, old: DataFrame, new: DataFrame, bounds: DataFrame) -> DataFrame:
-        """(old, new) of records that are near in time and have one fingerprint or are alike."""
-        span = DAYS_APART * DAY_US
-        a = old.where("us is not null")
-        b = new.where("us is not null")
-        fa, fb = a.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp"), b.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp")
-        by_print = fa.join(fb, "fp").where(F.abs(F.col("us_old") - F.col("us_new")) <= span).where("old != new").select("old", "new")
-        return by_print.unionByName(_alike(a.where("cell >= 0"), b.where("cell >= 0"), bounds.where("cell >= 0"), self.frame)).distinct()
-
-    def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame) -> DataFrame:
+    def _related(self, heads: DataFrame) -> DataFrame:
+        """(old, new, part) of records that are near in time and have one fingerprint or are alike; part is '' where both are of the batch."""
+        timed = heads.where("us is not null")
+        slabs = [r["slab"] for r in timed.select(_slabs_near(F.col("us")).alias("slab")).distinct().collect()]  # one a slab of days
+        rows = self.rows(slabs).unionByName(timed.select(*_COLUMNS))
+        asked = timed.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp", _slabs_near(F.col("us")).alias("slab"))
+        by_print = rows.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp", "slab", "part").join(asked, ["fp", "slab"])
+        by_print = by_print.where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new"))).select("old", "new", "part")
+        probes = cut(self.probes(heads, slabs).where("probed").select("slab", "part", "cell", "new").distinct())
+        cells = probes.select("slab", "part", "cell").distinct()
+        some = probes.count()
+        rows = rows.where("cell >= 0").join(F.broadcast(cells) if some <= BROADCAST_ROWS else cells, ["slab", "part", "cell"], "left_semi")  # no row of another cell is shuffled
+        x = rows.select("slab", "part", "cell", F.col("id").alias("old"), F.col("us").alias("us_old"), F.col("n").alias("n_old"), F.col("grams").alias("g_old"), *(F.col(v).alias(f"{v}_old") for v in _V))
+        y = probes.join(timed.select(F.col("id").alias("new"), F.col("us").alias("us_new"), F.col("n").alias("n_new"), F.col("grams").alias("g_new"), *(F.col(v).alias(f"{v}_new") for v in _V)), "new")
+        differ = sum((F.bit_count(F.col(f"{v}_old").bitwiseXOR(F.col(f"{v}_new"))) for v in _V), F.lit(0))
+        near = x.join(y, ["slab", "part", "cell"]).where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
+        near = near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE)))
+        both = F.size(F.array_intersect("g_old", "g_new"))
+        alike = near.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
+        return by_print.unionByName(alike).distinct()
+
+    def probes(self, heads: DataFrame, slabs: list[int]) -> DataFrame:
+        """(slab, part, cell, new, probed) of the cells near each of the heads in days and sizes; those of the heads are of the part ''."""
+        asked = heads.where("us is not null and cell >= 0").select(F.col("id").alias("new"), "us", "n", "grams")
+        held, own = self.bounds(slabs), heads.where("us is not null and cell >= 0")
+        cells = held.unionByName(_bounds(own).withColumn("part", F.lit("")))
+        sizes = held.select("slab", "cell").unionByName(own.select("slab", "cell").distinct()).groupBy("slab").agg(F.ceil(F.count("*") / CELLS_AT_ONCE).cast("int").alias("chunks")).collect()  # one a slab of days
+        if not sizes:
+            return self.spark.createDataFrame([], "slab int, part string, cell int, new long, probed boolean")
+        chunks = F.broadcast(self.spark.createDataFrame([tuple(r) for r in sizes], "slab int, chunks int"))
+        blocks = 1 + asked.count() // QUERIES_AT_ONCE
+        to = [F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")]
+        cells = cells.join(chunks, "slab").select(*(c for c in cells.columns), F.pmod(F.xxhash64("part", "cell"), F.col("chunks")).cast("int").alias("chunk"), *to)
+        asked = asked.select("*", _slabs_near(F.col("us")).alias("slab"), F.pmod(F.xxhash64("new"), F.lit(blocks)).cast("int").alias("block")).join(chunks, "slab")
+        asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        keys = ["slab", "chunk", "block"]
+        return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(_probe, "slab int, part string, cell int, new long, probed boolean")
+
+    def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame) -> DataFrame:
         """(id, batch_id, page, page2) of the accepted heads."""
-        pages = self.cells().where("page is not null").select("page", "page2").distinct()
-        open_ = heads.select("id", "batch_id", "page", "page2").join(old.select(F.col("new").alias("id")).distinct(), "id", "left_anti").join(pages, ["page", "page2"], "left_anti")
+        open_ = heads.select("id", "batch_id", "page", "page2").join(old.select(F.col("new").alias("id")).distinct(), "id", "left_anti").join(held.select("page", "page2").distinct(), ["page", "page2"], "left_anti")
         open_ = cut(open_)
         done = None
         while not open_.isEmpty():
@@ -254,9 +293,9 @@ class History:
             done = ready if done is None else done.unionByName(ready)
         return open_ if done is None else done
 
-    def _repeats(self, members: DataFrame, old: DataFrame, own: DataFrame, accepted: DataFrame) -> DataFrame:
+    def _repeats(self, members: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame, accepted: DataFrame) -> DataFrame:
         keyed = members.where("page is not null")
-        by_page = keyed.join(self.cells().select(F.col("id").alias("accepted_id"), "page", "page2"), ["page", "page2"]).where("accepted_id != id").select("accepted_id", "id", F.lit(None).cast("int").alias("b"), "batch_id")
+        by_page = keyed.join(held, ["page", "page2"]).where("accepted_id != id").select("accepted_id", "id", F.lit(None).cast("int").alias("b"), "batch_id")
         inside = accepted.where("page is not null").select(F.col("id").alias("accepted_id"), F.col("batch_id").alias("b"), "page", "page2")
         by_page_own = keyed.join(inside, ["page", "page2"]).select("accepted_id", "id", "b", "batch_id")
         by_old = members.join(old.select(F.col("old").alias("accepted_id"), F.col("new").alias("rep")), "rep").select("accepted_id", "id", F.lit(None).cast("int").alias("b"), "batch_id")
@@ -268,62 +307,13 @@ class History:
         return rows.where(earlier).select("accepted_id", "id").distinct()
 
 
-def _alike(old: DataFrame, new: DataFrame, bounds: DataFrame, frame: Frame) -> DataFrame:
-    """(old, new) of likeness LIKE or more at most DAYS_APART days apart: probe, bound, compare exactly. bounds: of the cells of old."""
-    rows = old.withColumn("slab", _slab(F.col("us")))
-    meta = bounds.withColumn("parts", F.ceil(F.col("rows") / PART_ROWS).cast("int"))  # a row a cell: at most CENTROIDS a slab of days
-    span = DAYS_APART * DAY_US
-    centroids = [np.ascontiguousarray(c) for c in frame.centroids]
-
-    def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            v = np.frombuffer(b"".join(p.vec), "uint64").reshape(len(p), 8)[:, :4]
-            yield p.assign(far=[x.tolist() for x in np.stack([_differ(v, c) for c in centroids], 1).astype("int32")] if len(p) else [])
-
-    asked = new.select("id", "us", "n", "vec").mapInPandas(far, "id long, us long, n int, vec binary, far array<int>")
-    asked = asked.withColumn("slab", _slabs_near(F.col("us")))
-    probes = asked.withColumnRenamed("us", "q_us").withColumnRenamed("n", "q_n").join(meta, "slab")
-    room = (F.col("q_n") + F.col("n_max")) * ((1 - LIKE) / (1 + LIKE))
-    bound = F.get("far", F.col("cell")) - F.col("radius")
-    probes = probes.where((F.col("us_min") <= F.col("q_us") + span) & (F.col("us_max") >= F.col("q_us") - span) & (bound <= room) & (F.col("n_max") >= F.col("q_n") * LIKE) & (F.col("n_min") * LIKE <= F.col("q_n")))
-    sizes = cut(probes.select("slab", "cell", "parts").distinct())  # of the cells that are probed; no row of another is shuffled
-    rows = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, ["slab", "cell"])
-    probes = probes.select("slab", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"), "id", F.col("q_us").alias("us"), F.col("q_n").alias("n"), "vec")
-    parts = rows.withColumn("piece", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    parts = parts.select("slab", "cell", "piece", "id", "us", "n", "vec")
-    near = parts.groupBy("slab", "cell", "piece").cogroup(probes.groupBy("slab", "cell", "piece")).applyInPandas(_in_cell, "old long, new long")
-    x, y = rows.select(F.col("id").alias("old"), F.col("grams").alias("gx")), new.select(F.col("id").alias("new"), F.col("grams").alias("gy"))
-    both = F.size(F.array_intersect("gx", "gy"))
-    return near.join(x, "old").join(y, "new").where(both >= LIKE * (F.size("gx") + F.size("gy") - both)).select("old", "new")
-
-
-def _in_cell(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """What the vector bits leave room for."""
-    if not len(rows) or not len(asked):
-        return pd.DataFrame({"old": pd.Series([], dtype="int64"), "new": pd.Series([], dtype="int64")})
-    v, q = (np.frombuffer(b"".join(p.vec), "uint64").reshape(len(p), 8).T.copy() for p in (rows, asked))
-    n, m = rows.n.to_numpy("int64"), asked.n.to_numpy("int64")
-    t, u = rows.us.to_numpy("int64"), asked.us.to_numpy("int64")
-    ids, own = rows.id.to_numpy(), asked.id.to_numpy()
-    out, step = [], max(1, 400_000 // len(n))
-    for s in range(0, len(m), step):
-        e = slice(s, s + step)
-        differ = np.zeros((len(m[e]), len(n)), "uint16")
-        for w in range(8):
-            differ += np.bitwise_count(q[w][e][:, None] ^ v[w][None, :])
-        room = np.minimum((m[e][:, None] + n[None, :]) * ((1 - LIKE) / (1 + LIKE)), 512).astype("uint16")  # vectors have 512 bits
-        i, j = np.nonzero(differ <= room)
-        i += s
-        keep = (np.abs(u[i] - t[j]) <= DAYS_APART * DAY_US) & (own[i] != ids[j])
-        out.append(np.stack([ids[j[keep]], own[i[keep]]], 1))
-    found = np.concatenate(out)
-    return pd.DataFrame({"old": found[:, 0], "new": found[:, 1]})
-
-
 def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame) -> DataFrame:
-    """(accepted_id, id) over a history of `items` and the batches of `incoming`."""
-    meta = "metadata_json" if "metadata_json" in items.columns else None
-    base = items.select("id", "source_id", "published_at", *([meta] if meta else []))
-    late = incoming.select("id", "source_id", "published_at", *([F.lit(None).cast("string").alias(meta)] if meta else []))
-    times = cut(instants(base.unionByName(late), sources))
-    return History.build(items, times).check(incoming, times)
+    """(accepted_id, id): the batches of `incoming`, one after the other, against `items` and what was accepted before."""
+    kept = History.build(items, instants(items, sources))
+    times = cut(instants(incoming.select("id", "source_id", "published_at"), sources))
+    found = None
+    for r in incoming.select("batch_id").distinct().orderBy(F.asc_nulls_first("batch_id")).collect():  # one a batch
+        batch = incoming.where(F.col("batch_id").eqNullSafe(F.lit(r["batch_id"])))
+        now = kept.check(batch, times, f"batch-{r['batch_id']}")
+        found = now if found is None else found.unionByName(now)
+    return found if found is not None else kept.spark.createDataFrame([], "accepted_id long, id long")
