@@ -1,13 +1,17 @@
 """Long exact spans shared between documents, found through windows that are counted before they are grouped.
 
 Windows are runs of GRAM characters, chosen by their content: the one of least hash in every row of LEAST - GRAM + 1
-neighbours. Two texts that share a run of LEAST characters choose the same window in it. Each partition
-counts its windows into a count-min sketch; the sketches are merged and only ever count too much, so a second
-pass groups exactly those windows that may repeat and loses none. Windows that do repeat are carried to their
-texts, pairs of documents are compared there character by character, and runs are extended to their full length.
-
-A window that more than HOT documents hold isn't paired: each of its occurrences gives all runs of LEAST characters
-around it by hash, and documents meet only where such a run is equal. That decides the same pairs exactly.
+neighbours. Two texts that share a run of LEAST characters choose the same window in it. Windows are dealt to ranges of their hash, as
+many as keep a range at RANGE_WINDOWS on average, and each range counts the windows of all partitions in a count-min sketch of its own, as wide as
+it has windows: the sketches of the partitions' parts are merged there and only ever count too much, so a second pass over the range keeps
+exactly those windows that may repeat and loses none; these are grouped exactly. Before they are sent, the windows of a partition are put together in
+chunks: a window that several documents of a chunk hold is known to repeat and passes by the ranges, which get it once. So no range grows with
+a window that half the corpus holds, and nothing is merged on the driver.
+
+Windows that do repeat are carried to their texts, pairs of documents are compared there character by character, and runs are extended to their full
+length. That costs a comparison a pair. Where a window has more than HOT occurrences, it is cheaper to give all runs of LEAST characters
+around each occurrence by hash, so that documents meet where such a run is equal: that costs at most GRAM + 1 rows an occurrence and
+decides the same pairs exactly. Runs that the same documents hold are one class, with their number, and only one run of a class gives its pairs.
 
 Defined results: null, empty and shorter texts share nothing; a document doesn't share with itself; line ends, emoji and
 other characters are compared as they are; equal texts share all of themselves; periodic texts are compared once a shift; very long texts are cut into overlapping
@@ -22,22 +26,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.session import cut
 
 LEAST, GRAM = 200, 100
-HOT = 200
+#: Occurrences of a window from which its runs are hashed instead of compared pair by pair; both ways give the same.
+HOT = 32
 PIECE = 1 << 19
-#: Counters of a row of the sketch: twice the expected windows, within these bounds. ROWS of one byte each are merged and
-#: broadcast, so at most 64 MB; a fuller sketch lets more windows into the second pass and changes no result.
-ROWS, LEAST_WIDTH, MOST_WIDTH = 2, 1 << 16, 1 << 25
-_SEGMENT = 1 << 16
+#: Windows of a range on average, windows that are put together before they are sent, and rows of a sketch.
+RANGE_WINDOWS, CHUNK_WINDOWS, ROWS = 1 << 16, 1 << 18, 2
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ROW = LEAST - GRAM + 1
+_WINDOW = np.dtype([("h", "uint64"), ("doc", "int64"), ("pos", "int32"), ("n", "uint8")])
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -115,54 +120,72 @@ def _cells(h: np.ndarray, width: int) -> list[np.ndarray]:
         return [((h * m) >> np.uint64(64 - width.bit_length() + 1)).astype("int64") for m in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))]
 
 
-def _sketch(width: int):
+def _dealt(bits: int):
+    """(part, rows): the windows of a partition, chunk by chunk, dealt to 2 ** bits ranges of their hash; parts below 0 are of windows
+    that several documents of a chunk hold. Windows of a part are records of _WINDOW: how much a window counts for is told once a chunk."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ROWS, width), "uint8")
+        context = TaskContext.get()
+        sure = -1 - ((context.partitionId() if context else 0) << 24)
+        held, size = [], 0
+
+        def chunk() -> pa.RecordBatch:
+            nonlocal sure, held, size
+            doc, pos, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            w = np.zeros(len(h), _WINDOW)
+            w["h"], w["doc"], w["pos"] = h[order], doc[order], pos[order]
+            begins = np.concatenate([[0], np.flatnonzero(w["h"][1:] != w["h"][:-1]) + 1])
+            several = np.minimum.reduceat(w["doc"], begins) != np.maximum.reduceat(w["doc"], begins)
+            w["n"][begins] = np.where(several, 2, 1)
+            own = np.repeat(several, np.diff([*begins, len(w)]))
+            told = w[begins[several]]
+            told["pos"] = -1
+            rest = np.concatenate([w[~own], told])
+            rest = rest[np.argsort(rest["h"], kind="stable")]
+            part = (rest["h"] >> np.uint64(64 - bits)).astype("int64") if bits else np.zeros(len(rest), "int64")
+            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(rest)]])
+            parts, data = part[cuts[:-1]].tolist(), [rest[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if own.any():
+                parts, data, sure = [*parts, sure], [*data, w[own].tobytes()], sure - 1
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "rows"])
+
         for b in batches:
-            for _, _, h in _windows(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for r, cell in enumerate(_cells(h, width)):
-                    at, n = np.unique(cell, return_counts=True)
-                    counts[r, at] = np.minimum(2, counts[r, at] + np.minimum(n, 2))
-        segment = min(_SEGMENT, width)
-        parts = [(r, s, counts[r, s : s + segment]) for r in range(ROWS) for s in range(0, width, segment)]
-        parts = [(r, s, x.tobytes()) for r, s, x in parts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["r", "s", "counts"])
+            for doc, pos, h in _windows(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(h):
+                    held.append((doc, pos, h))
+                    size += len(h)
+                if size >= CHUNK_WINDOWS:
+                    yield chunk()
+        if size:
+            yield chunk()
 
     return rows
 
 
-def _merge(p: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(p.counts.iat[0]), "uint8")
-    for x in p.counts:
-        total = np.minimum(2, total + np.frombuffer(x, "uint8"))
-    return pd.DataFrame({"r": [p.r.iat[0]], "s": [p.s.iat[0]], "counts": [total.tobytes()]})
+def _estimated(part: pa.Table) -> pa.Table:
+    """(h, doc, pos) of the windows of a part that may repeat, by the merged sketches of its partitions' rows."""
+    held = [np.frombuffer(x, _WINDOW) for x in part.column("rows").to_pylist()]
+    w = np.concatenate(held)
+    if part.column("part")[0].as_py() >= 0:
+        width = 1 << max(10, (2 * len(w) - 1).bit_length())
+        counts = np.zeros((ROWS, width), "int64")
+        for x in held:
+            for r, cell in enumerate(_cells(x["h"], width)):
+                counts[r] += np.bincount(cell, weights=x["n"], minlength=width).astype("int64")
+        least = np.min([counts[r, cell] for r, cell in enumerate(_cells(w["h"], width))], axis=0)
+        w = w[(least >= 2) & (w["pos"] >= 0)]
+    return pa.table([pa.array(w["h"].view("int64")), pa.array(w["doc"]), pa.array(w["pos"].astype("int64"))], names=["h", "doc", "pos"])
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """(h, doc, pos, docs): occurrences of the chosen windows that more than one document holds, and how many do."""
-    spark = documents.sparkSession
+    """(h, doc, pos, places): occurrences of the chosen windows that more than one document holds, and how many there are."""
     texts = documents.where(F.length("text") >= LEAST).where("doc_id is not null").select("doc_id", "text")
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    width = LEAST_WIDTH
-    while width < min(MOST_WIDTH, 4 * chars // _ROW):
-        width *= 2
-    merged = np.zeros((ROWS, width), "uint8")
-    sketch = texts.mapInArrow(_sketch(width), "r int, s long, counts binary").groupBy("r", "s").applyInPandas(_merge, "r int, s long, counts binary")
-    for row in sketch.toLocalIterator():  # ROWS * width bytes in all, at most 64 MB
-        merged[row["r"], row["s"] : row["s"] + len(row["counts"])] = np.frombuffer(row["counts"], "uint8")
-    shared = spark.sparkContext.broadcast(np.packbits(merged >= 2, axis=1))
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in batches:
-            for doc, pos, h in _windows(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keep = np.ones(len(h), bool)
-                for r, cell in enumerate(_cells(h, width)):
-                    keep &= (bits[r, cell >> 3] >> (7 - (cell & 7)).astype("uint8")) & 1 == 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view("int64")), pa.array(doc[keep]), pa.array(pos[keep])], names=["h", "doc", "pos"])
-
-    found = cut(texts.mapInArrow(maybe, "h long, doc long, pos long"))
-    groups = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.approx_count_distinct("doc", 0.02).alias("docs")).where("a < b").select("h", "docs")
+    bits = max(0, (2 * chars // _ROW // RANGE_WINDOWS).bit_length())
+    found = cut(texts.mapInArrow(_dealt(bits), "part long, rows binary").groupBy("part").applyInArrow(_estimated, "h long, doc long, pos long"))
+    groups = found.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("places")).where("a < b").select("h", "places")
     return cut(found.join(groups, "h").distinct())
 
 
@@ -253,10 +276,10 @@ def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def shared_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, hot): maximal runs (doc_a, doc_b, start_a, start_b, length) of pairs, and for windows of more than HOT documents
+    """(pairs, hot): maximal runs (doc_a, doc_b, start_a, start_b, length) of pairs, and for windows of more than HOT occurrences
     the runs of LEAST characters (run, doc, start) that more than one document holds."""
     windows = repeated_windows(documents)
-    few, many = windows.where(F.col("docs") <= HOT), windows.where(F.col("docs") > HOT)
+    few, many = windows.where(F.col("places") <= HOT), windows.where(F.col("places") > HOT)
     held = few.groupBy("h", "doc").agg(F.collect_list("pos").alias("pos"))  # the places of a window in one document
     a, b = (held.select("h", F.col("doc").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
     meet = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_list(F.struct("pos_a", "pos_b")).alias("at"))
@@ -272,10 +295,17 @@ def shared_runs(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, runs.join(held, "run")
 
 
+def run_classes(hot: DataFrame) -> DataFrame:
+    """(run, docs): one run of each set of documents that hold the same runs, and how many these are."""
+    held = hot.select("run", "doc").distinct().groupBy("run").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+    return held.groupBy("docs", "x", "y").agg(F.min("run").alias("run")).select("run", "docs")
+
+
 def sharing(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b) of documents that share a run of LEAST characters."""
     pairs, hot = shared_runs(documents)
-    a, b = (hot.select("run", F.col("doc").alias(f"doc_{x}")) for x in "ab")
+    some = hot.select("run", "doc").distinct().join(run_classes(hot).select("run"), "run", "left_semi")
+    a, b = (some.select("run", F.col("doc").alias(f"doc_{x}")) for x in "ab")
     return pairs.select("doc_a", "doc_b").unionByName(a.join(b, "run").where("doc_a < doc_b").select("doc_a", "doc_b")).distinct()
 
 

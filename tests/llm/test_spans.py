@@ -63,6 +63,41 @@ def test_hot_windows(spark, monkeypatch):
     assert len(check(spark, docs)) == 28
 
 
+def test_a_notice_in_very_many_documents(spark):
+    rng = random.Random(5)
+    notice = "".join(rng.choice("abcdefgh ") for _ in range(420))
+    docs = [(i, f"{i * 7919} " + (notice if i % 10 else notice[:150]) + f" {i * 104729}") for i in range(1200)]
+    pairs, hot = spans.shared_runs(frame(spark, docs))
+    assert pairs.count() < 1000  # of windows at the edges that few documents share
+    classes = spans.run_classes(hot).collect()
+    assert max(r["docs"] for r in classes) == 1080 and len(classes) < 40
+    assert spans.sharing(frame(spark, docs)).count() == 1080 * 1079 // 2
+    covered = {r["doc_id"]: r["shared_chars"] for r in spans.coverage(frame(spark, docs)).collect()}
+    assert all((covered[i] >= 420) == bool(i % 10) for i in range(1200)) and covered[10] == 0
+
+
+def test_sketches_lose_no_repeated_window(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "CHUNK_WINDOWS", 50)
+    rng = random.Random(2)
+    shared = ["".join(rng.choice("abcdef") for _ in range(400)) for _ in range(5)]
+    texts = ["".join(rng.choice("uvwxyz") for _ in range(rng.randrange(200, 900))) + rng.choice(shared) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    every = {(int(h), int(d)) for doc, pos, hashes in spans._windows(list(range(60)), texts) for d, h in zip(doc, hashes.view("int64"), strict=True)}
+    docs = {}
+    for h, d in every:
+        docs.setdefault(h, set()).add(d)
+    for bits in (0, 3):
+        dealt = pa.Table.from_batches(spans._dealt(bits)(iter([batch])))
+        parts = np.unique(dealt.column("part").to_numpy())
+        out = [spans._estimated(dealt.filter(pa.array(dealt.column("part").to_numpy() == k))) for k in parts]
+        got = {(h, d) for t in out for h, d in zip(t.column("h").to_pylist(), t.column("doc").to_pylist(), strict=True)}
+        assert got <= every and all((h, d) in got for h, ds in docs.items() if len(ds) > 1 for d in ds)
+        assert len(got) < 0.6 * len(every) and (parts < 0).any()
+
+
 def test_very_long_texts_are_cut_for_hashing_only(monkeypatch):
     rng = random.Random(9)
     long = "".join(rng.choice("abcd") for _ in range(6000))
