@@ -50,6 +50,8 @@ CELL_ROWS = 16
 SUPPORT = 1 << 14
 #: Cells and queries that one task compares at a time.
 CELLS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1 << 16
+#: Batches that are checked in one lot: each lot costs the driver some fifty shuffles to plan, whatever it holds.
+TOGETHER = 3
 #: Keys up to which a batch's side is broadcast (a few MB); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -307,13 +309,18 @@ class History:
         return rows.where(earlier).select("accepted_id", "id").distinct()
 
 
-def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame) -> DataFrame:
-    """(accepted_id, id): the batches of `incoming`, one after the other, against `items` and what was accepted before."""
+def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(accepted_id, id): the batches of `incoming`, in order, against `items` and what was accepted before.
+
+    Batches that have arrived are checked and appended in lots of `together`; any number gives the same rows.
+    """
     kept = History.build(items, instants(items, sources))
     times = cut(instants(incoming.select("id", "source_id", "published_at"), sources))
     found = None
-    for r in incoming.select("batch_id").distinct().orderBy(F.asc_nulls_first("batch_id")).collect():  # one a batch
-        batch = incoming.where(F.col("batch_id").eqNullSafe(F.lit(r["batch_id"])))
-        now = kept.check(batch, times, f"batch-{r['batch_id']}")
+    arrived = [r["batch_id"] for r in incoming.select("batch_id").distinct().orderBy(F.asc_nulls_first("batch_id")).collect()]  # one a batch
+    for k in range(0, len(arrived), together):
+        lot = arrived[k : k + together]
+        batch = incoming.where(F.col("batch_id").isin([b for b in lot if b is not None]) | (F.col("batch_id").isNull() & F.lit(None in lot)))
+        now = kept.check(batch, times, f"batches-{k}")
         found = now if found is None else found.unionByName(now)
     return found if found is not None else kept.spark.createDataFrame([], "accepted_id long, id long")

@@ -142,5 +142,6 @@ def test_empty_batches(spark):
 def test_whole_operator(spark):
     items, incoming = corpus(5, 40, 30)
     sources = spark.createDataFrame([("s", None)], "id string, time_zone string")
-    got = {tuple(r) for r in history.repeats(frame(spark, items).drop("batch_id"), frame(spark, incoming), sources).collect()}
-    assert got == brute(items, incoming)
+    for together in (1, 3):
+        got = {tuple(r) for r in history.repeats(frame(spark, items).drop("batch_id"), frame(spark, incoming), sources, together).collect()}
+        assert got == brute(items, incoming)
