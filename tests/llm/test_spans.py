@@ -70,7 +70,7 @@ def test_a_notice_in_very_many_documents(spark):
     pairs, hot = spans.shared_runs(frame(spark, docs))
     assert pairs.count() < 1000  # of windows at the edges that few documents share
     classes = spans.run_classes(hot).collect()
-    assert max(r["docs"] for r in classes) == 1080 and len(classes) < 40
+    assert [r["docs"] for r in classes].count(1080) == 1 and sum(r["docs"] ** 2 for r in classes) < 2 * 1080**2  # next to no pair is given twice
     assert spans.sharing(frame(spark, docs)).count() == 1080 * 1079 // 2
     covered = {r["doc_id"]: r["shared_chars"] for r in spans.coverage(frame(spark, docs)).collect()}
     assert all((covered[i] >= 420) == bool(i % 10) for i in range(1200)) and covered[10] == 0
