@@ -51,7 +51,9 @@ SUPPORT = 1 << 14
 #: Cells and queries that one task compares at a time.
 CELLS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1 << 16
 #: Batches that are checked in one lot: each lot costs the driver some fifty shuffles to plan, whatever it holds.
-TOGETHER = 3
+TOGETHER = 4
+#: Undecided rows and links of a lot that one task settles in order; more are settled in rounds, with the same result.
+ONE_TASK = 1_000_000
 #: Keys up to which a batch's side is broadcast (a few MB); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -89,7 +91,7 @@ def _vectorised(records: DataFrame, times: DataFrame) -> DataFrame:
     rows = records.where("id is not null").select(
         "id", "title", "summary", F.when(page.isNotNull(), F.xxhash64(page)).alias("page"), F.when(page.isNotNull(), F.hash(page)).alias("page2"), F.when(F.trim("fingerprint") != "", F.trim("fingerprint")).alias("fp")
     )
-    return rows.mapInArrow(_vector_rows, _VECTORS).join(times.select("id", F.col("utc_us").alias("us")), "id", "left")
+    return _merged(rows.mapInArrow(_vector_rows, _VECTORS), times.select("id", F.col("utc_us").alias("us")), "id", "left")
 
 
 def _slab(us: Column) -> Column:
@@ -162,6 +164,11 @@ def _probe(asked: pa.Table, cells: pa.Table) -> pa.Table:
     return pa.table([cells.column("slab").take(pa.array(c)), cells.column("part").take(pa.array(c)), cells.column("cell").take(pa.array(c)), asked.column("new").take(pa.array(q)), pa.array(room)], names=names)
 
 
+def _merged(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting: a lot's many small joins would otherwise each be collected and kept by the driver as a broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 class History:
     """All that was accepted, as tables of cells, bounds and pages in the shared folder."""
 
@@ -219,15 +226,15 @@ class History:
         """
         order = F.struct("batch_id", "id")
         numbered = batch.select("id", F.coalesce("batch_id", F.lit(-1)).alias("batch_id"))
-        new = _vectorised(batch, times).join(numbered, "id").dropDuplicates(["id"])
+        new = _merged(_vectorised(batch, times), numbered, "id").dropDuplicates(["id"])
         # copies repeat each other by some rule; rows that none applies to stand alone
         by_rule = F.col("page").isNotNull() | (F.col("us").isNotNull() & (F.col("fp").isNotNull() | (F.col("n") > 0)))
         new = cut(_placed(new.withColumn("solo", F.when(~by_rule, F.col("id")))))
         kinds = ["page", "page2", "fp", "us", "one", "two", "solo"]
         reps = new.groupBy(*kinds).agg(F.min(order).alias("first"))
         same = [F.col(f"new.{k}").eqNullSafe(F.col(f"reps.{k}")) for k in kinds]
-        members = cut(new.alias("new").join(reps.alias("reps"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep")))
-        heads = cut(new.join(members.where("id = rep").select("id"), "id", "left_semi").withColumn("part", F.lit("")).repartition("slab").sortWithinPartitions("slab", "cell"))
+        members = cut(new.alias("new").join(reps.alias("reps").hint("merge"), same).select("new.id", "new.batch_id", F.col("new.page").alias("page"), F.col("new.page2").alias("page2"), F.col("first.id").alias("rep")))
+        heads = cut(_merged(new, members.where("id = rep").select("id"), "id", "left_semi").withColumn("part", F.lit("")).repartition("slab").sortWithinPartitions("slab", "cell"))
         related = cut(self._related(heads))
         old, own = related.where("part != ''").select("old", "new"), related.where("part = '' and old < new").select("old", "new")
         asked = members.where("page is not null").select("page", "page2").distinct()
@@ -235,7 +242,7 @@ class History:
         accepted = cut(self._settle(heads, old, own, held))
         found = cut(self._repeats(members, old, own, held, accepted))
         if append_as:
-            self.append(heads.join(accepted.select("id"), "id", "left_semi"), append_as)
+            self.append(_merged(heads, accepted.select("id"), "id", "left_semi"), append_as)
         return found
 
     def _related(self, heads: DataFrame) -> DataFrame:
@@ -244,16 +251,16 @@ class History:
         slabs = [r["slab"] for r in timed.select(_slabs_near(F.col("us")).alias("slab")).distinct().collect()]  # one a slab of days
         rows = self.rows(slabs).unionByName(timed.select(*_COLUMNS))
         asked = timed.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp", _slabs_near(F.col("us")).alias("slab"))
-        by_print = rows.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp", "slab", "part").join(asked, ["fp", "slab"])
+        by_print = rows.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp", "slab", "part").join(asked.hint("merge"), ["fp", "slab"])
         by_print = by_print.where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new"))).select("old", "new", "part")
         probes = cut(self.probes(heads, slabs).where("probed").select("slab", "part", "cell", "new").distinct())
         cells = probes.select("slab", "part", "cell").distinct()
         some = probes.count()
         rows = rows.where("cell >= 0").join(F.broadcast(cells) if some <= BROADCAST_ROWS else cells, ["slab", "part", "cell"], "left_semi")  # no row of another cell is shuffled
         x = rows.select("slab", "part", "cell", F.col("id").alias("old"), F.col("us").alias("us_old"), F.col("n").alias("n_old"), F.col("grams").alias("g_old"), *(F.col(v).alias(f"{v}_old") for v in _V))
-        y = probes.join(timed.select(F.col("id").alias("new"), F.col("us").alias("us_new"), F.col("n").alias("n_new"), F.col("grams").alias("g_new"), *(F.col(v).alias(f"{v}_new") for v in _V)), "new")
+        y = _merged(probes, timed.select(F.col("id").alias("new"), F.col("us").alias("us_new"), F.col("n").alias("n_new"), F.col("grams").alias("g_new"), *(F.col(v).alias(f"{v}_new") for v in _V)), "new")
         differ = sum((F.bit_count(F.col(f"{v}_old").bitwiseXOR(F.col(f"{v}_new"))) for v in _V), F.lit(0))
-        near = x.join(y, ["slab", "part", "cell"]).where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
+        near = _merged(x, y, ["slab", "part", "cell"]).where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
         near = near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE)))
         both = F.size(F.array_intersect("g_old", "g_new"))
         alike = near.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
@@ -278,8 +285,11 @@ class History:
 
     def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame) -> DataFrame:
         """(id, batch_id, page, page2) of the accepted heads."""
-        open_ = heads.select("id", "batch_id", "page", "page2").join(old.select(F.col("new").alias("id")).distinct(), "id", "left_anti").join(held.select("page", "page2").distinct(), ["page", "page2"], "left_anti")
-        open_ = cut(open_)
+        open_ = _merged(heads.select("id", "batch_id", "page", "page2"), old.select(F.col("new").alias("id")).distinct(), "id", "left_anti")
+        open_ = cut(_merged(open_, held.select("page", "page2").distinct(), ["page", "page2"], "left_anti"))
+        if open_.count() + own.count() <= ONE_TASK:
+            nodes = open_.select(F.lit(0).alias("k"), "id", "batch_id", "page", "page2")
+            return nodes.groupBy("k").cogroup(own.select(F.lit(0).alias("k"), "old", "new").groupBy("k")).applyInArrow(_settled, "id long, batch_id int, page long, page2 int")
         done = None
         while not open_.isEmpty():
             live = own.join(open_.select(F.col("id").alias("old"), F.col("batch_id").alias("b_old")), "old").join(open_.select(F.col("id").alias("new"), F.col("batch_id").alias("b_new")), "new")
@@ -296,17 +306,32 @@ class History:
         return open_ if done is None else done
 
     def _repeats(self, members: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame, accepted: DataFrame) -> DataFrame:
-        keyed = members.where("page is not null")
-        by_page = keyed.join(held, ["page", "page2"]).where("accepted_id != id").select("accepted_id", "id", F.lit(None).cast("int").alias("b"), "batch_id")
-        inside = accepted.where("page is not null").select(F.col("id").alias("accepted_id"), F.col("batch_id").alias("b"), "page", "page2")
-        by_page_own = keyed.join(inside, ["page", "page2"]).select("accepted_id", "id", "b", "batch_id")
-        by_old = members.join(old.select(F.col("old").alias("accepted_id"), F.col("new").alias("rep")), "rep").select("accepted_id", "id", F.lit(None).cast("int").alias("b"), "batch_id")
+        none = F.lit(None).cast("int").alias("b")  # the batch of what was accepted before
+        pages = held.select("accepted_id", none, "page", "page2").unionByName(accepted.where("page is not null").select(F.col("id").alias("accepted_id"), F.col("batch_id").alias("b"), "page", "page2"))
+        by_page = _merged(members.where("page is not null"), pages, ["page", "page2"]).where("accepted_id != id").select("accepted_id", "id", "b", "batch_id")
         both = own.select("old", "new").union(own.select("new", "old")).union(accepted.select("id", F.col("id").alias("new"))).toDF("accepted_id", "rep")
-        won = both.join(accepted.select(F.col("id").alias("accepted_id"), F.col("batch_id").alias("b")), "accepted_id")
-        by_own = members.join(won, "rep").select("accepted_id", "id", "b", "batch_id")
-        rows = by_page.unionByName(by_page_own).unionByName(by_old).unionByName(by_own)
+        won = _merged(both, accepted.select(F.col("id").alias("accepted_id"), F.col("batch_id").alias("b")), "accepted_id")
+        related = old.select(F.col("old").alias("accepted_id"), F.col("new").alias("rep"), none).unionByName(won)
+        by_rep = _merged(members, related, "rep").select("accepted_id", "id", "b", "batch_id")
         earlier = F.col("b").isNull() | (F.struct("b", "accepted_id") < F.struct("batch_id", "id"))
-        return rows.where(earlier).select("accepted_id", "id").distinct()
+        return by_page.unionByName(by_rep).where(earlier).select("accepted_id", "id").distinct()
+
+
+def _settled(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+    """The rounds of `_settle` for few rows, in order: a row is accepted unless an accepted one is its relative or has its page."""
+    beside: dict[int, list[int]] = {}
+    for a, b in zip(edges.column("old").to_pylist(), edges.column("new").to_pylist(), strict=True):
+        beside.setdefault(a, []).append(b)
+        beside.setdefault(b, []).append(a)
+    ids, batch, page, page2 = (nodes.column(c).to_pylist() for c in ("id", "batch_id", "page", "page2"))
+    accepted, pages, kept = set(), set(), []
+    for k in sorted(range(len(ids)), key=lambda k: (batch[k], ids[k])):
+        own_page = (page[k], page2[k])
+        if (page[k] is None or own_page not in pages) and accepted.isdisjoint(beside.get(ids[k], ())):
+            accepted.add(ids[k])
+            pages.add(own_page)
+            kept.append(k)
+    return nodes.select(["id", "batch_id", "page", "page2"]).take(pa.array(kept, pa.int64()))
 
 
 def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame, together: int = TOGETHER) -> DataFrame:

@@ -57,8 +57,9 @@ def times(df):
     return df.where("published_at is not null").select("id", F.unix_micros(F.to_timestamp("published_at")).alias("utc_us"))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_batches_at_once(spark, seed):
+@pytest.mark.parametrize("seed, one_task", [(1, 0), (2, 1_000_000)])
+def test_all_batches_at_once(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(history, "ONE_TASK", one_task)
     items, incoming = corpus(seed)
     a, b = frame(spark, items), frame(spark, incoming + [incoming[0]])
     got = history.History.build(a, times(a)).check(b, times(b.distinct()))
