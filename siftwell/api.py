@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions.times import period_window
+from siftwell.functions.times import period_bounds
 from siftwell.operators import dedup, reads
 from siftwell.session import table
 from siftwell.sinks import documents
@@ -28,8 +28,10 @@ class Feed:
         if kind not in ("", "news", "paper") or not re.fullmatch(r"[\w\-]{0,64}", category):
             raise ValueError("unknown kind or category")
         s = self.settings
-        window = period_window(kind or "news", period, s.timezone, s.paper_hours if kind == "paper" else s.news_hours, now or datetime.now(UTC), s.paper_lag_days)
-        rows = reads.top(reads.scan(self.table("items"), kind, important, category, query, window.since, window.before), limit)
+        at = F.lit(now or datetime.now(UTC))
+        _, since, before = period_bounds(at, s.timezone, kind or "news", period, s.paper_hours if kind == "paper" else s.news_hours, s.paper_lag_days)
+        rows = reads.scan(self.table("items"), kind, important, category, query, *((since, before if kind == "paper" or period == "today" else None) if period != "all" else (None, None)))
+        rows = reads.top(rows, limit)
         return reads.with_feedback(rows, self.table("feedback")).orderBy(F.desc("at"), F.desc("score"), F.desc("id"))
 
     def categories(self) -> DataFrame:

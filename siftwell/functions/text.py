@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 # Words that a title's tokens leave out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
 
+# What counts as a blank, and elements whose text isn't shown.
 _SPACE = r"[\s\x1c-\x1f\x85\xa0]+"
 _SCRIPT = r"(?is)<(script|style)[^>]*>.*?</\1>"
 

@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from datetime import UTC, date, datetime, time, timedelta
-from math import ceil
-from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,67 +67,32 @@ def retry_wait(value: Column, now: Column) -> Column:
     return F.when(text.rlike("^[0-9]+$"), text.try_cast("double")).otherwise(F.greatest(F.lit(0.0), F.coalesce(until, F.lit(0.0))))
 
 
-def backoff(base: float, attempt: int, asked: float = 0.0, rate_base: float = 0.0, limited: bool = False) -> float:
-    """Seconds to wait before the next attempt; attempts count from 0."""
-    wait = max(0.0, base) * 2**attempt
-    return max(wait, rate_base * 2**attempt if limited else 0.0, asked)
+def period_bounds(now: Column, zone: str, kind: str, period: str, hours: int, lag_days: int = 0) -> tuple[Column, Column, Column]:
+    """(day, since, before) of a named period, half-open and in UTC, as expressions over the instant `now`.
 
-
-# driver-side windows
-
-
-def _aware(value: datetime) -> datetime:
-    return value.replace(tzinfo=UTC) if value.tzinfo is None else value
-
-
-def day_end(reference: datetime, zone: str) -> datetime:
-    """The next local midnight, in UTC."""
-    tomorrow = _aware(reference).astimezone(ZoneInfo(zone)).date() + timedelta(days=1)
-    return datetime.combine(tomorrow, time(), ZoneInfo(zone)).astimezone(UTC)
-
-
-def lagged(reference: datetime, zone: str, days: int) -> datetime:
-    """The last moment of the local day so many days before; the reference itself for 0 days."""
-    if days == 0:
-        return reference
-    day = _aware(reference).astimezone(ZoneInfo(zone)).date() - timedelta(days=days)
-    return datetime.combine(day, time.max, ZoneInfo(zone)).astimezone(UTC)
-
-
-def content_reference(day: str, zone: str, now: datetime) -> datetime:
-    """The moment that a YYYY-MM-DD day stands for: now for today, its last moment for a past day."""
-    now = _aware(now)
-    if not day:
-        return now
-    today, target = now.astimezone(ZoneInfo(zone)).date(), date.fromisoformat(day)
-    if target.isoformat() != day or target > today:
-        raise ValueError("a day is YYYY-MM-DD and not in the future")
-    return now if target == today else datetime.combine(target, time.max, ZoneInfo(zone)).astimezone(UTC)
-
-
-@dataclass(frozen=True)
-class Window:
-    period: str
-    label: str
-    since: datetime | None
-    before: datetime | None
-    local_date: str
-
-
-def period_window(kind: str, period: str, zone: str, hours: int, now: datetime, lag_days: int = 0) -> Window:
-    """A named period as half-open UTC bounds. kind: news or paper; period: auto, today, recent or all."""
+    Periods are `today` (a local day), `recent` (so many hours) and `all` (null bounds); `auto` is today for papers and recent for news.
+    Papers look back from the end of the local day `lag_days` before, news from now; what is dated ahead is cut off for papers only.
+    """
     if kind not in ("news", "paper") or period not in ("auto", "today", "recent", "all"):
         raise ValueError(f"no window for {kind} and {period}")
-    if period == "auto":
-        period = "today" if kind == "paper" else "recent"
-    at = lagged(_aware(now), zone, lag_days) if kind == "paper" else _aware(now)
-    day = at.astimezone(ZoneInfo(zone)).date()
-    if period == "today":
-        return Window(period, f"{day:%Y-%m-%d}", datetime.combine(day, time(), ZoneInfo(zone)).astimezone(UTC), day_end(at, zone), day.isoformat())
-    if period == "recent":
-        hours = max(1, int(hours))
-        return Window(period, f"last {ceil(hours / 24)} days", at.astimezone(UTC) - timedelta(hours=hours), day_end(at, zone) if kind == "paper" else None, day.isoformat())
-    return Window(period, "all", None, None, day.isoformat())
+    back = lag_days if kind == "paper" else 0
+    day = F.date_sub(local_date(now, zone), back)
+    opens, closes = (F.to_utc_timestamp(F.date_add(day, k).cast("timestamp"), zone) for k in (0, 1))
+    never = F.lit(None).cast("timestamp")
+    if period == "all":
+        return day, never, never
+    if period == "today" or (period == "auto" and kind == "paper"):
+        return day, opens, closes
+    seen_from = closes - F.expr("interval 1 microsecond") if back else now
+    return day, seen_from - F.make_dt_interval(F.lit(0), F.lit(max(1, int(hours)))), closes if kind == "paper" else never
+
+
+def reference_instant(day: Column, now: Column, zone: str) -> Column:
+    """The instant that a day stands for: now where it's blank or today, its last microsecond where it's past; null if it isn't a day or lies ahead."""
+    asked = F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), day.try_cast("date"))
+    today = local_date(now, zone)
+    ends = F.to_utc_timestamp(F.date_add(asked, 1).cast("timestamp"), zone) - F.expr("interval 1 microsecond")
+    return F.when((F.coalesce(day, F.lit("")) == "") | (asked == today), now).when(asked < today, ends)
 
 
 def announcement_calendar(spark: SparkSession, first: str, last: str, deferred: Sequence[str] = (), zone: str = "America/New_York", hour: int = 20, deadline: int = 14) -> DataFrame:

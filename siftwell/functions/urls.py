@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import html
-import re
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from siftwell.functions.text import only_where, unescape_html
 
 # Parameters that don't tell pages apart.
 PAGE_TRACKING = r"^(utm_[^=]*|ref|ref_src|source|spm|fbclid|gclid|mc_cid)(=|$)"
@@ -49,47 +45,38 @@ def domain_allowed(url: Column, domains: Column) -> Column:
     return F.coalesce(F.exists(domains, matches) & (host != ""), F.lit(False))
 
 
-def _canonical(value: str) -> str:
-    """The canonical form of any address, for those that the native expression leaves alone."""
-    text = html.unescape(value.strip())
-    if not text:
-        return ""
-    try:
-        parts = urlsplit(text)
-        if not parts.scheme and parts.path:
-            parts = urlsplit(f"https://{text}")
-        scheme, host, port = parts.scheme or "https", (parts.hostname or "").removeprefix("www."), parts.port
-    except ValueError:
-        return text
-    place = host if port in (None, 0, {"https": 443, "http": 80}.get(scheme)) else f"{host}:{port}"
-    path = re.sub("/+", "/", parts.path or "/")
-    kept = sorted((k, v) for k, v in parse_qsl(parts.query) if not k.lower().startswith("utm_") and k.lower() not in TRACKING)
-    return urlunsplit((scheme, place, path if path == "/" else path.rstrip("/"), urlencode(kept), ""))
+# The hosts of a paper archive, whose abstracts, files and versions are one page, and that page's address.
+PAPER_HOSTS = ["arxiv.org", "export.arxiv.org"]
+PAPER_PAGE = "https://arxiv.org/abs/"
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_column(values: pd.Series) -> pd.Series:
-    return values.map(_canonical, na_action="ignore")
+def _reencoded(part: Column) -> Column:
+    """A part of a query decoded and encoded again, so that equal values are written alike."""
+    plain = F.coalesce(F.try_url_decode(part), part)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def canonical_url(url: Column) -> Column:
     """The canonical form of an address: lower host without `www.`, no default port, fragment, user or tracking
-    parameters, single slashes, none at the end, parameters in order and blank ones gone. Null is ''.
-
-    Plain http addresses are rewritten natively; what needs decoding, a scheme or a user goes through Arrow.
-    """
+    parameters, single slashes, none at the end, parameters decoded, in order and written alike, blank ones gone; https where no scheme is
+    given. All addresses of a paper (abstract, file, any version) have that of its abstract. Null is ''."""
     u = F.trim(F.coalesce(url, F.lit("")))
-    plain = u.rlike(r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.\-]+(:[0-9]{1,5})?(/[A-Za-z0-9._~/\-]*)?(\?[A-Za-z0-9._\-=&]*)?(#[^\s]*)?$") & ~F.contains(F.lower(u), F.lit("&amp"))
-    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1))
-    place = F.regexp_replace(F.lower(F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1)), r"^www\.", "")
-    place = F.regexp_replace(F.regexp_replace(place, ":0+$", ""), ":0*([1-9][0-9]*)$", ":$1")
-    place = F.when(scheme == "https", F.regexp_replace(place, ":443$", "")).otherwise(F.regexp_replace(place, ":80$", ""))
-    path = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(u, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)), "/+", "/")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
-    keep = r"^(?i)(?!utm_|(?:" + "|".join(TRACKING) + r")=)[^=]*=.+$"
-    pairs = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike(keep))
-    # a control character in place of the first '=' makes the order that of (name, value)
-    split_ = F.transform(pairs, lambda p: F.regexp_replace(p, "^([^=]*)=", "$1\x01"))
-    query = F.array_join(F.transform(F.array_sort(split_), lambda p: F.replace(F.replace(p, F.lit("="), F.lit("%3D")), F.lit("\x01"), F.lit("="))), "&")
-    native = F.concat(scheme, F.lit("://"), place, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(plain, native).otherwise(_canonical_column(F.when(~plain, u)))
+    u = F.trim(only_where(u.rlike("&[#A-Za-z]"), unescape_html, u))
+    u = F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(u != "", F.concat(F.lit("https://"), u)).otherwise("")
+    scheme = F.lower(F.regexp_extract(u, "^([^:]+)://", 1))
+    authority = F.lower(F.regexp_extract(u, "^[^:]+://(?:[^/?#]*@)?([^/?#]*)", 1))
+    host = F.regexp_replace(F.regexp_replace(authority, ":[0-9]*$", ""), r"^www\.", "")
+    port = F.regexp_extract(authority, ":0*([0-9]*)$", 1)
+    usual = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+    path = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(u, "^[^:]+://[^/?#]*([^?#]*)", 1)), "/+", "/")
+    paper = F.regexp_replace(F.regexp_extract(path, "/(?:abs|pdf)/([^/]+)", 1), r"(?i:\.pdf)?$", "")
+    paper = F.regexp_replace(paper, "v[0-9]+$", "")
+    # a parameter as (name, value): the order of parameters is that of the pairs
+    pairs = F.transform(
+        F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p.rlike("^[^=]*=.+$")),
+        lambda p: F.struct(_reencoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("name"), _reencoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("value")),
+    )
+    kept = F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(TRACKING) & ~F.startswith(F.lower(p["name"]), F.lit("utm_")))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    page = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", "")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(u == "", "").when(host.isin(PAPER_HOSTS) & (paper != ""), F.concat(F.lit(PAPER_PAGE), paper)).otherwise(page)

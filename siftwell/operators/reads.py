@@ -40,7 +40,7 @@ def matches_text(needle: str, texts: Sequence[str] = ("title", "summary"), lists
 
 
 def scan(
-    items: DataFrame, kind: str = "", important: bool = False, category: str = "", needle: str = "", since: datetime | None = None, before: datetime | None = None, json_equals: dict[str, str] | None = None
+    items: DataFrame, kind: str = "", important: bool = False, category: str = "", needle: str = "", since: datetime | Column | None = None, before: datetime | Column | None = None, json_equals: dict[str, str] | None = None
 ) -> DataFrame:
     """Items that fulfil all conditions given; the lower bound is closed, the upper open. Conditions not given cost nothing."""
     rows = items if "at" in items.columns else timed(items)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators.checks import members
 
+# The form of a record's id and of a category's label, and the classes of a listing's fields, as the pages have them.
 _ID = r"\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7}"
 _LABEL = re.compile(r"\(([A-Za-z][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)?)\)")
 _FIELDS = ("list-title", "list-authors", "list-subjects", "primary-subject", "list-comments", "mathjax")
@@ -155,6 +156,6 @@ def row_faults(rows: DataFrame) -> DataFrame:
 
 
 def announced(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, excluded) ids: of all new and cross-listed records, those that their own category lists as new, and the others."""
+    """(accepted, excluded) ids: of all new and cross-listed records, those that the listing of their own primary category has as new, and the others."""
     eligible = rows.where("section in ('new', 'cross') and identifier is not null")
-    return members(eligible, rows.where("section = 'new' and identifier is not null"), "identifier")
+    return members(eligible, rows.where("section = 'new' and identifier is not null and category = primary"), "identifier")

@@ -74,11 +74,25 @@ def test_clusters_against_one_global_fold(spark):
         s, t, r = set(x.tokens), set(y.tokens), SequenceMatcher(None, x.normal, y.normal).ratio()
         return (r if min(len(s), len(t)) < 3 else 0.7 * len(s & t) / len(s | t) + 0.3 * r) >= 0.72
 
-    p = pd.DataFrame([(i, int(a.timestamp() * 1e6), t, k) for i, _, a, t, k in data if a], columns=["id", "at_us", "tier", "length"]).set_index("id", drop=False).rename_axis(None)
-    want = {i: c[0] for c in cluster.fold(p, similar) for i in c} | {901: 901}
+    # the definition: from the latest to the earliest, each joins the first cluster whose representative of the moment is near and similar
+    heads, member = [], {}
+    for i, _, a, tier, k in sorted((x for x in data if x[2]), key=lambda x: (-x[2].timestamp(), x[0])):
+        rank = (tier, -k, a)
+        c = next((c for c, (j, (_, _, at)) in enumerate(heads) if abs((at - a).total_seconds()) <= 3 * 86_400 and similar(i, j)), len(heads))
+        member[i] = c
+        heads[c:c] = [(i, rank)] if c == len(heads) else []
+        heads[c] = min(heads[c], (i, rank), key=lambda h: h[1])
+    want = {i: heads[c][0] for i, c in member.items()} | {901: 901}
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_merged_clusters(spark):
+    clustered = spark.createDataFrame([(1, 2), (2, 2), (3, 2), (4, 4)], "id long, representative long")
+    records = spark.createDataFrame([(1, "s", ["x", "y"]), (2, "s", ["z", "x"]), (3, "t", None), (4, "s", ["q"])], "id long, source_id string, tags array<string>")
+    (r,) = cluster.merged(clustered, records).collect()
+    assert (r["representative"], r["size"], r["sources"], r["alternates"], r["tags"]) == (2, 3, 2, [1, 3], ["z", "x", "y"])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 9), (20, 21), (5, 4), *((k, k + 1) for k in range(100, 130))], "a long, b long")
     got = {r["id"]: r["part"] for r in cluster.components(edges).collect()}

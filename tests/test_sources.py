@@ -57,7 +57,10 @@ def test_stories(spark, sources):
 
 def test_articles(spark, sources):
     page = b'<html><meta property="og:title" content="M"><meta property="article:published_time" content="2025-01-01T00:00:00Z"><script type="application/ld+json">{"@type":"BlogPosting","headline":"H","datePublished":"2025-01-09T00:00:00Z","author":{"name":"N"}}</script></html>'
-    assert ranked.article(page)["title"] == "H" and ranked.article(page.replace(b"BlogPosting", b"Thing"))["published"] == "2025-01-01T00:00:00Z" and ranked.article(None)["title"] == ""
+    pages = [page, page.replace(b"BlogPosting", b"Thing"), None, b"<meta content='D &amp; E' name=description>" + page.replace(b'{"@type"', b'[{"@type":"Person"},{"@type"').replace(b"}}<", b"}}]<"), page.replace(b"}}<", b"<")]
+    said = [tuple(r["a"]) for r in spark.createDataFrame([(k, None if p is None else bytearray(p)) for k, p in enumerate(pages)], "k int, payload binary").select("k", ranked.article_meta(F.col("payload")).alias("a")).orderBy("k").collect()]
+    post = ("2025-01-09T00:00:00Z", "H", "", "N")
+    assert said == [post, ("", "M", "", ""), ("", "", "", ""), post, ("", "M", "", "")]  # without a BlogPosting, or one that can't be read, there is no date
     entries = spark.createDataFrame([("s", "7", 1, "", 3, 4), ("s", "8", 2, "T", 3, 4)], "source_id string, id string, rank int, title string, points int, comments int")
     pages = spark.createDataFrame([("7", "https://e.com/post/7", bytearray(page)), ("8", "https://e.com/post/9", bytearray(page))], "id string, final_url string, payload binary")
     (r,) = ranked.ranked_articles(entries, pages, sources).collect()
@@ -126,18 +129,26 @@ def failing(*codes, after=None):
     return open_url
 
 
+def test_policy():
+    p, step = http.Policy(retries=2, first_wait=3, first_wait_when_limited=30), http.Step
+    assert [http.next_step(p, k, 429) for k in range(3)] == [step("again", 30), step("again", 60), step("give up")]
+    assert [http.next_step(p, k, None) for k in range(3)] == [step("again", 3), step("again", 6), step("give up")]
+    assert http.next_step(p, 0, 404) == step("give up") and http.next_step(p, 0, 503, 45) == step("again", 45) and http.next_step(p, 0, 503, 900) == step("put off", 900)
+    now = datetime(2025, 1, 9, tzinfo=UTC)
+    assert [http.requested_wait(v, now) for v in ("45", "Thu, 09 Jan 2025 00:01:00 GMT", "Thu, 09 Jan 2020 00:01:00 GMT", "x", None)] == [45, 60, 0, 0, 0]
+
+
 def test_http():
     waits = []
-    page = http.fetch("https://e.com", "a", base=3, rate_base=30, sleep=waits.append, open_url=failing(429, 429))
-    assert (page.payload, page.final_url, waits) == (b"ok", "https://e.com/final", [30, 60])
+    page = http.fetch("https://e.com", "a", http.Policy(first_wait=3, first_wait_when_limited=30), sleep=waits.append, open_url=failing(429, 429))
+    assert (page["payload"], page["final_url"], waits) == (b"ok", "https://e.com/final", [30, 60])
     waits.clear()
     http.fetch("https://e.com", "a", sleep=waits.append, open_url=failing(503, after="45"))
     assert waits == [45]
-    with pytest.raises(http.Deferred):
+    with pytest.raises(http.PutOff):
         http.fetch("https://e.com", "a", sleep=waits.append, open_url=failing(429, after="900"))
     with pytest.raises(HTTPError):
         http.fetch("https://e.com", "a", sleep=waits.append, open_url=failing(404))
-    assert http.asked_wait("Thu, 09 Jan 2025 00:01:00 GMT", datetime(2025, 1, 9, tzinfo=UTC)) == 60
 
 
 def test_documents(spark, tmp_path):

@@ -26,10 +26,20 @@ def test_canonical_urls(spark):
     assert got == ["https://example.com/a/b?a=1&b=2", "http://e.com/", "https://e.com:8443/x", "https://e.com/y", "", "https://e.com/", "https://e.com/?q=%C3%A9"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.builds("https://{}e.com{}{}".format, st.sampled_from(["", "www.", "A."]), st.text("/ab-.", max_size=8).map(lambda p: "/" + p), st.lists(st.tuples(st.text("abr_e-.", min_size=1, max_size=4), st.text("01=", max_size=3)), max_size=4).map(lambda q: "?" + "&".join("=".join(x) for x in q) if q else "")), min_size=1, max_size=20))
-def test_native_and_general_url_forms_agree(spark, values):
-    assert many(spark, values, urls.canonical_url) == [urls._canonical(v) for v in values]
+def test_canonical_urls_of_odd_forms(spark):
+    want = {
+        "https://user:pw@e.com:443/x": "https://e.com/x", "HTTP://E.com:0080": "http://e.com/", "//e.com/a": "https://e.com/a", "e.com:8080/y?b": "https://e.com:8080/y", "https://e.com/?b=2&amp;a=1": "https://e.com/?a=1&b=2",
+        "https://e.com/?q=a%20b&q=a+a": "https://e.com/?q=a+a&q=a+b", "https://e.com/?q=%zz~*": "https://e.com/?q=%25zz~%2A", "https://e.com/?UTM_x=1&Ref=2&source=3&z=a=b": "https://e.com/?z=a%3Db", "": "", "  https://e.com//a///b//  ": "https://e.com/a/b",
+        "https://e.com/?a=1#x?b=2": "https://e.com/?a=1", "https://e.com?x=1": "https://e.com/?x=1",
+    }
+    assert dict(zip(want, many(spark, list(want), urls.canonical_url), strict=True)) == want
+
+
+def test_papers_have_one_address(spark):
+    page = "https://arxiv.org/abs/2501.00001"
+    same = ["https://arxiv.org/pdf/2501.00001v2.pdf", "http://export.arxiv.org/abs/2501.00001v1", "https://www.arxiv.org/pdf/2501.00001.PDF?download=1", "arxiv.org/abs/2501.00001#x", page]
+    assert set(many(spark, same, urls.canonical_url)) == {page}
+    assert many(spark, ["https://arxiv.org/list/cs.RO/new", "https://e.com/pdf/2501.00001v2.pdf"], urls.canonical_url) == ["https://arxiv.org/list/cs.RO/new", "https://e.com/pdf/2501.00001v2.pdf"]
 
 
 def test_page_keys(spark):
@@ -91,21 +101,24 @@ def test_times(spark):
     got = many(spark, ["Thu, 09 Jan 2025 00:06:07 +0100", "2025-01-09T00:06:07Z", "2025-01-09 00:06", "Thu, 09 Jan 2025 00:06:07 GMT", "soon", None], lambda c: F.unix_seconds(times.parsed(c)))
     assert got == [1736377567, 1736381167, 1736381160, 1736381167, None, None]
     assert many(spark, ["45", "", "x", None], lambda c: times.retry_wait(c, F.lit("2025-01-01").cast("timestamp"))) == [45.0, 0.0, 0.0, 0.0]
-    assert times.backoff(3, 1) == 6 and times.backoff(3, 1, rate_base=30, limited=True) == 60 and times.backoff(1, 0, asked=45) == 45
     assert one(spark, 13.0, lambda c: times.step_by_age(c, [(12, 1), (24, 0.85)], 0.2), "v double") == 0.85
     assert one(spark, 430, lambda c: times.phase(c, [("news", 420, 480), ("publish", 480, 630)]), "v int") == "news"
 
 
-def test_windows():
-    from datetime import UTC, datetime
-
-    now = datetime(2026, 8, 3, 10, tzinfo=UTC)
-    w = times.period_window("paper", "today", "Asia/Shanghai", 96, now)
-    assert (w.since, w.local_date) == (datetime(2026, 8, 2, 16, tzinfo=UTC), "2026-08-03")
-    assert times.period_window("paper", "recent", "Asia/Shanghai", 96, now).since == datetime(2026, 7, 30, 10, tzinfo=UTC)
-    for at, day in ((datetime(2026, 11, 17, 23, tzinfo=UTC), "2026-11-17"), (datetime(2027, 1, 1, tzinfo=UTC), "2026-12-31"), (datetime(2026, 3, 9, tzinfo=UTC), "2026-03-08")):
-        w = times.period_window("paper", "today", "Asia/Shanghai", 24, at, 1)
-        assert w.local_date == day and (w.before - w.since).total_seconds() == 86_400
+def test_windows(spark):
+    def window(now, *how):
+        return tuple(map(str, spark.range(1).select(*times.period_bounds(F.lit(now).cast("timestamp"), "Asia/Shanghai", *how)).first()))
+
+    now = "2026-08-03 10:00:00"
+    assert window(now, "paper", "today", 96) == ("2026-08-03", "2026-08-02 16:00:00", "2026-08-03 16:00:00") == window(now, "paper", "auto", 96)
+    assert window(now, "paper", "recent", 96) == ("2026-08-03", "2026-07-30 10:00:00", "2026-08-03 16:00:00")
+    assert window(now, "news", "auto", 48, 1) == ("2026-08-03", "2026-08-01 10:00:00", "None") and window(now, "news", "all", 48)[1:] == ("None", "None")
+    assert window(now, "paper", "recent", 24, 1) == ("2026-08-02", "2026-08-01 15:59:59.999999", "2026-08-02 16:00:00")
+    for at, day in (("2026-11-17 23:00:00", "2026-11-17"), ("2027-01-01", "2026-12-31"), ("2026-03-09", "2026-03-08")):
+        assert window(at, "paper", "today", 24, 1)[0] == day
+    days = ["", "2026-08-03", "2026-08-01", "2026-08-04", "2026-8-1", "x"]
+    got = [str(v) for v in many(spark, days, lambda c: times.reference_instant(c, F.lit(now).cast("timestamp"), "Asia/Shanghai"))]
+    assert got == [now, now, "2026-08-01 15:59:59.999999", "None", "None", "None"]
 
 
 def test_announcements(spark):
