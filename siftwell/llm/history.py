@@ -45,9 +45,9 @@ SLAB_DAYS = 3
 ERA_SLABS = 16
 DAY_US = 86_400_000_000
 SPAN = DAYS_APART * DAY_US
-CELL_ROWS = 16
+CELL_ROWS = 8
 #: Bits of a cell's support, about eight a sequence.
-SUPPORT = 1 << 14
+SUPPORT = 1 << 13
 #: Cells and queries that one task compares at a time.
 CELLS_AT_ONCE, QUERIES_AT_ONCE = 1024, 1 << 16
 #: Batches that are checked in one lot: each lot costs the driver some fifty shuffles to plan, whatever it holds.
@@ -58,7 +58,7 @@ ONE_TASK = 1_000_000
 BROADCAST_ROWS = 100_000
 
 _V = [f"v{i}" for i in range(ODD)]
-_VECTORS = "id long, page long, page2 int, fp string, one long, two long, n int, least int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
+_VECTORS = "id long, us long, batch_id int, page long, page2 int, fp string, one long, two long, n int, least int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
 _ROWS = "id long, us long, fp string, n int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>, cell int, slab int, part string"
 _BOUNDS = "cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary, slab int, part string"
 _PAGES = "page long, page2 int, id long"
@@ -81,17 +81,19 @@ def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vec[:, at] = parities(offsets, g).view("int64")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32()), pa.array((g >> np.uint64(32)).astype("uint32").view("int32"), pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [c["id"], c["page"], c["page2"], c["fp"], *(pa.array(x) for x in (one, two, size, least, *vec)), lists], names=["id", "page", "page2", "fp", "one", "two", "n", "least", *_V, "grams"]
+            [*(c[k] for k in ("id", "us", "batch_id", "page", "page2", "fp")), *(pa.array(x) for x in (one, two, size, least, *vec)), lists], names=["id", "us", "batch_id", "page", "page2", "fp", "one", "two", "n", "least", *_V, "grams"]
         )
 
 
 def _vectorised(records: DataFrame, times: DataFrame) -> DataFrame:
-    """Rows of _VECTORS and `us` of records (id, title, summary, canonical_url, fingerprint); times: (id, utc_us)."""
+    """Rows of _VECTORS of records (id, title, summary, canonical_url, fingerprint and, if there, batch_id); times: (id, utc_us)."""
     page = page_key(F.col("canonical_url"))
+    batch = F.coalesce("batch_id", F.lit(-1)) if "batch_id" in records.columns else F.lit(-1)
     rows = records.where("id is not null").select(
-        "id", "title", "summary", F.when(page.isNotNull(), F.xxhash64(page)).alias("page"), F.when(page.isNotNull(), F.hash(page)).alias("page2"), F.when(F.trim("fingerprint") != "", F.trim("fingerprint")).alias("fp")
+        "id", batch.cast("int").alias("batch_id"), "title", "summary", F.when(page.isNotNull(), F.xxhash64(page)).alias("page"), F.when(page.isNotNull(), F.hash(page)).alias("page2"), F.when(F.trim("fingerprint") != "", F.trim("fingerprint")).alias("fp")
     )
-    return _merged(rows.mapInArrow(_vector_rows, _VECTORS), times.select("id", F.col("utc_us").alias("us")), "id", "left")
+    rows = _merged(rows.dropDuplicates(["id"]), times.select("id", F.col("utc_us").alias("us")), "id", "left")  # texts are moved, not vectors
+    return rows.mapInArrow(_vector_rows, _VECTORS)
 
 
 def _slab(us: Column) -> Column:
@@ -106,12 +108,12 @@ def _slabs_near(us: Column) -> Column:
     return F.explode(F.sequence(_slab(us - SPAN), _slab(us + SPAN)))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows of _ROWS without their part, and pages: each with its slab and its cell; rows without sequences are in cell -1."""
-    rows = rows.withColumn("slab", _slab(F.col("us")))
-    sizes = rows.where("n > 0 and us is not null").groupBy("slab").agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"))  # a row a slab
+def _placed(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows of _VECTORS with their slab and their cell; rows without sequences are in cell -1. times: (id, utc_us) of these rows, which tell
+    how many cells a slab needs."""
+    sizes = times.groupBy(_slab(F.col("utc_us")).alias("slab")).agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"))  # a row a slab
     cell = F.when(F.col("n") > 0, F.shiftright(F.col("least").cast("long") * F.col("cells"), 31).cast("int")).otherwise(-1)
-    return rows.join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "least")
+    return rows.withColumn("slab", _slab(F.col("us"))).join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "least")
 
 
 def _bounds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ class History:
     def build(cls, items: DataFrame, times: DataFrame, path: str | None = None) -> History:
         """Everything in `items` is accepted; times: (id, utc_us)."""
         made = cls(items.sparkSession, path or scratch_path(items.sparkSession, "history"))
-        made.append(_placed(_vectorised(items, times).dropDuplicates(["id"])), "base")
+        made.append(_placed(_vectorised(items, times), times), "base")
         return made
 
     def append(self, placed: DataFrame, name: str) -> None:
@@ -225,11 +227,10 @@ class History:
         batch: id, batch_id, title, summary, canonical_url, fingerprint; times: (id, utc_us) of its rows.
         """
         order = F.struct("batch_id", "id")
-        numbered = batch.select("id", F.coalesce("batch_id", F.lit(-1)).alias("batch_id"))
-        new = _merged(_vectorised(batch, times), numbered, "id").dropDuplicates(["id"])
+        times = _merged(times, batch.select("id"), "id", "left_semi")
         # copies repeat each other by some rule; rows that none applies to stand alone
         by_rule = F.col("page").isNotNull() | (F.col("us").isNotNull() & (F.col("fp").isNotNull() | (F.col("n") > 0)))
-        new = cut(_placed(new.withColumn("solo", F.when(~by_rule, F.col("id")))))
+        new = cut(_placed(_vectorised(batch, times), times).withColumn("solo", F.when(~by_rule, F.col("id"))))
         kinds = ["page", "page2", "fp", "us", "one", "two", "solo"]
         reps = new.groupBy(*kinds).agg(F.min(order).alias("first"))
         same = [F.col(f"new.{k}").eqNullSafe(F.col(f"reps.{k}")) for k in kinds]
@@ -255,15 +256,19 @@ class History:
         by_print = by_print.where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new"))).select("old", "new", "part")
         probes = cut(self.probes(heads, slabs).where("probed").select("slab", "part", "cell", "new").distinct())
         cells = probes.select("slab", "part", "cell").distinct()
-        some = probes.count()
-        rows = rows.where("cell >= 0").join(F.broadcast(cells) if some <= BROADCAST_ROWS else cells, ["slab", "part", "cell"], "left_semi")  # no row of another cell is shuffled
-        x = rows.select("slab", "part", "cell", F.col("id").alias("old"), F.col("us").alias("us_old"), F.col("n").alias("n_old"), F.col("grams").alias("g_old"), *(F.col(v).alias(f"{v}_old") for v in _V))
-        y = _merged(probes, timed.select(F.col("id").alias("new"), F.col("us").alias("us_new"), F.col("n").alias("n_new"), F.col("grams").alias("g_new"), *(F.col(v).alias(f"{v}_new") for v in _V)), "new")
+        rows = rows.where("cell >= 0")
+        some = F.broadcast(cells) if probes.count() <= BROADCAST_ROWS else cells
+        bits = lambda df, k: df.select(*(F.col(c).alias(f"{c}_{k}") for c in ("us", "n", *_V)), F.col("id").alias(k), *(c for c in ("slab", "part", "cell") if k == "old"))
+        x = bits(rows.join(some, ["slab", "part", "cell"], "left_semi"), "old")  # no row of another cell is shuffled
+        y = _merged(probes, bits(timed, "new"), "new")
         differ = sum((F.bit_count(F.col(f"{v}_old").bitwiseXOR(F.col(f"{v}_new"))) for v in _V), F.lit(0))
         near = _merged(x, y, ["slab", "part", "cell"]).where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
-        near = near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE)))
+        near = cut(near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE))).select("old", "new", "part").distinct())
+        ids = near.select(F.col("old").alias("id"), "part").distinct()
+        held = rows.join(F.broadcast(ids) if near.count() <= BROADCAST_ROWS else ids, ["id", "part"], "left_semi").select(F.col("id").alias("old"), "part", F.col("grams").alias("g_old"))
         both = F.size(F.array_intersect("g_old", "g_new"))
-        alike = near.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
+        pairs = _merged(_merged(near, held, ["old", "part"]), timed.select(F.col("id").alias("new"), F.col("grams").alias("g_new")), "new")
+        alike = pairs.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
         return by_print.unionByName(alike).distinct()
 
     def probes(self, heads: DataFrame, slabs: list[int]) -> DataFrame:
