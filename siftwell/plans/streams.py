@@ -22,22 +22,14 @@ def stream_local_days(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_checks_once(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.landed(spark, f"{d}/source_checks.parquet").select("id", "source_id", "checked_at", "success")
-    return ingest.drain(ingest.once_each(rows, ["id"], "checked_at", "3650 days")).select("id", "source_id", "success")
+    return ingest.drain(ingest.once_each(rows, ["id"], "checked_at", "48 hours")).select("id", "source_id", "success")
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    target = Table(spark, scratch_path(spark, "upserted"))
+    target = Table(spark, scratch_path(spark, "upserted"), ["kind", "canonical_url"])
     rows = ingest.landed(spark, f"{d}/incoming_items.parquet").where("kind is not null and canonical_url is not null")
     rows = rows.select("id", "kind", "canonical_url", "title", (F.floor(F.unix_micros("received_at") / 1000)).cast("long").alias("created_ms"))
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        # rows of one key within a batch are folded by the merge as well
-        current = target.read() if target.version() else batch.limit(0)
-        from siftwell.operators.store import upsert
-
-        target.write(upsert(current, batch, ["kind", "canonical_url"], keep=("id", "created_ms"), order=("created_ms", "id")))
-
-    ingest.drain(rows, sink=merge)
+    ingest.drain(rows, sink=ingest.merge_into(target, keep=("id", "created_ms"), order=("created_ms", "id")))
     return target.read()
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where the cluster names none (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only a session in one process may lack it: there a local one is made."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir names no folder; executors need one that they share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftwell-"))
     return named or sc._jsc.sc().getCheckpointDir().get()

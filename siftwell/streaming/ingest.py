@@ -37,14 +37,12 @@ def tumbling(rows: DataFrame, at: str, keys: Sequence[str], aggregates: Sequence
     return rows.withWatermark(at, late).groupBy(F.window(at, size, size, offset), *keys).agg(*aggregates)
 
 
-def merge_into(table: Table, keys: Sequence[str], **how) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into a table once."""
-    done: set[int] = set()
+def merge_into(table: Table, name: str = "stream", **how) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a table once: what was merged is marked in the table itself, so a batch
+    that runs again after a failure, in whatever process, changes nothing. `name` is that of the stream among those that write to the table."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in done:
-            table.merge(batch, keys, **how)
-            done.add(batch_id)
+        table.merge(batch, f"{name}-{batch_id}", **how)
 
     return merge
 

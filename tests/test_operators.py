@@ -171,13 +171,15 @@ def test_upsert(spark):
 
 
 def test_table_versions(spark):
-    t = store.Table(spark, scratch_path(spark, "table"))
+    t = store.Table(spark, scratch_path(spark, "table"), ["kind", "url"], 4)
     a = spark.createDataFrame([(1, "n", "a", "old", 1, 1)], ROWS)
-    assert (t.version(), t.merge(a, ["kind", "url"]), t.version()) == (0, 1, 1)
-    t.merge(spark.createDataFrame([(5, "n", "a", "new", 2, 2)], ROWS), ["kind", "url"])
+    assert (t.version(), t.merge(a), t.version()) == (0, 1, 1)
+    assert t.merge(spark.createDataFrame([(5, "n", "a", "new", 2, 2)], ROWS), "once") == t.merge(spark.createDataFrame([(6, "n", "z", "not again", 2, 2)], ROWS), "once") == 2
+    kept = [b for b, f in t.manifest()["folders"].items() if f == t.manifest(1)["folders"].get(b)]
+    assert len(kept) == len(t.manifest()["folders"]) - 1 or len(t.manifest(1)["folders"]) == 1  # only the bucket that was touched is written
     assert t.version() == 2 and rows(t.read()) == [(1, "n", "a", "new", 1, 2)]
     t.append(a.withColumn("extra", F.lit("x")))
-    assert t.version() == 2 and {r["extra"] for r in t.read().collect()} == {None, "x"}
+    assert t.version() == 3 and {r["extra"] for r in t.read().collect()} == {None, "x"} and rows(t.read(2)) == [(1, "n", "a", "new", 1, 2)]
 
 
 def test_other_changes(spark):
