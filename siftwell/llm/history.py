@@ -62,6 +62,7 @@ _VECTORS = "id long, us long, batch_id int, page long, page2 int, fp string, one
 _ROWS = "id long, us long, fp string, n int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>, cell int, slab int, part string"
 _BOUNDS = "cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary, slab int, part string"
 _PAGES = "page long, page2 int, id long"
+_PROBES = ["slab", "part", "cell", "new", "probed", "us_new", "n_new", *(f"{v}_new" for v in _V)]
 _COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
 
@@ -138,32 +139,36 @@ def _bounds(rows: DataFrame) -> DataFrame:
     return rows.where("cell >= 0").select("slab", "cell", "us", "n", "grams").mapInArrow(_bounds_rows, "slab int, cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary")
 
 
-def _probe(asked: pa.Table, cells: pa.Table) -> pa.Table:
-    """(slab, part, cell, new, probed): the cells whose days and sizes suit a query, and whether their support leaves room for a match.
+def _probe(every: bool):
+    """(slab, part, cell, new, probed and the query's time, size and bits) of the cells whose days and sizes suit a query and whose support leaves
+    room for a match; with `every`, of those without room as well.
 
-    asked: new, us, n, grams; cells: as of _BOUNDS; both of one slab.
+    asked: new, us, n, bits, grams; cells: as of _BOUNDS; both of one slab.
     """
-    names = ["slab", "part", "cell", "new", "probed"]
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
-    if not asked.num_rows or not cells.num_rows:
-        return pa.table([pa.array([], k) for k in kinds], names=names)
-    low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
-    bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
-    held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
-    us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
-    grams = asked.column("grams").combine_chunks()
-    at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-    found, step = [], max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
-    for s in range(0, len(n), step):
-        e = min(len(n), s + step)
-        both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64")
-        m, t = n[s:e, None], us[s:e, None]
-        suits = (first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m)
-        room = both >= (m + np.maximum(low, m * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
-        q, c = np.nonzero(suits)
-        found.append((q + s, c, room[q, c]))
-    q, c, room = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.table([cells.column("slab").take(pa.array(c)), cells.column("part").take(pa.array(c)), cells.column("cell").take(pa.array(c)), asked.column("new").take(pa.array(q)), pa.array(room)], names=names)
+
+    def rows(asked: pa.Table, cells: pa.Table) -> pa.Table:
+        if not asked.num_rows or not cells.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), *[pa.int64()] * ODD)], names=_PROBES)
+        low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
+        bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
+        held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
+        us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
+        grams = asked.column("grams").combine_chunks()
+        at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+        found, step = [], max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
+        for s in range(0, len(n), step):
+            e = min(len(n), s + step)
+            both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64" if n.max() > 30_000 else "int16")
+            m, t = n[s:e, None], us[s:e, None]
+            suits = (first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m)
+            room = both >= (m + np.maximum(low, m * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
+            q, c = np.nonzero(suits if every else suits & room)
+            found.append((q + s, c, room[q, c]))
+        q, c, room = (np.concatenate(x) for x in zip(*found, strict=True))
+        cell, query = cells.take(pa.array(c)), asked.take(pa.array(q))
+        return pa.table([*(cell.column(k) for k in ("slab", "part", "cell")), query.column("new"), pa.array(room), *(query.column(k) for k in ("us", "n", *_V))], names=_PROBES)
+
+    return rows
 
 
 def _merged(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -254,15 +259,15 @@ class History:
         asked = timed.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp", _slabs_near(F.col("us")).alias("slab"))
         by_print = rows.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp", "slab", "part").join(asked.hint("merge"), ["fp", "slab"])
         by_print = by_print.where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new"))).select("old", "new", "part")
-        probes = cut(self.probes(heads, slabs).where("probed").select("slab", "part", "cell", "new").distinct())
+        probes = cut(self.probes(heads, slabs))
         cells = probes.select("slab", "part", "cell").distinct()
         rows = rows.where("cell >= 0")
         some = F.broadcast(cells) if probes.count() <= BROADCAST_ROWS else cells
-        bits = lambda df, k: df.select(*(F.col(c).alias(f"{c}_{k}") for c in ("us", "n", *_V)), F.col("id").alias(k), *(c for c in ("slab", "part", "cell") if k == "old"))
-        x = bits(rows.join(some, ["slab", "part", "cell"], "left_semi"), "old")  # no row of another cell is shuffled
-        y = _merged(probes, bits(timed, "new"), "new")
+        key = F.xxhash64("slab", "part", "cell")  # cells that share it are compared for nothing, no more
+        x = rows.join(some, ["slab", "part", "cell"], "left_semi").select(key.alias("key"), F.col("id").alias("old"), "part", *(F.col(c).alias(f"{c}_old") for c in ("us", "n", *_V)))  # no row of another cell is shuffled
+        y = probes.select(key.alias("key"), *(c for c in _PROBES if c not in ("slab", "part", "cell", "probed")))
         differ = sum((F.bit_count(F.col(f"{v}_old").bitwiseXOR(F.col(f"{v}_new"))) for v in _V), F.lit(0))
-        near = _merged(x, y, ["slab", "part", "cell"]).where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
+        near = _merged(x, y, "key").where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
         near = cut(near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE))).select("old", "new", "part").distinct())
         ids = near.select(F.col("old").alias("id"), "part").distinct()
         held = rows.join(F.broadcast(ids) if near.count() <= BROADCAST_ROWS else ids, ["id", "part"], "left_semi").select(F.col("id").alias("old"), "part", F.col("grams").alias("g_old"))
@@ -271,14 +276,15 @@ class History:
         alike = pairs.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
         return by_print.unionByName(alike).distinct()
 
-    def probes(self, heads: DataFrame, slabs: list[int]) -> DataFrame:
-        """(slab, part, cell, new, probed) of the cells near each of the heads in days and sizes; those of the heads are of the part ''."""
-        asked = heads.where("us is not null and cell >= 0").select(F.col("id").alias("new"), "us", "n", "grams")
+    def probes(self, heads: DataFrame, slabs: list[int], every: bool = False) -> DataFrame:
+        """_PROBES: the cells that each of the heads probes, or with `every` all that are near it in days and sizes; those of the heads are of the part ''."""
+        schema = "slab int, part string, cell int, new long, probed boolean, us_new long, n_new int, " + ", ".join(f"{v}_new long" for v in _V)
+        asked = heads.where("us is not null and cell >= 0").select(F.col("id").alias("new"), "us", "n", *_V, "grams")
         held, own = self.bounds(slabs), heads.where("us is not null and cell >= 0")
         cells = held.unionByName(_bounds(own).withColumn("part", F.lit("")))
         sizes = held.select("slab", "cell").unionByName(own.select("slab", "cell").distinct()).groupBy("slab").agg(F.ceil(F.count("*") / CELLS_AT_ONCE).cast("int").alias("chunks")).collect()  # one a slab of days
         if not sizes:
-            return self.spark.createDataFrame([], "slab int, part string, cell int, new long, probed boolean")
+            return self.spark.createDataFrame([], schema)
         chunks = F.broadcast(self.spark.createDataFrame([tuple(r) for r in sizes], "slab int, chunks int"))
         blocks = 1 + asked.count() // QUERIES_AT_ONCE
         to = [F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")]
@@ -286,7 +292,7 @@ class History:
         asked = asked.select("*", _slabs_near(F.col("us")).alias("slab"), F.pmod(F.xxhash64("new"), F.lit(blocks)).cast("int").alias("block")).join(chunks, "slab")
         asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         keys = ["slab", "chunk", "block"]
-        return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(_probe, "slab int, part string, cell int, new long, probed boolean")
+        return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(_probe(every), schema)
 
     def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame) -> DataFrame:
         """(id, batch_id, page, page2) of the accepted heads."""
