@@ -165,7 +165,7 @@ def _probe(every: bool):
             q, c = np.nonzero(suits if every else suits & room)
             found.append((q + s, c, room[q, c]))
         q, c, room = (np.concatenate(x) for x in zip(*found, strict=True))
-        cell, query = cells.take(pa.array(c)), asked.take(pa.array(q))
+        cell, query = cells.select(["slab", "part", "cell"]).take(pa.array(c)), asked.select(["new", "us", "n", *_V]).take(pa.array(q))
         return pa.table([*(cell.column(k) for k in ("slab", "part", "cell")), query.column("new"), pa.array(room), *(query.column(k) for k in ("us", "n", *_V))], names=_PROBES)
 
     return rows
