@@ -9,10 +9,11 @@ support is in no record of the cell, which bounds the distance of the whole cell
 room for a match and skips all others; within a cell the vector bits decide, and what they leave room for is compared exactly. So
 no match is missed.
 
-The history is three tables in the shared folder. Rows: a folder an append and era (ERA_SLABS slabs), in order of slabs and cells, so that
-files and row groups of other days are skipped. Bounds: a small row a cell, in folders as well. Pages: the pages of accepted records with their
-ids. A check reads the bounds and the rows of the slabs near its records, of the latter shuffles only those of cells that it probes, and, as
-pages have no limit of time, the table of pages, which is looked up without being shuffled. Accepted records are appended to all
+The history is three tables in the shared folder. Cells: a row a cell with its bounds and the list of its records (id, time, size and bits), a folder
+an append and era (ERA_SLABS slabs), in order of slabs, so that files and row groups of other days are skipped. Rows: the full vectors, in folders
+as well, in order of slabs and cells. Pages: the pages of accepted records with their ids. A check reads the cells of the slabs near its
+records, of the full vectors shuffles only those that the bits of a probed cell leave room for, and, as pages have no limit of time, reads
+the table of pages, which is looked up without being shuffled. Accepted records are appended to all
 three; nothing that is there is rewritten for it.
 
 Acceptance in order of batch and id is settled in rounds: of the undecided records, those without an undecided
@@ -60,9 +61,9 @@ BROADCAST_ROWS = 100_000
 _V = [f"v{i}" for i in range(ODD)]
 _VECTORS = "id long, us long, batch_id int, page long, page2 int, fp string, one long, two long, n int, least int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
 _ROWS = "id long, us long, fp string, n int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>, cell int, slab int, part string"
-_BOUNDS = "cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary, slab int, part string"
+_CELLS = "slab int, cell int, n_min int, n_max int, us_min long, us_max long, support binary, ids array<long>, at array<long>, sizes array<int>, bits binary"
+_BOUNDS = _CELLS + ", part string"
 _PAGES = "page long, page2 int, id long"
-_PROBES = ["slab", "part", "cell", "new", "probed", "us_new", "n_new", *(f"{v}_new" for v in _V)]
 _COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
 
@@ -86,14 +87,14 @@ def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _vectorised(records: DataFrame, times: DataFrame) -> DataFrame:
-    """Rows of _VECTORS of records (id, title, summary, canonical_url, fingerprint and, if there, batch_id); times: (id, utc_us)."""
+def _vectorised(records: DataFrame, times: DataFrame, unique: bool = False) -> DataFrame:
+    """Rows of _VECTORS of records (id, title, summary, canonical_url, fingerprint and, if there, batch_id); times: (id, utc_us). unique: no id occurs twice."""
     page = page_key(F.col("canonical_url"))
     batch = F.coalesce("batch_id", F.lit(-1)) if "batch_id" in records.columns else F.lit(-1)
     rows = records.where("id is not null").select(
         "id", batch.cast("int").alias("batch_id"), "title", "summary", F.when(page.isNotNull(), F.xxhash64(page)).alias("page"), F.when(page.isNotNull(), F.hash(page)).alias("page2"), F.when(F.trim("fingerprint") != "", F.trim("fingerprint")).alias("fp")
     )
-    rows = _merged(rows.dropDuplicates(["id"]), times.select("id", F.col("utc_us").alias("us")), "id", "left")  # texts are moved, not vectors
+    rows = _merged(rows if unique else rows.dropDuplicates(["id"]), times.select("id", F.col("utc_us").alias("us")), "id", "left")  # texts are moved, not vectors
     return rows.mapInArrow(_vector_rows, _VECTORS)
 
 
@@ -117,58 +118,83 @@ def _placed(rows: DataFrame, times: DataFrame) -> DataFrame:
     return rows.withColumn("slab", _slab(F.col("us"))).join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "least")
 
 
-def _bounds_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_BOUNDS of rows (slab, cell, us, n, grams) in order of slab and cell; a cell that lies in two batches gets two rows."""
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_CELLS of rows (slab, cell, id, us, n, *_V, grams) in order of slab and cell; a cell that lies in two batches gets two rows."""
     for b in batches:
         for s in range(0, b.num_rows, 8192):
             part = b.slice(s, 8192)
-            slab, cell, us, n = (part.column(i).to_numpy() for i in range(4))
+            slab, cell, ids, us, n = (part.column(i).to_numpy() for i in range(5))
+            bits = np.stack([part.column(5 + i).to_numpy() for i in range(ODD)], 1)
             begins = np.concatenate([[0], np.flatnonzero((slab[1:] != slab[:-1]) | (cell[1:] != cell[:-1])) + 1])
-            own = np.repeat(np.arange(len(begins)), np.diff([*begins, len(slab)]))
-            grams, sizes = part.column(4).flatten().to_numpy(), part.column(4).value_lengths().to_numpy()
+            ends = np.array([*begins, len(slab)], "int32")
+            own = np.repeat(np.arange(len(begins)), np.diff(ends))
+            grams, sizes = part.column(5 + ODD).flatten().to_numpy(), part.column(5 + ODD).value_lengths().to_numpy()
             held = np.zeros((len(begins), SUPPORT), bool)
             held[np.repeat(own, sizes), grams.view("uint32") & np.uint32(SUPPORT - 1)] = True
-            bits = np.packbits(held, axis=1, bitorder="little")
+            support = np.packbits(held, axis=1, bitorder="little")
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (ids, us, n)]
+            codes = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((ends * (8 * ODD)).astype("int32").tobytes()), pa.py_buffer(bits.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slab[begins]), pa.array(cell[begins]), pa.array(np.bincount(own)), *(pa.array(f.reduceat(x, begins)) for x, f in ((n, np.minimum), (n, np.maximum), (us, np.minimum), (us, np.maximum))), pa.array([x.tobytes() for x in bits], pa.binary())],
-                names=["slab", "cell", "rows", "n_min", "n_max", "us_min", "us_max", "support"],
+                [pa.array(slab[begins]), pa.array(cell[begins]), *(pa.array(f.reduceat(x, begins)) for x, f in ((n, np.minimum), (n, np.maximum), (us, np.minimum), (us, np.maximum))), pa.array([x.tobytes() for x in support], pa.binary()), *lists, codes],
+                names=["slab", "cell", "n_min", "n_max", "us_min", "us_max", "support", "ids", "at", "sizes", "bits"],
             )
 
 
 def _bounds(rows: DataFrame) -> DataFrame:
-    return rows.where("cell >= 0").select("slab", "cell", "us", "n", "grams").mapInArrow(_bounds_rows, "slab int, cell int, rows long, n_min int, n_max int, us_min long, us_max long, support binary")
-
-
-def _probe(every: bool):
-    """(slab, part, cell, new, probed and the query's time, size and bits) of the cells whose days and sizes suit a query and whose support leaves
-    room for a match; with `every`, of those without room as well.
-
-    asked: new, us, n, bits, grams; cells: as of _BOUNDS; both of one slab.
-    """
-
-    def rows(asked: pa.Table, cells: pa.Table) -> pa.Table:
-        if not asked.num_rows or not cells.num_rows:
-            return pa.table([pa.array([], k) for k in (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), *[pa.int64()] * ODD)], names=_PROBES)
-        low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
-        bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
-        held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
-        us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
-        grams = asked.column("grams").combine_chunks()
-        at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-        found, step = [], max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
-        for s in range(0, len(n), step):
-            e = min(len(n), s + step)
-            both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64" if n.max() > 30_000 else "int16")
-            m, t = n[s:e, None], us[s:e, None]
-            suits = (first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m)
-            room = both >= (m + np.maximum(low, m * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
-            q, c = np.nonzero(suits if every else suits & room)
-            found.append((q + s, c, room[q, c]))
-        q, c, room = (np.concatenate(x) for x in zip(*found, strict=True))
-        cell, query = cells.select(["slab", "part", "cell"]).take(pa.array(c)), asked.select(["new", "us", "n", *_V]).take(pa.array(q))
-        return pa.table([*(cell.column(k) for k in ("slab", "part", "cell")), query.column("new"), pa.array(room), *(query.column(k) for k in ("us", "n", *_V))], names=_PROBES)
-
-    return rows
+    """_CELLS: the bounds of the cells of rows, and the list of their records with times, sizes and bits."""
+    return rows.where("cell >= 0").select("slab", "cell", "id", "us", "n", *_V, "grams").mapInArrow(_cell_rows, _CELLS)
+
+
+def _rooms(asked: pa.Table, cells: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, cell, room): the cells whose days and sizes suit each query, and whether their support leaves room for a match."""
+    low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
+    bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
+    held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
+    us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
+    grams = asked.column("grams").combine_chunks()
+    at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+    step = max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
+    for s in range(0, len(n), step):
+        e = min(len(n), s + step)
+        both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64" if n.max() > 30_000 else "int16")
+        m, t = n[s:e, None], us[s:e, None]
+        q, c = np.nonzero((first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m))
+        room = both[q, c] >= (n[s:e][q] + np.maximum(low[c], n[s:e][q] * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
+        yield q + s, c, room
+
+
+def _candidates(asked: pa.Table, cells: pa.Table) -> pa.Table:
+    """(old, new, part): the records of the cells with room whose own bits leave room as well. asked: new, us, n, *_V, grams; both of one slab."""
+    out = [[np.empty(0, "int64")] * 3]
+    if asked.num_rows and cells.num_rows:
+        ids, at, sizes = (cells.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "at", "sizes"))
+        bits = np.frombuffer(b"".join(cells.column("bits").to_pylist()), "uint64").reshape(-1, ODD)
+        begins = np.concatenate([[0], np.cumsum(cells.column("ids").combine_chunks().value_lengths().to_numpy())]).astype("int64")
+        new, us, n = (asked.column(c).to_numpy() for c in ("new", "us", "n"))
+        own = np.stack([asked.column(v).to_numpy() for v in _V], 1).view("uint64")
+        for q, c, room in _rooms(asked, cells):
+            q, c = q[room], c[room]
+            count = np.diff(begins)[c]
+            cuts = np.searchsorted(np.cumsum(count), np.arange(1 << 18, count.sum() + (1 << 18), 1 << 18))
+            for s, e in zip([0, *cuts], [*cuts, len(c)], strict=True):
+                k = count[s:e]
+                i = np.repeat(q[s:e], k)
+                cell = np.repeat(c[s:e], k)
+                j = begins[cell] + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+                near = (np.abs(us[i] - at[j]) <= SPAN) & (new[i] != ids[j])
+                i, j, cell = i[near], j[near], cell[near]
+                room_left = np.bitwise_count(own[i] ^ bits[j]).sum(1, dtype="int64") <= (n[i].astype("int64") + sizes[j]) * ((1 - LIKE) / (1 + LIKE))
+                out.append([ids[j[room_left]], new[i[room_left]], cell[room_left]])
+    old, new, cell = (np.concatenate(x) for x in zip(*out, strict=True))
+    parts = cells.column("part").take(pa.array(cell)) if len(cell) else pa.array([], pa.string())
+    return pa.table([pa.array(old), pa.array(new), parts], names=["old", "new", "part"])
+
+
+def _skipped(asked: pa.Table, cells: pa.Table) -> pa.Table:
+    """(part, probed) of every cell that suits a query in days and sizes, to tell how many the supports skip."""
+    found = list(_rooms(asked, cells)) if asked.num_rows and cells.num_rows else []
+    parts = [cells.column("part").take(pa.array(c)).combine_chunks() for _, c, _ in found]
+    return pa.table([pa.concat_arrays(parts) if parts else pa.array([], pa.string()), pa.array(np.concatenate([np.empty(0, bool), *(r for _, _, r in found)]))], names=["part", "probed"])
 
 
 def _merged(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -186,7 +212,8 @@ class History:
     def build(cls, items: DataFrame, times: DataFrame, path: str | None = None) -> History:
         """Everything in `items` is accepted; times: (id, utc_us)."""
         made = cls(items.sparkSession, path or scratch_path(items.sparkSession, "history"))
-        made.append(_placed(_vectorised(items, times), times), "base")
+        unique = items.groupBy("id").count().where("count > 1").isEmpty()  # ids alone are compared, which spares sorting all texts
+        made.append(_placed(_vectorised(items, times, unique), times), "base")
         return made
 
     def append(self, placed: DataFrame, name: str) -> None:
@@ -259,26 +286,20 @@ class History:
         asked = timed.where("fp is not null").select(F.col("id").alias("new"), F.col("us").alias("us_new"), "fp", _slabs_near(F.col("us")).alias("slab"))
         by_print = rows.where("fp is not null").select(F.col("id").alias("old"), F.col("us").alias("us_old"), "fp", "slab", "part").join(asked.hint("merge"), ["fp", "slab"])
         by_print = by_print.where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new"))).select("old", "new", "part")
-        probes = cut(self.probes(heads, slabs))
-        cells = probes.select("slab", "part", "cell").distinct()
-        rows = rows.where("cell >= 0")
-        some = F.broadcast(cells) if probes.count() <= BROADCAST_ROWS else cells
-        key = F.xxhash64("slab", "part", "cell")  # cells that share it are compared for nothing, no more
-        x = rows.join(some, ["slab", "part", "cell"], "left_semi").select(key.alias("key"), F.col("id").alias("old"), "part", *(F.col(c).alias(f"{c}_old") for c in ("us", "n", *_V)))  # no row of another cell is shuffled
-        y = probes.select(key.alias("key"), *(c for c in _PROBES if c not in ("slab", "part", "cell", "probed")))
-        differ = sum((F.bit_count(F.col(f"{v}_old").bitwiseXOR(F.col(f"{v}_new"))) for v in _V), F.lit(0))
-        near = _merged(x, y, "key").where((F.abs(F.col("us_old") - F.col("us_new")) <= SPAN) & (F.col("old") != F.col("new")))
-        near = cut(near.where(differ <= (F.col("n_old") + F.col("n_new")) * ((1 - LIKE) / (1 + LIKE))).select("old", "new", "part").distinct())
+        near = cut(self._probe(heads, slabs, _candidates, "old long, new long, part string").distinct())
         ids = near.select(F.col("old").alias("id"), "part").distinct()
-        held = rows.join(F.broadcast(ids) if near.count() <= BROADCAST_ROWS else ids, ["id", "part"], "left_semi").select(F.col("id").alias("old"), "part", F.col("grams").alias("g_old"))
+        held = rows.where("cell >= 0").join(F.broadcast(ids) if near.count() <= BROADCAST_ROWS else ids, ["id", "part"], "left_semi").select(F.col("id").alias("old"), "part", F.col("grams").alias("g_old"))
         both = F.size(F.array_intersect("g_old", "g_new"))
         pairs = _merged(_merged(near, held, ["old", "part"]), timed.select(F.col("id").alias("new"), F.col("grams").alias("g_new")), "new")
         alike = pairs.where(both >= LIKE * (F.size("g_old") + F.size("g_new") - both)).select("old", "new", "part")
         return by_print.unionByName(alike).distinct()
 
-    def probes(self, heads: DataFrame, slabs: list[int], every: bool = False) -> DataFrame:
-        """_PROBES: the cells that each of the heads probes, or with `every` all that are near it in days and sizes; those of the heads are of the part ''."""
-        schema = "slab int, part string, cell int, new long, probed boolean, us_new long, n_new int, " + ", ".join(f"{v}_new long" for v in _V)
+    def probes(self, heads: DataFrame, slabs: list[int]) -> DataFrame:
+        """(part, probed): a row for each head and cell that suit each other in days and sizes, whether it is probed or skipped."""
+        return self._probe(heads, slabs, _skipped, "part string, probed boolean")
+
+    def _probe(self, heads: DataFrame, slabs: list[int], function, schema: str) -> DataFrame:
+        """What a function of queries and cells of one slab says of the heads and the cells near them; the heads' own cells are of the part ''."""
         asked = heads.where("us is not null and cell >= 0").select(F.col("id").alias("new"), "us", "n", *_V, "grams")
         held, own = self.bounds(slabs), heads.where("us is not null and cell >= 0")
         cells = held.unionByName(_bounds(own).withColumn("part", F.lit("")))
@@ -292,7 +313,7 @@ class History:
         asked = asked.select("*", _slabs_near(F.col("us")).alias("slab"), F.pmod(F.xxhash64("new"), F.lit(blocks)).cast("int").alias("block")).join(chunks, "slab")
         asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         keys = ["slab", "chunk", "block"]
-        return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(_probe(every), schema)
+        return asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInArrow(function, schema)
 
     def _settle(self, heads: DataFrame, old: DataFrame, own: DataFrame, held: DataFrame) -> DataFrame:
         """(id, batch_id, page, page2) of the accepted heads."""
