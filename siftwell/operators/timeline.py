@@ -49,7 +49,7 @@ def candidates(records: DataFrame, sources: DataFrame) -> DataFrame:
     records: id, source_id, published_at and, if there, metadata_json. sources: id, time_zone.
     """
     meta = F.col("metadata_json") if "metadata_json" in records.columns else F.lit(None).cast("string")
-    zones = F.broadcast(sources.groupBy(F.col("id").alias("source_id")).agg(F.max("time_zone").alias("own")))  # one row a configured source
+    zones = sources.groupBy(F.col("id").alias("source_id")).agg(F.max("time_zone").alias("own"))
     rows = records.select("id", "source_id", "published_at", meta.alias("m")).where("id is not null").join(zones, "source_id", "left")
     rows = rows.select(
         "id", F.coalesce("source_id", F.lit("")).alias("source"), F.floor(F.col("id") / BLOCK_IDS).cast("long").alias("block"), "published_at",

@@ -9,29 +9,17 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text, times, urls
 from siftwell.operators import checks, cluster, dedup, intervals, reads, store
+from siftwell.plans.registry import registry
 from siftwell.session import table
 from siftwell.sources import feeds
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = registry()
 
 _STORED = r"regexp_full_match(published_at, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\+00:00')"
 _AT = f"CASE WHEN {_STORED} THEN CAST(substr(published_at, 1, 19) AS TIMESTAMP) END"
 _TIMED = f"(SELECT *, {_AT} AS pub FROM items)"
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _ms(column: str):
     return F.floor(F.unix_micros(column) / 1000).cast("long")
 
@@ -252,7 +240,7 @@ def url_canonical(spark: SparkSession, d: str) -> DataFrame:
 def url_domain_allowed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "items").select("id", "source_id", "url")
     sources = table(spark, d, "sources").select(F.col("id").alias("source_id"), "allowed_domains")
-    return rows.join(F.broadcast(sources), "source_id").select("id", urls.hostname(F.col("url")).alias("host"), urls.domain_allowed(F.col("url"), F.col("allowed_domains")).alias("allowed"))
+    return rows.join(sources, "source_id").select("id", urls.hostname(F.col("url")).alias("host"), urls.domain_allowed(F.col("url"), F.col("allowed_domains")).alias("allowed"))
 
 
 @query(
@@ -349,7 +337,7 @@ def signals_unnested(spark: SparkSession, d: str) -> DataFrame:
 )
 def signals_qualified(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources").select(F.col("id").alias("platform"), "community_rank_limit", "community_min_points", "community_min_comments")
-    rows = reads.signals(table(spark, d, "items")).join(F.broadcast(sources), "platform")
+    rows = reads.signals(table(spark, d, "items")).join(sources, "platform")
     hot = reads.heat_qualified(F.col("rank"), F.col("points"), F.col("comments"), F.col("community_rank_limit"), F.col("community_min_points"), F.col("community_min_comments"))
     return rows.groupBy("id").agg(F.bool_or(hot).alias("hot"))
 
@@ -387,13 +375,12 @@ def items_by_source(spark: SparkSession, d: str) -> DataFrame:
     return sources.join(counts, "source_id", "left").select("source_id", "type", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("important", F.lit(0)).alias("important"))
 
 
-@query()
+@query("SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS listed FROM (SELECT id, list_filter(list_transform(list_concat(coalesce(tags, []), coalesce(categories, [])), lambda x: trim(x)), lambda x: x != '') AS l FROM items)")
 def labels_unique(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "items").select("id", text.unique_in_order(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("categories", F.array().cast("array<string>")))).alias("l"))
     return rows.select("id", F.array_join("l", "|").alias("listed"))
 
 
-
 @query()
 def title_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = reads.timed(table(spark, d, "items")).where("kind = 'news'")

@@ -141,15 +141,6 @@ def texts_clipped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").select("id", text.clipped(F.col("summary"), 80).alias("clipped"))
 
 
-_ALL = "list_concat(coalesce(tags, []), coalesce(categories, []))"
-
-
-@query(f"SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS listed FROM (SELECT id, list_filter(list_transform({_ALL}, lambda x: trim(x)), lambda x: x != '') AS l FROM items)")
-def labels_once(spark: SparkSession, d: str) -> DataFrame:
-    both = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("categories", F.array().cast("array<string>")))
-    return table(spark, d, "items").select("id", F.array_join(text.unique_in_order(both), "|").alias("listed"))
-
-
 @query("SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], '|') AS names FROM (SELECT id, list_filter(list_transform(authors, lambda x: left(trim(x), 8)), lambda x: x != '') AS l FROM items WHERE authors IS NOT NULL)")
 def lists_clipped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").where("authors is not null").select("id", F.array_join(text.clipped_list(F.col("authors"), 3, 8), "|").alias("names"))

@@ -78,7 +78,7 @@ def records(raw: DataFrame, sources: DataFrame, fetched: Column, kind: str = "ne
     """Records from raw entries: cleaned texts, canonical addresses, verified instants, fingerprints; entries without title or link are left out."""
     s = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("tier").alias("source_tier"), F.col("type").alias("source_type"), F.col("tags"))
     title, link = text.clean_html(F.col("title")), F.trim(F.col("link"))
-    rows = raw.where("error is null").join(F.broadcast(s), "source_id")
+    rows = raw.where("error is null").join(s, "source_id")
     at, sure = times.parsed_or(F.col("published"), fetched)
     rows = rows.select(
         F.lit(kind).alias("kind"), title.alias("title"), link.alias("url"), F.left(text.clean_html(F.col("body")), F.lit(MOST_BODY)).alias("summary"), "source_id", "source_name", "source_tier", "source_type", "tags", at.alias("published_at"),
@@ -113,7 +113,7 @@ _POST = "array<struct<id: bigint, status: string, link: string, date_gmt: string
 def posts(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """Public posts of pages (source_id, payload) that hold a JSON array of them, newest fields only: published, on an allowed
     https host, unprotected, with title, body and a first-publication date in UTC."""
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), "allowed_domains", F.greatest(F.lit(1), F.least(F.lit(100), F.coalesce("max_items", F.lit(100)))).alias("most")))
+    s = sources.select(F.col("id").alias("source_id"), "allowed_domains", F.greatest(F.lit(1), F.least(F.lit(100), F.coalesce("max_items", F.lit(100)))).alias("most"))
     found = pages.join(s, "source_id").select("source_id", "allowed_domains", F.explode(F.slice(F.from_json(F.col("payload").cast("string"), _POST.replace(": ", ":")), F.lit(1), F.col("most"))).alias("p"))
     rows = found.where("p.status = 'publish' and not coalesce(p.content.protected, false)").where(F.startswith("p.link", F.lit("https://")) & urls.domain_allowed(F.col("p.link"), F.col("allowed_domains")))
     rows = rows.select(
