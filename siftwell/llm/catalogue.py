@@ -21,6 +21,10 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return spelling.canonical_texts(table(spark, d, "items")).select("id", "field", "canonical")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.look_classes(table(spark, d, "items"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats(table(spark, d, "items"), table(spark, d, "incoming_items"), table(spark, d, "sources"))
 
@@ -73,5 +77,5 @@ def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_selected": p8_selected, "p8_shares": p8_shares, "p9_found": p9_found, "p9_coverage": p9_coverage}
+QUERIES = {"p1_found": p1_found, "p1_texts": p1_texts, "p1_classes": p1_classes, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_selected": p8_selected, "p8_shares": p8_shares, "p9_found": p9_found, "p9_coverage": p9_coverage}
 SQL: dict[str, str] = {}

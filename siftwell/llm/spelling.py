@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.shown import LOOKALIKES, canonical, replacements
+from siftwell.operators.joins import lookup
 from siftwell.session import cut
 
+#: What the automaton pays: nothing at ignorable characters, at letters that look alike and for the letters that a wide form or a ligature
+#: stands for; a full edit for everything else. Within the budget only spellings that look the same are reached.
+IGNORABLE_COST, ALIKE_COST, EDIT_COST = 0.0, 0.0, 1.0
 BUDGET = 0.0
-EDIT_COST = 1.0
 
 #: A word as written: letters, digits, marks and invisible characters in a row; Han characters stand alone.
 _HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
@@ -92,37 +95,42 @@ class Trie:
     def nearest(self, word: str, budget: float = BUDGET) -> str | None:
         """The cheapest spelling within the budget, then the commonest, then the smallest.
 
-        The automaton's states are (node, cost). A look-alike or equal edge is free; a substitution, an extra or a missing
-        character costs EDIT_COST; states beyond the budget are dropped, so that with a budget of 0 only look-alikes are followed.
+        The automaton's states are (node, cost). It reads the word as it is written: an ignorable character leaves it where it is, a wide form or a
+        ligature follows the letters that it stands for, an equal letter or one that looks alike its edge; a substitution, an extra or a missing
+        character costs EDIT_COST. States beyond the budget are dropped.
         """
-        same = _same()
-        states: dict[int, tuple[dict, float]] = {id(self.root): (self.root, 0.0)}
+        same, table = _same(), replacements()
+        states: dict[int, tuple[dict, float]] = {}
 
         def put(into: dict, node: dict, cost: float) -> None:
             if cost <= budget and (id(node) not in into or into[id(node)][1] > cost):
                 into[id(node)] = (node, cost)
                 for c, child in node.items():
                     if c:
-                        put(into, child, cost + EDIT_COST)
-
-        if budget:
-            put(states, self.root, 0.0)
-            for c, child in self.root.items():
-                if c:
-                    put(states, child, EDIT_COST)
-        for c in units(word):
-            after: dict[int, tuple[dict, float]] = {}
-            free = same.get(c, (c,))
-            for node, cost in states.values():
-                for x in free:
-                    if x in node:
-                        put(after, node[x], cost)
-                if cost + EDIT_COST <= budget:
-                    put(after, node, cost + EDIT_COST)
-                    for x, child in node.items():
-                        if x and x not in free:
-                            put(after, child, cost + EDIT_COST)
-            states = after
+                        put(into, child, cost + EDIT_COST)  # a character that the word lacks
+
+        put(states, self.root, 0.0)
+        for written in unicodedata.normalize("NFD", word):
+            to = table.get(ord(written))
+            if to == "":
+                passed = [(node, cost + IGNORABLE_COST) for node, cost in states.values()]
+                states = {}
+                for node, cost in passed:
+                    put(states, node, cost)
+                continue
+            for c in written if to is None or written in LOOKALIKES else to:
+                after: dict[int, tuple[dict, float]] = {}
+                free = same.get(c, (c,))
+                for node, cost in states.values():
+                    for x in free:
+                        if x in node:
+                            put(after, node[x], cost + (0.0 if x == c else ALIKE_COST))
+                    if cost + EDIT_COST <= budget:
+                        put(after, node, cost + EDIT_COST)
+                        for x, child in node.items():
+                            if x and x not in free:
+                                put(after, child, cost + EDIT_COST)
+                states = after
             if not states:
                 return None
         ends = [(cost, -node[""][0], node[""][1]) for node, cost in states.values() if "" in node]
@@ -213,8 +221,8 @@ def canonical_texts(records: DataFrame, columns: tuple[str, ...] = ("title", "su
     hard = texts.where(odd_text)
     scan = cut(texts.mapInArrow(_scan, "id long, field string, word string, n long"))
     words = scan.where("n = 0").select("id", "field", "word")
-    to = spellings(scan)
-    maps = words.join(to, "word").groupBy("id", "field").agg(F.collect_list(F.struct("word", "spelling")).alias("m"))  # the words of one text
+    to = cut(spellings(scan))
+    maps = lookup(words, to, "word").groupBy("id", "field").agg(F.collect_list(F.struct("word", "spelling")).alias("m"))  # the words of one text
     rewritten = (
         hard.join(maps, ["id", "field"], "left")
         .select("id", "field", "text", F.col("m.word").alias("words"), F.col("m.spelling").alias("spellings"))
@@ -231,3 +239,10 @@ def same_looking(records: DataFrame, columns: tuple[str, ...] = ("title", "summa
     forms = forms.join(varied, ["field", "look"], "left_semi")
     a, b = (forms.select("field", "look", F.col("id").alias(f"id_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")
     return a.join(b, ["field", "look"]).where("id_a < id_b and stored_a != stored_b").select("field", "id_a", "id_b").distinct()
+
+
+def look_classes(records: DataFrame, columns: tuple[str, ...] = ("title", "summary")) -> DataFrame:
+    """(field, canonical, texts, spellings, first): each text that several records show, how many do, in how many spellings, and the smallest id."""
+    forms = canonical_texts(records, columns).where("canonical != ''").select("field", "canonical", "id", F.xxhash64("text").alias("stored")).distinct()
+    spelt = forms.groupBy("field", "canonical", "stored").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return spelt.groupBy("field", "canonical").agg(F.sum("n").alias("texts"), F.count("*").alias("spellings"), F.min("id").alias("first")).where("texts > 1")

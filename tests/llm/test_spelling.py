@@ -87,3 +87,18 @@ def test_shown_column(spark):
     texts = ["plain  text", " Ｗide x ", None, "", "rοbot", "tab\tnew\nline"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [r["s"] for r in df.select("i", shown(df.t).alias("s")).orderBy("i").collect()] == [None if t is None else canonical(t) for t in texts]
+
+
+def test_the_automaton_reads_words_as_they_are_written():
+    trie = spelling.Trie()
+    for w, n in (("office", 9), ("offense", 3), ("naïve", 4)):
+        trie.add(w, n)
+    for w in ("o\u200bffice", "oﬃce", "оffiсe", "ｏｆｆｉｃｅ", "o\u00adf\u2060fice", "o\ufb03\u200dce"):
+        assert trie.nearest(w) == "office"
+    assert trie.nearest("nai\u0308ve") == "naïve" and trie.nearest("naive") is None and trie.nearest("naive", 1.0) == "naïve" and trie.nearest("offize", 1.0) == "office"
+
+
+def test_classes_of_equal_looks(spark):
+    df = spark.createDataFrame([(1, "A\u200bB cd", None), (2, "AB cd", ""), (3, "AB  cd", "x"), (4, "ab cd", "x")], "id long, title string, summary string")
+    got = {(r["field"], r["canonical"]): (r["texts"], r["spellings"], r["first"]) for r in spelling.look_classes(df).collect()}
+    assert got == {("title", "AB cd"): (3, 3, 1), ("summary", "x"): (2, 1, 3)}
