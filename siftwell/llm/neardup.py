@@ -10,7 +10,8 @@ Blocks: records that agree in one of 40 bands of three minhashes, so that the no
 pair of likeness 0.5 meets with probability 0.995, one of 0.55 with 0.9993, one of 0.6 with 0.9999. Records of one and the
 same set of sequences are one class: only its representative is joined, and its members are put back at the end.
 A block of more than BLOCK_ROWS rows is split into parts, each pair of parts being its own task; such blocks are found
-by bucket counts first, and no row is left out.
+by bucket counts first, and no row is left out. Every pair that is compared comes from the walk of the trie. Where no miss may be risked,
+`exact_links` finds the same links over the rarest sequences.
 
 Defined results: records whose summary is null or of fewer than 12 words take no part; repeated rows of one id are one record;
 a pair is given once, smaller id first; a group holds all that pairs connect, is named by its smallest id, and records without a pair are in none; ties can't occur; whole texts are treated; extra columns are ignored; an empty table gives no pairs.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.likeness import LIKE, gram_sets, with_likeness, words_of
+from siftwell.llm.likeness import LIKE, gram_arrays, gram_sets, with_likeness, words_of
 from siftwell.operators.cluster import components
 from siftwell.session import cut
 
@@ -36,7 +37,6 @@ BLOCK_ROWS = 20_000
 BUCKETS = 1 << 16
 ODD = 8
 _BITS, _ODDS = [f"w{i}" for i in range(WORDS)], [f"o{i}" for i in range(ODD)]
-_LEAF = 256
 _MOST_PAIRS = 1 << 21
 
 _rng = np.random.default_rng(20240229)
@@ -98,7 +98,7 @@ def trie_pairs(starts: np.ndarray, bits: list[np.ndarray], side: np.ndarray | No
         depth, a0, a1, b0, b1, diff = stack.pop()
         if not len(a0):
             continue
-        leaf = ((a1 - a0) * (b1 - b0) <= _LEAF) | (depth == BITS)
+        leaf = ((a1 - a0) * (b1 - b0) == 1) | (depth == BITS)  # below two single rows there are no branches: the rest of both paths is compared at once
         if leaf.any():
             yield from _leaves(a0[leaf], a1[leaf], b0[leaf], b1[leaf], bits, side, budget)
             a0, a1, b0, b1, diff = (x[~leaf] for x in (a0, a1, b0, b1, diff))
@@ -194,12 +194,12 @@ def _blocks(reps: DataFrame) -> DataFrame:
     rows = reps.select("id", *_BITS, F.posexplode("bands").alias("band", "code"))
     rows = rows.select((F.shiftleft(F.col("band").cast("long"), 32) + (F.col("code").cast("long") + F.lit(1 << 31))).alias("key"), "id", *_BITS)
     bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
-    # at most rows / BLOCK_ROWS buckets can be so full
-    full = [r["b"] for r in rows.groupBy(bucket.alias("b")).count().where(F.col("count") > BLOCK_ROWS).select("b").collect()]
+    # keys are only counted where their bucket holds enough rows for one to be full; a bucket is a row of a table of at most BUCKETS
+    full = cut(rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > BLOCK_ROWS).select("bucket"))
     whole = rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "id", *_BITS)
-    if not full:
+    if full.isEmpty():
         return whole
-    counts = rows.where(bucket.isin(full)).groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
+    counts = rows.select("key", bucket.alias("bucket")).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
     hot = counts.select("key", F.ceil(F.col("count") / (BLOCK_ROWS // 2)).cast("int").alias("parts"))
     split = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -222,6 +222,29 @@ def _may_be_alike(pairs: DataFrame, found: DataFrame, like: float) -> DataFrame:
     return pairs.join(a, "id_a").join(b, "id_b").where(differ <= room).select("id_a", "id_b")
 
 
+def exact_links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
+    """As `links`, with no chance of a miss: classes meet over the rarest of their sequences, of which pairs that are alike must share one.
+
+    Of n sequences the n - ceil(like * n) + 1 rarest are enough. A sequence that many hold gives many meetings, so this costs more the more the corpus
+    repeats itself; `links` costs in proportion to the records.
+    """
+    found = classes(records)
+    reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"))
+    members = found.select("id", "one", "two").distinct().join(reps, ["one", "two"]).select("id", "rep")
+    grams = cut(gram_arrays(records.where("id is not null").select("id", "title", "summary").dropDuplicates(["id"]).join(reps.select(F.col("rep").alias("id")), "id", "left_semi")))
+    held = grams.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    held = held.join(held.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")  # what one class alone holds is rarest, and meets nothing
+    ranked = held.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))  # the sequences of one text
+    alone = F.col("n") - F.size("s")
+    first = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * like).cast("int") + 1 - alone))
+    meets = ranked.select("id", "n", F.explode(first).alias("x")).select("id", "n", F.col("x.g").alias("g"))
+    a, b = (meets.select(F.col("id").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), "g") for x in "ab")
+    near = a.join(b, "g").where("rep_a < rep_b").where((F.col("n_a") >= F.col("n_b") * like) & (F.col("n_b") >= F.col("n_a") * like)).select("rep_a", "rep_b").distinct()
+    x, y = (grams.select(F.col("id").alias(f"rep_{k}"), F.col("grams").alias(f"g_{k}")) for k in "ab")
+    both = F.size(F.array_intersect("g_a", "g_b"))
+    return members, near.join(x, "rep_a").join(y, "rep_b").where(both >= like * (F.size("g_a") + F.size("g_b") - both)).select("rep_a", "rep_b")
+
+
 def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of each record that takes part, and (rep_a, rep_b) of the classes that are alike."""
     found = classes(records)
@@ -234,9 +257,9 @@ def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]
     return members, alike.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
 
 
-def pairs(records: DataFrame, like: float = LIKE) -> DataFrame:
+def pairs(records: DataFrame, like: float = LIKE, exact: bool = False) -> DataFrame:
     """(id_a, id_b) of all records that are alike, copies included."""
-    members, between = links(records, like)
+    members, between = (exact_links if exact else links)(records, like)
     members = cut(members)
     a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
     within = a.join(b, F.col("rep_a") == F.col("rep_b")).where("id_a < id_b").select("id_a", "id_b")

@@ -102,14 +102,33 @@ def test_trie_join_equals_all_pairs():
         starts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
         bits = [np.ascontiguousarray(rows[:, k]) for k in range(4)]
         want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if block[i] == block[j] and sum(int(a[i] ^ a[j]).bit_count() for a in bits) <= budget}
-        for leaf in (1, 256):
-            old, neardup._LEAF = neardup._LEAF, leaf
-            got = [(min(i, j), max(i, j)) for x, y in neardup.trie_pairs(starts, bits, budget=budget) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-            neardup._LEAF = old
-            assert len(got) == len(set(got)) and set(got) == want
+        got = [(min(i, j), max(i, j)) for x, y in neardup.trie_pairs(starts, bits, budget=budget) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_gram_sets():
     rows, offsets, grams = gram_sets([["a", "b", "a", "b"], None, ["x"], ["a", "b"]])
     assert rows.tolist() == [0, 3] and np.diff(offsets).tolist() == [2, 1] and grams[offsets[1]] in grams[: offsets[1]]
     assert len(gram_sets([None, []])[0]) == 0
+
+
+def test_exact_links_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(25):
+        base = [rng.choice("abcdefghijklmnop") + rng.choice("qrstuvwxyz") for _ in range(40)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(0, 14)):
+                w[rng.randrange(len(w))] = rng.choice("xyz") * 2
+            rows.append((len(rows), "t", " ".join(w)))
+    rows.append((500, "t", rows[0][2]))
+    df = spark.createDataFrame(rows, "id long, title string, summary string")
+    sets = {}
+    for i, t, s in rows:
+        w = [t, *s.split()]
+        sets[i] = set(zip(w, w[1:], strict=False))
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert {tuple(r) for r in neardup.pairs(df, exact=True).collect()} == want and len(want) > 20
