@@ -1,7 +1,8 @@
 """One surviving record of each group of duplicates, field by field.
 
-Each field has its own order of preference: the most trusted tier, the most complete summary that wasn't cut off, the latest
-instant. Fields that change over time (CURRENT) take their current value, by currency reasoning: the timestamped rows of
+Each field is a partial order over the values that a group has, of which the topologically latest is taken. For `best_fields` the orders are given: the
+most trusted tier, as a stated precedence; the most complete summary that wasn't cut off and the latest instant, as stamps. Fields that change
+over time (CURRENT) take their current value, by currency reasoning: the timestamped rows of
 all groups teach which values follow which (a value precedes another if it was followed by it far more often than the other
 way round, and all that those precede, be they in the group or not); in each group, timestamps order the values that have any, the learned precedence orders those that lack
 one, and the topologically latest value is taken: one that no other value of the group follows.
@@ -48,21 +49,37 @@ def _least(order: Column, value: Column) -> Column:
     return F.min_by(value, F.when(order.isNotNull(), F.struct(order, F.col("id"))))
 
 
+#: The precedence of tiers as it is stated: a tier is followed by every lower one.
+TIERS = [("source_tier", str(b), str(a)) for b in (1, 2, 3) for a in (1, 2, 3) if a < b]
+
+
 def best_fields(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """(cluster_key, field, id): for each group of two or more, the record with the best value of each field."""
+    """(cluster_key, field, id): for each group of two or more, the record with the best value of each field.
+
+    Each field is a partial order over the values of a group, whose topologically latest value is taken as for changing fields: tiers follow
+    each other as stated in TIERS, without any time; instants and lengths of summaries are stamps of their own.
+    """
     rows = _keyed(items, sources, [])
-    orders = {"source_tier": F.col("tier"), "summary": -F.col("length"), "published_at": -F.col("utc_us")}
-    groups = rows.groupBy("cluster_key").agg(F.count("*").alias("rows"), *(_least(o, F.col("id")).alias(f) for f, o in orders.items())).where("rows > 1")
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("id")) for f in orders))
-    return groups.select("cluster_key", F.explode(fields).alias("x")).select("cluster_key", "x.field", "x.id").where("id is not null")
+    stamped = {"source_tier": (F.col("tier").cast("string"), F.lit(None).cast("long")), "summary": (F.col("length").cast("string"), F.col("length").cast("long")), "published_at": (F.col("utc_us").cast("string"), F.col("utc_us"))}
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value"), at.alias("stamp")) for f, (v, at) in stamped.items()))
+    values = rows.select("cluster_key", "id", F.explode(fields).alias("x")).select("cluster_key", "id", "x.field", "x.value", F.col("x.stamp").alias("utc_us"))
+    groups = rows.groupBy("cluster_key").agg(F.count("*").alias("rows")).where("rows > 1").select("cluster_key")
+    own = _own_values(values.join(groups, "cluster_key", "left_semi"))
+    return latest(own, items.sparkSession.createDataFrame(TIERS, "field string, before string, after string")).select("cluster_key", "field", "id")
 
 
 def transitions(values: DataFrame) -> DataFrame:
-    """(field, before, after): learned precedence. values: (cluster_key, field, value, id, utc_us)."""
-    stamped = values.where("utc_us is not null").groupBy("cluster_key", "field", "value").agg(F.min("utc_us").alias("since"))
-    # each value with the next one of its group, over distinct values only; the window streams and spills, nothing is collected
-    steps = stamped.selectExpr("field", "value as before", "lead(value) over (partition by cluster_key, field order by since, value) as after").where("after is not null")
-    counts = steps.groupBy("field", "before", "after").agg(F.count("*").alias("n"))
+    """(field, before, after): learned precedence. values: (cluster_key, field, value, id, utc_us).
+
+    A value is followed by the next one of its group in time. That is looked for within days first and from the last value of a day to the
+    first of the next one after that, so that no task sees a whole group, however large.
+    """
+    day = F.floor(F.col("since") / 86_400_000_000).cast("int")
+    stamped = values.where("utc_us is not null").groupBy("cluster_key", "field", "value").agg(F.min("utc_us").alias("since")).withColumn("day", day)
+    within = stamped.selectExpr("field", "value as before", "lead(value) over (partition by cluster_key, field, day order by since, value) as after")
+    ends = stamped.groupBy("cluster_key", "field", "day").agg(F.min_by("value", F.struct("since", "value")).alias("first"), F.max_by("value", F.struct("since", "value")).alias("before"))
+    across = ends.selectExpr("field", "before", "lead(first) over (partition by cluster_key, field order by day) as after")  # a row a day
+    counts = within.unionByName(across).where("after is not null").groupBy("field", "before", "after").agg(F.count("*").alias("n"))
     reverse = counts.select("field", F.col("after").alias("before"), F.col("before").alias("after"), F.col("n").alias("back"))
     return counts.join(reverse, ["field", "before", "after"], "left").where((F.col("n") >= SEEN) & (F.col("n") >= OFTENER * F.coalesce("back", F.lit(0)))).select("field", "before", "after")
 
@@ -85,20 +102,32 @@ def reachable(learned: DataFrame) -> DataFrame:
     return paths.join(back, ["field", "before", "after"], "left_anti")
 
 
-def current_values(values: DataFrame) -> DataFrame:
-    """(cluster_key, field, value): the topologically latest value of each group and field."""
-    own = cut(values.where("value is not null").groupBy("cluster_key", "field", "value").agg(F.max("utc_us").alias("last"), F.min("id").alias("id")))
-    learned = reachable(transitions(values.where("value is not null")))
+def _own_values(values: DataFrame) -> DataFrame:
+    """(cluster_key, field, value, last, id): each value of a group once, with its latest stamp and its smallest id."""
+    return cut(values.where("value is not null").groupBy("cluster_key", "field", "value").agg(F.max("utc_us").alias("last"), F.min("id").alias("id")))
+
+
+def latest(own: DataFrame, precedence: DataFrame) -> DataFrame:
+    """(cluster_key, field, value, id): the topologically latest value of each group and field, by stamps and a precedence that is closed.
+
+    own: as of `_own_values`; precedence: (field, before, after).
+    """
     newest = own.groupBy("cluster_key", "field").agg(F.max("last").alias("newest"))
-    # among timestamped values the latest is not followed by another; the learned order decides wherever one lacks a time
+    # among stamped values the latest is not followed by another; the precedence decides wherever one lacks a stamp
     after = own.select("cluster_key", "field", F.col("value").alias("after"), F.col("last").alias("after_last"))
-    followed = own.join(learned.withColumnRenamed("before", "value"), ["field", "value"]).join(after, ["cluster_key", "field", "after"])
+    followed = own.join(precedence.withColumnRenamed("before", "value"), ["field", "value"]).join(after, ["cluster_key", "field", "after"])
     followed = followed.where("last is null or after_last is null").select("cluster_key", "field", "value").distinct().withColumn("followed", F.lit(True))
     rows = own.join(newest, ["cluster_key", "field"]).join(followed, ["cluster_key", "field", "value"], "left")
     open_ = F.col("followed").isNull() & (F.col("last").isNull() | (F.col("last") == F.col("newest")))
     # unfollowed first; of these a value that only precedence makes last beats none, and time beats mere presence
     rank = F.struct(F.when(open_, 0).otherwise(1), F.when(F.col("last").isNull(), 1).otherwise(0), -F.coalesce("last", F.lit(0)), F.col("id"), F.col("value"))
-    return rows.groupBy("cluster_key", "field").agg(F.min_by("value", rank).alias("value"))
+    return rows.groupBy("cluster_key", "field").agg(F.min_by(F.struct("value", "id"), rank).alias("x")).select("cluster_key", "field", "x.value", "x.id")
+
+
+def current_values(values: DataFrame) -> DataFrame:
+    """(cluster_key, field, value): the topologically latest value of each group and field, by learned precedence."""
+    own = _own_values(values)
+    return latest(own, reachable(transitions(values.where("value is not null")))).select("cluster_key", "field", "value")
 
 
 def records(items: DataFrame, sources: DataFrame) -> DataFrame:

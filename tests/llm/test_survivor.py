@@ -59,3 +59,18 @@ def test_records(spark):
     got = {r["cluster_key"]: r.asDict() for r in survivor.records(*frame(spark, rows)).collect()}
     assert got["a"] == {"cluster_key": "a", "members": 2, "source_tier": 1, "summary": "Longer text.", "published_ms": 1738368000000, "title": "t2", "category": "new", "prompt_version": "v6"}
     assert got["b"]["members"] == 1 and got["b"]["source_tier"] is None and got["b"]["title"] == "t3"
+
+
+def test_transitions_by_days_are_those_of_whole_groups(spark):
+    import random
+
+    rng, day = random.Random(8), 86_400_000_000
+    rows = [(f"k{g}", "f", f"v{v}", 10 * g + i, rng.randrange(0, 6) * day + rng.randrange(day)) for g in range(40) for i, v in enumerate(rng.sample(range(6), 5))]
+    rows += [("hot", "f", f"v{v}", 1000 + v, v * day // 3) for v in range(6)]
+    got = {(r["before"], r["after"]) for r in survivor.transitions(spark.createDataFrame(rows, "cluster_key string, field string, value string, id long, utc_us long")).collect()}
+    counts = {}
+    for g in {r[0] for r in rows}:
+        order = [r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[4], r[2]))]
+        for a, b in zip(order, order[1:], strict=False):
+            counts[a, b] = counts.get((a, b), 0) + 1
+    assert got == {(a, b) for (a, b), n in counts.items() if n >= survivor.SEEN and n >= survivor.OFTENER * counts.get((b, a), 0)} and got
