@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.shown import folded
+from siftwell.operators.joins import lookup
 from siftwell.session import cut
 
 # What follows a mark of elision.
@@ -35,7 +36,7 @@ LEAN = 0.03
 #: The share of ends at a word of which nothing is known: without evidence a text isn't cut.
 UNKNOWN = 0.2
 
-#: Characters at the end of a text in which a mark of elision is looked for.
+#: Characters at the end of a text in which a mark of elision is looked for, or all from an open tag on.
 MARK_CHARS = 80
 #: Characters at the end by which copies are known.
 TAIL_CHARS = 60
@@ -67,24 +68,27 @@ FROM (SELECT id, source_id, marked, tail, w[size(w) - 3] AS x, w[size(w) - 2] AS
 """
 
 _JUDGED = """
-WITH finals AS (SELECT DISTINCT pair, tri, one, weight FROM {final}),
+WITH finals AS (SELECT pair, tri, one, weight, share FROM {finals}),
 pairs AS (SELECT pair, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY pair),
-ones AS (SELECT one, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY one),
-words AS (SELECT one, (ends - 1 + {wider} * {unknown}) / (inside + ends - 1 + {wider}) AS share FROM ones WHERE ends > 0),
 shares AS (
   SELECT f.pair, f.tri, f.one,
-         (t.ends - 1 + ({prior} + {lean} * (p.inside + p.ends)) * (p.ends - 1 + f.weight * o.share) / (p.inside + p.ends - 1 + f.weight))
+         (t.ends - 1 + ({prior} + {lean} * (p.inside + p.ends)) * (p.ends - 1 + f.weight * f.share) / (p.inside + p.ends - 1 + f.weight))
          / (t.inside + t.ends - 1 + {prior} + {lean} * (p.inside + p.ends)) AS share
   FROM finals f
   JOIN {counts} t ON f.tri = t.tri AND f.pair = t.pair AND f.one = t.one
   JOIN pairs p ON f.pair = p.pair
-  JOIN words o ON f.one = o.one
 )
-SELECT f.id, f.source_id, f.marked OR coalesce(s.share < {share}, false) AS cut, s.share
+SELECT f.id, f.source_id, f.marked, coalesce(s.share < {share}, false) AS told, f.marked OR coalesce(s.share < {share}, false) AS cut, s.share
 FROM {final} f LEFT JOIN shares s ON f.pair = s.pair AND f.tri = s.tri AND f.one = s.one
 """
 
 
+_WORDS = """
+SELECT one, (ends - 1 + {wider} * {unknown}) / (inside + ends - 1 + {wider}) AS share
+FROM (SELECT one, sum(inside) AS inside, sum(ends) AS ends FROM {counts} GROUP BY one) WHERE ends > 0
+"""
+
+
 def once(df: DataFrame, column: str) -> DataFrame:
     """The same rows; the column is computed once a row, however often later expressions name it."""
     return df.select(*(c for c in df.columns if c != column), F.explode(F.array(column)).alias(column))
@@ -95,9 +99,12 @@ def _classed(records: DataFrame, column: str) -> DataFrame:
     plain = F.trim(F.regexp_replace(text, r"\s+", " "))
     found = once(records.select("id", "source_id", F.when(text.rlike(r"[^\x09-\x0d\x20-\x7e]"), folded(text)).otherwise(plain).alias("text")), "text").where("text != ''")
     sign = r"(?i)(?:\s*(?:\[?\.{3}\]?|�)\s*\(?(?:" + "|".join(MORE) + r")?\)?\s*»?|\s*&#?[a-z0-9]{0,8}|\s*<[a-z/!][^<>]*|\s*�)+$"
-    tail = F.right("text", F.lit(MARK_CHARS))
+    # from the last tag that is open, if that is longer
+    open_tag = F.when(F.contains("text", F.lit("<")), F.length(F.substring_index("text", "<", -1)) + 1).otherwise(0)
+    found = once(found.withColumn("near", F.greatest(F.lit(MARK_CHARS), open_tag)), "near")
+    tail = F.right("text", F.col("near"))
     found = once(found.withColumn("bare", F.regexp_replace(tail, sign, "")), "bare").withColumn("marked", F.length("bare") < F.length(tail))
-    body = F.when(F.col("marked"), F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - MARK_CHARS)), F.col("bare"))).otherwise(F.col("text"))
+    body = F.when(F.col("marked"), F.concat(F.left("text", F.greatest(F.lit(0), F.length("text") - F.col("near"))), F.col("bare"))).otherwise(F.col("text"))
     # copies of a text end alike; short texts are texts of their own
     found = once(found.select("id", "source_id", "marked", body.alias("body")), "body").withColumn("tail", F.when(F.length("body") > TAIL_CHARS, F.xxhash64(F.right("body", F.lit(TAIL_CHARS)))).otherwise(F.xxhash64("id")))
     numbered = F.regexp_replace(F.concat(F.lit("^"), F.col("body")), r"[0-9]+(?:[.,][0-9]+)*", "0")
@@ -105,7 +112,7 @@ def _classed(records: DataFrame, column: str) -> DataFrame:
 
 
 def judged(records: DataFrame, column: str = "summary") -> DataFrame:
-    """(id, source_id, cut, share) of each record whose text isn't null or blank."""
+    """(id, source_id, marked, told, cut, share) of each record whose text isn't null or blank: whether a mark tells of a cut, whether the trigrams do, and either."""
     spark = records.sparkSession
     texts = _classed(records, column)
     words = once(spark.sql(f"SELECT {_TOKENS.format('classed')} AS w FROM {{texts}}", texts=texts), "w")
@@ -114,7 +121,10 @@ def judged(records: DataFrame, column: str = "summary") -> DataFrame:
     tails = once(spark.sql(f"SELECT id, source_id, marked, tail, IF(size(near) >= 8, near, {_TOKENS.format('classed')}) AS w FROM {{near}}", near=near), "w")
     final = cut(spark.sql(_FINAL, tails=tails, wider=WIDER, sign=SIGN))
     counts = cut(spark.sql(_COUNTS, words=words, final=final))
-    return spark.sql(_JUDGED, final=final, counts=counts, prior=PRIOR, lean=LEAN, wider=WIDER, unknown=UNKNOWN, share=LAST_SHARE)
+    # most texts end in one sign, so the shares of last words are looked up in a way that stands it
+    words = cut(spark.sql(_WORDS, counts=counts, wider=WIDER, unknown=UNKNOWN))
+    finals = lookup(final.select("pair", "tri", "one", "weight").distinct(), words, "one")
+    return spark.sql(_JUDGED, final=final, finals=finals, counts=counts, prior=PRIOR, lean=LEAN, share=LAST_SHARE)
 
 
 def cut_records(records: DataFrame, column: str = "summary") -> DataFrame:
@@ -123,6 +133,6 @@ def cut_records(records: DataFrame, column: str = "summary") -> DataFrame:
 
 
 def cut_rates(records: DataFrame, column: str = "summary") -> DataFrame:
-    """(source_id, texts, cut, rate): how often each source's texts are cut."""
-    rows = judged(records, column).groupBy("source_id").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("long")).alias("cut"))
+    """(source_id, texts, cut, marked, told, rate): how often each source's texts are cut, with a mark of it, and as the trigrams tell with the mark off."""
+    rows = judged(records, column).groupBy("source_id").agg(F.count("*").alias("texts"), *(F.sum(F.col(c).cast("long")).alias(c) for c in ("cut", "marked", "told")))
     return rows.withColumn("rate", F.col("cut") / F.col("texts"))
