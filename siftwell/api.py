@@ -61,6 +61,16 @@ class Feed:
         key = dedup.dedup_key(F.col("canonical_url"), F.col("fingerprint"))
         return dedup.winners(rows.select("id", key.alias("key"), dedup.preference(F.col("source_tier"), F.col("summary"), F.col("at"), F.col("id")).alias("rank"))).where("members > 1")
 
+    def snapshot(self, now: datetime | None = None, most: int = 200) -> str:
+        """Everything that a static page shows, as one JSON document: important news, papers, health, usage by day, counts. Each part is bounded."""
+        now = now or datetime.now(UTC)
+        columns = ("id", "kind", "title", "url", "source_name", "published_at", "category", "score", "is_important")
+        parts = {
+            "news": reads.top(reads.scan(self.table("items"), "news", important=True), most).select(*columns), "papers": reads.top(reads.scan(self.table("items"), "paper"), most).select(*columns),
+            "health": self.health(now), "usage": reads.top(self.usage(), most, [F.desc("local_date")]), "stats": self.stats(),
+        }
+        return documents.json_document([{"part": name, "rows": documents.bounded(rows)} for name, rows in parts.items()], now)
+
     def export(self, out: str | Path, limit: int = 500, now: datetime | None = None) -> list[Path]:
         now = now or datetime.now(UTC)
         columns = ("id", "kind", "title", "summary", "url", "source_name", "published_at", "category", "score", "is_important")

@@ -41,3 +41,11 @@ def members(eligible: DataFrame, confirmed: DataFrame, key: str) -> tuple[DataFr
     """(accepted, excluded): distinct eligible keys that are confirmed, and those that aren't."""
     ids, sure = eligible.select(key).distinct(), confirmed.select(key).distinct()
     return ids.join(sure, key, "left_semi"), ids.join(sure, key, "left_anti")
+
+
+def done_today(runs: DataFrame, kind: str, day: str, zone: str) -> DataFrame:
+    """One row: whether a run of a kind began on a local day and finished with a source that answered."""
+    from siftwell.functions.times import local_date
+
+    found = runs.where((F.col("kind") == kind) & F.col("finished_at").isNotNull() & (F.col("sources_ok") > 0) & (local_date(F.col("started_at"), zone) == F.lit(day).cast("date")))
+    return found.agg((F.count("*") > 0).alias("done"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from siftwell.functions import text, times
 from siftwell.operators import answers, checks, cluster, dedup, presentation, reads, store, visibility
 from siftwell.plans.feed import _TIMED, _ms
 from siftwell.plans.registry import registry
-from siftwell.session import table
+from siftwell.session import scratch_path, table
 from siftwell.sinks import documents
 from siftwell.sources import feeds
 
@@ -386,3 +389,72 @@ def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "items").where("kind = 'news' and title is not null and url is not null").select("id", "kind", "title", "url", "score", "is_important")
     body = documents.markdown(documents.bounded(reads.top(items, 20, [F.desc("score"), F.desc("id")])), datetime(2026, 2, 1, tzinfo=UTC))
     return spark.createDataFrame([(line,) for line in body.split("\n") if line.startswith("### ")], "heading string")
+
+
+@query(
+    "WITH u AS (SELECT id, kind, canonical_url, title, epoch_ms(created_at) AS c, 0 AS n FROM items UNION ALL SELECT id, kind, canonical_url, title, epoch_ms(received_at), 1 FROM incoming_items) "
+    "SELECT kind, canonical_url, first(id ORDER BY n, c, id) AS id, first(title ORDER BY n DESC, c DESC, id DESC) AS title FROM u WHERE kind IS NOT NULL AND canonical_url IS NOT NULL GROUP BY kind, canonical_url"
+)
+def table_merged(spark: SparkSession, d: str) -> DataFrame:
+    """A bucketed table that is merged into twice, the second time without effect, as its mark tells."""
+    target = store.Table(spark, scratch_path(spark, "merged"), ["kind", "canonical_url"])
+    how = {"keep": ("id", "at"), "order": ("at", "id")}
+    for name, at, mark in (("items", "created_at", "first"), ("incoming_items", "received_at", "second"), ("incoming_items", "received_at", "second")):
+        rows = table(spark, d, name).where("kind is not null and canonical_url is not null")
+        target.merge(rows.select("id", "kind", "canonical_url", "title", F.col(at).alias("at")), mark, **how)
+    return target.read().select("kind", "canonical_url", "id", "title")
+
+
+@query("SELECT id, source_id, success, NULL::VARCHAR AS note FROM source_checks UNION ALL SELECT id, NULL, NULL, note FROM feedback")
+def table_appended(spark: SparkSession, d: str) -> DataFrame:
+    target = store.Table(spark, scratch_path(spark, "appended"))
+    target.append(table(spark, d, "source_checks").select("id", "source_id", "success"))
+    target.append(table(spark, d, "feedback").select("id", "note"))
+    return target.read().select("id", "source_id", "success", "note")
+
+
+@query("SELECT 'news' AS part, least(200, count(*))::INTEGER AS n FROM items WHERE kind = 'news' AND is_important UNION ALL SELECT 'papers', least(200, count(*))::INTEGER FROM items WHERE kind = 'paper' UNION ALL SELECT 'health', 1 UNION ALL SELECT 'usage', least(200, count(DISTINCT local_date))::INTEGER FROM llm_usage UNION ALL SELECT 'stats', 1")
+def site_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each part of the snapshot holds, read again from the document."""
+    doc = json.loads(Feed(spark, d).snapshot(datetime(2026, 2, 1, tzinfo=UTC)))
+    return spark.createDataFrame([(p["part"], len(p["rows"])) for p in doc["items"]], "part string, n int")
+
+
+@query("SELECT id, tier, array_to_string(allowed_domains, '|') AS hosts FROM sources WHERE enabled")
+def sources_configured(spark: SparkSession, d: str) -> DataFrame:
+    """The source dimension written as configuration and loaded from it."""
+    from siftwell.sources.config import load_sources
+
+    rows = [r.asDict() for r in table(spark, d, "sources").select("id", "name", "tier", "enabled", "allowed_domains").collect()]  # configuration
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, "sources.json")
+        path.write_text(json.dumps(rows), "utf-8")
+        return load_sources(spark, path).select("id", "tier", F.array_join("allowed_domains", "|").alias("hosts"))
+
+
+@query("SELECT * FROM (VALUES (0, '2026-01-30'), (1, '2026-01-31'), (2, '2026-02-01')) t(place, day)")
+def archive_days(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of an archive: each day once, in order, however often it is published."""
+    with tempfile.TemporaryDirectory() as folder:
+        for day in ("2026-02-01", "2026-01-30", "2026-01-31", "2026-02-01"):
+            days = documents.archive("{}", day, folder)
+    return spark.createDataFrame(list(enumerate(days)), "place int, day string")
+
+
+@query(f"SELECT count(*) > 0 AS done FROM runs WHERE kind = 'news' AND finished_at IS NOT NULL AND sources_ok > 0 AND strftime(timezone('{ZONE}', started_at), '%Y-%m-%d') = '2025-01-28'")
+def phase_done(spark: SparkSession, d: str) -> DataFrame:
+    return checks.done_today(table(spark, d, "runs"), "news", "2025-01-28", ZONE)
+
+
+@query("SELECT id FROM items WHERE contains(lower(array_to_string(list_filter([title, summary, category, array_to_string(tags, ' ')], lambda x: x IS NOT NULL), ' ')), 'benchmark')")
+def search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    found = text.search_text(F.col("title"), F.col("summary"), F.col("category"), F.array_join("tags", " "))
+    return table(spark, d, "items").where(F.contains(found, F.lit("benchmark"))).select("id")
+
+
+@query("SELECT kind, count(*) AS runs, CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(important) AS BIGINT) AS important, CAST(sum(sources_ok) AS BIGINT) AS ok, CAST(sum(sources_failed) AS BIGINT) AS failed, CAST(sum(len(list_filter(errors, lambda e: e = 'timeout'))) AS BIGINT) AS timeouts, round(max(epoch(finished_at) - epoch(started_at)), 3) AS longest FROM runs GROUP BY kind")
+def run_audit(spark: SparkSession, d: str) -> DataFrame:
+    sums = [F.sum(c).alias(n) for c, n in (("fetched", "fetched"), ("accepted", "accepted"), ("important", "important"), ("sources_ok", "ok"), ("sources_failed", "failed"))]
+    timeouts = F.sum(F.size(F.filter("errors", lambda e: e == "timeout"))).alias("timeouts")
+    longest = F.round(F.max((F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6), 3).alias("longest")
+    return table(spark, d, "runs").groupBy("kind").agg(F.count("*").alias("runs"), *sums, timeouts, longest)
