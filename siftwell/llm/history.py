@@ -145,22 +145,49 @@ def _bounds(rows: DataFrame) -> DataFrame:
     return rows.where("cell >= 0").select("slab", "cell", "id", "us", "n", *_V, "grams").mapInArrow(_cell_rows, _CELLS)
 
 
+def _held_by(cells: pa.Table) -> np.ndarray:
+    """[SUPPORT + 1, words]: for each bit of a support the cells that have it set, 64 to a word; the last row is empty."""
+    bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
+    across = np.packbits(np.unpackbits(bits, axis=1, bitorder="little").T, axis=1, bitorder="little")
+    out = np.zeros((SUPPORT + 1, -(-cells.num_rows // 64) * 8), "uint8")
+    out[:SUPPORT, : across.shape[1]] = across
+    return out.view("uint64")
+
+
+def _overlaps(held: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
+    """[queries, cells]: how many of each query's sequences are in each cell's support, for 64 cells at a time.
+
+    at: [queries, most], the bits of each query's sequences, SUPPORT where it has no more. Counts are held as planes of their binary digits, to which a sequence
+    is added by carrying, so that no cell is looked at one by one.
+    """
+    planes = np.zeros((int(at.shape[1]).bit_length(), len(at), held.shape[1]), "uint64")
+    for k in range(at.shape[1]):
+        carry = held[at[:, k]]
+        for digit in planes[: (k + 1).bit_length()]:
+            digit ^= carry
+            carry &= ~digit  # where a digit was one, it is nought now and carries on
+    return sum(np.unpackbits(p.view("uint8"), axis=1, count=cells, bitorder="little").astype("int32") << i for i, p in enumerate(planes))
+
+
 def _rooms(asked: pa.Table, cells: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, cell, room): the cells whose days and sizes suit each query, and whether their support leaves room for a match."""
     low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
-    bits = np.frombuffer(b"".join(cells.column("support").to_pylist()), "uint8").reshape(cells.num_rows, SUPPORT // 8)
-    held = np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T)
+    held = _held_by(cells)
     us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
     grams = asked.column("grams").combine_chunks()
-    at, ends = grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
-    step = max(1, (1 << 24) // (cells.num_rows * max(1, int(n.max()))))
-    for s in range(0, len(n), step):
-        e = min(len(n), s + step)
-        both = np.add.reduceat(held[at[ends[s] : ends[e]]], ends[s:e] - ends[s], axis=0, dtype="int64" if n.max() > 30_000 else "int16")
-        m, t = n[s:e, None], us[s:e, None]
+    bits, ends = (grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1)).astype("int32"), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
+    order, s = np.argsort(n, kind="stable")[::-1], 0
+    while s < len(order):
+        most = int(n[order[s]])
+        some = order[s : s + max(1, min(512, (1 << 22) // max(most, cells.num_rows)))]
+        s += len(some)
+        at = np.full((len(some), most), SUPPORT, "int32")
+        for k, i in enumerate(some):
+            at[k, : ends[i + 1] - ends[i]] = bits[ends[i] : ends[i + 1]]
+        both, m, t = _overlaps(held, at, cells.num_rows), n[some][:, None], us[some][:, None]
         q, c = np.nonzero((first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m))
-        room = both[q, c] >= (n[s:e][q] + np.maximum(low[c], n[s:e][q] * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
-        yield q + s, c, room
+        size = n[some][q]
+        yield some[q], c, both[q, c] >= (size + np.maximum(low[c], size * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
 
 
 def _candidates(asked: pa.Table, cells: pa.Table) -> pa.Table:

@@ -111,6 +111,19 @@ def test_support_skips_cells_and_loses_none(spark):
     assert got == brute(rows, [(1000 + i, 1, t, " ".join([*s.split()[:50], "new", "end"]), u, f, p) for i, _, t, s, u, f, p in rows[:40]]) and len(got) >= 40
 
 
+def test_overlaps_by_planes_are_plain_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    for cells, queries, most in ((1, 1, 1), (70, 9, 40), (130, 3, 300)):
+        support = rng.random((cells, history.SUPPORT)) < 0.2
+        table = pa.table({"support": pa.array([x.tobytes() for x in np.packbits(support, axis=1, bitorder="little")], pa.binary())})
+        at = rng.integers(0, history.SUPPORT + 1, (queries, most)).astype("int32")
+        padded = np.concatenate([support.T, np.zeros((1, cells), bool)])
+        assert (history._overlaps(history._held_by(table), at, cells) == padded[at].sum(1)).all()
+
+
 def test_very_long_texts(spark):
     text = " ".join(f"w{k}" for k in range(70_000))
     a = frame(spark, [(1, 0, "t", text, None, None, "2025-01-05T00:00:00Z"), (2, 0, "t", None, None, None, None)])
