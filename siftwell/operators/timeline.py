@@ -3,7 +3,7 @@
 Each record's value is turned into the array of all its valid interpretations; a Viterbi pass over each
 source's records in order of arrival then chooses one per record, paying for a switch of format and for
 time that runs backwards. The pass is exact and distributed: the records of a source are cut into blocks
-of bounded length (a block holds ids of one range, and ids are unique); each block is reduced to the matrix of
+of bounded length (a block holds ids of one range, wide enough for BLOCK_IDS records on average, however sparse ids are); each block is reduced to the matrix of
 the cheapest costs between the readings of its first and of its last record, the matrices of a source are
 chained, which fixes both ends of each block, and each block then fills in its own middle. No task ever
 holds more than a block, or one row per block of a source.
@@ -51,8 +51,10 @@ def candidates(records: DataFrame, sources: DataFrame) -> DataFrame:
     meta = F.col("metadata_json") if "metadata_json" in records.columns else F.lit(None).cast("string")
     zones = sources.groupBy(F.col("id").alias("source_id")).agg(F.max("time_zone").alias("own"))
     rows = records.select("id", "source_id", "published_at", meta.alias("m")).where("id is not null").join(zones, "source_id", "left")
+    low, high, n = records.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    width = min(1 << 62, max(BLOCK_IDS, (high - low + 1) * BLOCK_IDS // n)) if n else BLOCK_IDS
     rows = rows.select(
-        "id", F.coalesce("source_id", F.lit("")).alias("source"), F.floor(F.col("id") / BLOCK_IDS).cast("long").alias("block"), "published_at",
+        "id", F.coalesce("source_id", F.lit("")).alias("source"), F.floor(F.col("id") / F.lit(width)).cast("long").alias("block"), "published_at",
         F.get_json_object("m", "$.published_raw").alias("raw"), F.get_json_object("m", "$.feed_tz").alias("feed"), "own",
     )
     return rows.mapInArrow(_read, _CANDIDATES)

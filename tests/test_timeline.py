@@ -86,3 +86,17 @@ def test_context_settles_an_ambiguous_zone(spark):
     got = {r["id"]: r["utc_us"] for r in timeline.instants(items, spark.createDataFrame(SOURCES, "id string, time_zone string")).collect()}
     assert got[2] == int(datetime(2025, 6, 1, 0, 30, tzinfo=UTC).timestamp() * 1e6)
     assert isinstance(pd.Series([got[1]])[0].item(), int) and F is not None
+
+
+def test_sparse_ids_fill_blocks_like_dense_ones(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "BLOCK_IDS", 8)
+    sources = spark.createDataFrame(SOURCES, "id string, time_zone string")
+    rows = [(k, "a", f"2025-06-01T{k % 24:02d}:30:00Z" if k % 3 else f"Sun, 01 Jun 2025 {k % 24:02d}:30:00 CST") for k in range(60)]
+    out = []
+    for spread in (1, 10**13):
+        df = spark.createDataFrame([(i * spread - spread, *r) for i, *r in rows], "id long, source_id string, published_at string")
+        found = timeline.candidates(df, sources)
+        blocks = found.groupBy("block").count().collect()
+        assert 5 <= len(blocks) <= 10 and max(b["count"] for b in blocks) <= 16
+        out.append({(r["id"] + spread) // spread: r["utc_us"] for r in timeline.choose(found).collect()})
+    assert out[0] == out[1] and len(out[0]) == 60
