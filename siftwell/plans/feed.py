@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -216,7 +217,18 @@ def title_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", text.fingerprint(F.col("n"), text.title_tokens(F.col("n"), True)).alias("fingerprint"))
 
 
-@query()
+def _compatible() -> str:
+    """A SQL map of the characters whose compatible form holds ASCII letters or digits, made by Unicode's rule."""
+    forms = ((chr(o), unicodedata.normalize("NFKC", chr(o))) for o in range(0xA0, 0x20000))
+    return "MAP {" + ", ".join(f"'{c}': '{to}'" for c, to in forms if c != to and "'" not in to and any(x.isascii() and x.isalnum() for x in to)) + "}"
+
+
+_TITLE = f"lower(nfc_normalize(array_to_string(list_transform(string_split(nfc_normalize(coalesce(title, '')), ''), lambda c: coalesce(({_compatible()})[c], c)), '')))"
+_ENDS = [("ing", 6, 3), ("ed", 5, 2), ("es", 5, 2), ("s", 4, 1)]
+_STEM = "CASE " + " ".join(f"WHEN regexp_full_match(w, '[a-z]+') AND length(w) > {over} AND ends_with(w, '{end}') THEN left(w, length(w) - {cut_})" for end, over, cut_ in _ENDS) + " ELSE w END"
+
+
+@query(f"SELECT {_STEM} AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_TITLE}, '[a-z0-9]+')) AS w FROM items) WHERE length(w) > 1 AND w NOT IN ({', '.join(repr(w) for w in text.STOP_WORDS)}) GROUP BY ALL")
 def title_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "items").select(F.explode(text.title_tokens(F.col("title"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
