@@ -154,11 +154,10 @@ def _held_by(cells: pa.Table) -> np.ndarray:
     return out.view("uint64")
 
 
-def _overlaps(held: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
-    """[queries, cells]: how many of each query's sequences are in each cell's support, for 64 cells at a time.
+def _overlaps(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[digits, queries, words]: how many of each query's sequences are in each cell's support, as planes of the counts' binary digits.
 
-    at: [queries, most], the bits of each query's sequences, SUPPORT where it has no more. Counts are held as planes of their binary digits, to which a sequence
-    is added by carrying, so that no cell is looked at one by one.
+    at: [queries, most], the bits of each query's sequences, SUPPORT where it has no more. A sequence is added for 64 cells at a time, by carrying.
     """
     planes = np.zeros((int(at.shape[1]).bit_length(), len(at), held.shape[1]), "uint64")
     for k in range(at.shape[1]):
@@ -166,13 +165,30 @@ def _overlaps(held: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
         for digit in planes[: (k + 1).bit_length()]:
             digit ^= carry
             carry &= ~digit  # where a digit was one, it is nought now and carries on
-    return sum(np.unpackbits(p.view("uint8"), axis=1, count=cells, bitorder="little").astype("int32") << i for i, p in enumerate(planes))
+    return planes
 
 
-def _rooms(asked: pa.Table, cells: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, cell, room): the cells whose days and sizes suit each query, and whether their support leaves room for a match."""
-    low, high, first, last = (cells.column(c).to_numpy() for c in ("n_min", "n_max", "us_min", "us_max"))
-    held = _held_by(cells)
+def _reached(planes: np.ndarray, least: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, cell, count) where the count is at least that of the query; digits are compared from the lowest up, for 64 cells at a time."""
+    more = np.full(planes.shape[1:], ~np.uint64(0))
+    for k, digit in enumerate(planes):
+        wanted = np.where((least >> k) & 1, ~np.uint64(0), np.uint64(0))[:, None]
+        more = (digit & ~wanted) | (more & ~(digit ^ wanted))
+    more[least >= 1 << len(planes)] = 0
+    q, c = np.nonzero(np.unpackbits(more.view("uint8"), axis=1, count=cells, bitorder="little"))
+    word, shift = c >> 6, (c & 63).astype("uint64")
+    return q, c, sum((((d[q, word] >> shift) & np.uint64(1)).astype("int64") << k for k, d in enumerate(planes)), np.zeros(len(q), "int64"))
+
+
+def _suits(us: np.ndarray, n: np.ndarray, cells: pa.Table, c: np.ndarray | slice) -> np.ndarray:
+    """Whether the days and sizes of cells suit queries."""
+    low, high, first, last = (cells.column(x).to_numpy()[c] for x in ("n_min", "n_max", "us_min", "us_max"))
+    return (first <= us + SPAN) & (last >= us - SPAN) & (high >= n * LIKE) & (low * LIKE <= n)
+
+
+def _rooms(asked: pa.Table, cells: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, cell): the cells whose days and sizes suit each query and whose support leaves room for a match."""
+    held, low = _held_by(cells), cells.column("n_min").to_numpy()
     us, n = asked.column("us").to_numpy(), asked.column("n").to_numpy().astype("int64")
     grams = asked.column("grams").combine_chunks()
     bits, ends = (grams.flatten().to_numpy().view("uint32") & np.uint32(SUPPORT - 1)).astype("int32"), np.concatenate([[0], np.cumsum(grams.value_lengths().to_numpy())])
@@ -184,10 +200,11 @@ def _rooms(asked: pa.Table, cells: pa.Table) -> Iterator[tuple[np.ndarray, np.nd
         at = np.full((len(some), most), SUPPORT, "int32")
         for k, i in enumerate(some):
             at[k, : ends[i + 1] - ends[i]] = bits[ends[i] : ends[i + 1]]
-        both, m, t = _overlaps(held, at, cells.num_rows), n[some][:, None], us[some][:, None]
-        q, c = np.nonzero((first <= t + SPAN) & (last >= t - SPAN) & (high >= m * LIKE) & (low * LIKE <= m))
-        size = n[some][q]
-        yield some[q], c, both[q, c] >= (size + np.maximum(low[c], size * LIKE)) * (LIKE / (1 + LIKE)) - 1e-9
+        share = LIKE / (1 + LIKE)  # of both sizes, that two records have in common at least; the other has at least LIKE of the query's size
+        q, c, both = _reached(_overlaps(held, at), np.ceil(n[some] * (1 + LIKE) * share - 1e-9).astype("int64"), cells.num_rows)
+        q = some[q]
+        room = (both >= (n[q] + low[c]) * share - 1e-9) & _suits(us[q], n[q], cells, c)
+        yield q[room], c[room]
 
 
 def _candidates(asked: pa.Table, cells: pa.Table) -> pa.Table:
@@ -199,8 +216,7 @@ def _candidates(asked: pa.Table, cells: pa.Table) -> pa.Table:
         begins = np.concatenate([[0], np.cumsum(cells.column("ids").combine_chunks().value_lengths().to_numpy())]).astype("int64")
         new, us, n = (asked.column(c).to_numpy() for c in ("new", "us", "n"))
         own = np.stack([asked.column(v).to_numpy() for v in _V], 1).view("uint64")
-        for q, c, room in _rooms(asked, cells):
-            q, c = q[room], c[room]
+        for q, c in _rooms(asked, cells):
             count = np.diff(begins)[c]
             cuts = np.searchsorted(np.cumsum(count), np.arange(1 << 18, count.sum() + (1 << 18), 1 << 18))
             for s, e in zip([0, *cuts], [*cuts, len(c)], strict=True):
@@ -218,10 +234,14 @@ def _candidates(asked: pa.Table, cells: pa.Table) -> pa.Table:
 
 
 def _skipped(asked: pa.Table, cells: pa.Table) -> pa.Table:
-    """(part, probed) of every cell that suits a query in days and sizes, to tell how many the supports skip."""
-    found = list(_rooms(asked, cells)) if asked.num_rows and cells.num_rows else []
-    parts = [cells.column("part").take(pa.array(c)).combine_chunks() for _, c, _ in found]
-    return pa.table([pa.concat_arrays(parts) if parts else pa.array([], pa.string()), pa.array(np.concatenate([np.empty(0, bool), *(r for _, _, r in found)]))], names=["part", "probed"])
+    """(part, suit, probed): by part, how many cells suit queries in days and sizes, and how many of them are probed."""
+    suit, probed = np.zeros(cells.num_rows, "int64"), np.zeros(cells.num_rows, "int64")
+    if asked.num_rows and cells.num_rows:
+        for us, n in zip(asked.column("us").to_pylist(), asked.column("n").to_pylist(), strict=True):
+            suit += _suits(us, n, cells, slice(None))
+        for _, c in _rooms(asked, cells):
+            probed += np.bincount(c, minlength=cells.num_rows)
+    return pa.table([cells.column("part"), pa.array(suit), pa.array(probed)], names=["part", "suit", "probed"]).group_by("part").aggregate([("suit", "sum"), ("probed", "sum")]).select(["part", "suit_sum", "probed_sum"]).rename_columns(["part", "suit", "probed"])
 
 
 def _merged(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -322,8 +342,8 @@ class History:
         return by_print.unionByName(alike).distinct()
 
     def probes(self, heads: DataFrame, slabs: list[int]) -> DataFrame:
-        """(part, probed): a row for each head and cell that suit each other in days and sizes, whether it is probed or skipped."""
-        return self._probe(heads, slabs, _skipped, "part string, probed boolean")
+        """(part, suit, probed): how many pairs of a head and a cell suit each other in days and sizes, and how many of them are probed; the others are skipped."""
+        return self._probe(heads, slabs, _skipped, "part string, suit long, probed long").groupBy("part").agg(F.sum("suit").alias("suit"), F.sum("probed").alias("probed"))
 
     def _probe(self, heads: DataFrame, slabs: list[int], function, schema: str) -> DataFrame:
         """What a function of queries and cells of one slab says of the heads and the cells near them; the heads' own cells are of the part ''."""
