@@ -3,7 +3,8 @@
 A record's vector is its set of two-word sequences, kept whole, and in 512 bits of parity: the bits in which two vectors
 differ never outnumber the sequences that only one of the records holds, so they bound the distance from below.
 
-A cell holds the records of one slab of SLAB_DAYS days whose least sequence falls in one range, about CELL_ROWS of them. Its bounds
+A cell holds the records of one slab of SLAB_DAYS days whose vectors' hash falls in one range, about CELL_ROWS of them; copies lie together. (By
+their least sequence records that are alike would lie together as well, but popular sequences make cells of hundreds, which nothing skips.) Its bounds
 are its days, its sizes and its support: a bit for every sequence that any of its records holds. What of a query's sequences isn't in the
 support is in no record of the cell, which bounds the distance of the whole cell from below. A query probes the cells whose bounds leave
 room for a match and skips all others; within a cell the vector bits decide, and what they leave room for is compared exactly. So
@@ -59,7 +60,7 @@ ONE_TASK = 1_000_000
 BROADCAST_ROWS = 100_000
 
 _V = [f"v{i}" for i in range(ODD)]
-_VECTORS = "id long, us long, batch_id int, page long, page2 int, fp string, one long, two long, n int, least int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
+_VECTORS = "id long, us long, batch_id int, page long, page2 int, fp string, one long, two long, n int, place int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>"
 _ROWS = "id long, us long, fp string, n int, " + "".join(f"{v} long, " for v in _V) + "grams array<int>, cell int, slab int, part string"
 _CELLS = "slab int, cell int, n_min int, n_max int, us_min long, us_max long, support binary, ids array<long>, at array<long>, sizes array<int>, bits binary"
 _BOUNDS = _CELLS + ", part string"
@@ -72,18 +73,18 @@ def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = {name: b.column(i) for i, name in enumerate(b.schema.names)}
         at, offsets, g = gram_sets([words_of(t, s) for t, s in zip(c["title"].to_pylist(), c["summary"].to_pylist(), strict=True)])
         n = b.num_rows
-        size, least, one, two = np.zeros(n, "int32"), np.zeros(n, "int32"), np.zeros(n, "int64"), np.zeros(n, "int64")
+        size, place, one, two = np.zeros(n, "int32"), np.zeros(n, "int32"), np.zeros(n, "int64"), np.zeros(n, "int64")
         vec, full = np.zeros((ODD, n), "int64"), np.zeros(n, "int64")
         if len(at):
             size[at] = full[at] = np.diff(offsets)
             with np.errstate(over="ignore"):
-                least[at] = (np.minimum.reduceat(g * np.uint64(0xD6E8FEB86659FD93), offsets[:-1]) >> np.uint64(33)).astype("int32")
-                one[at] = np.add.reduceat(g, offsets[:-1]).view("int64")
+                whole = np.add.reduceat(g, offsets[:-1])
+                one[at], place[at] = whole.view("int64"), ((whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype("int32")
                 two[at] = np.bitwise_xor.reduceat(g * np.uint64(0xD6E8FEB86659FD93) ^ (g >> np.uint64(32)), offsets[:-1]).view("int64")
             vec[:, at] = parities(offsets, g).view("int64")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full)]), pa.int32()), pa.array((g >> np.uint64(32)).astype("uint32").view("int32"), pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [*(c[k] for k in ("id", "us", "batch_id", "page", "page2", "fp")), *(pa.array(x) for x in (one, two, size, least, *vec)), lists], names=["id", "us", "batch_id", "page", "page2", "fp", "one", "two", "n", "least", *_V, "grams"]
+            [*(c[k] for k in ("id", "us", "batch_id", "page", "page2", "fp")), *(pa.array(x) for x in (one, two, size, place, *vec)), lists], names=["id", "us", "batch_id", "page", "page2", "fp", "one", "two", "n", "place", *_V, "grams"]
         )
 
 
@@ -114,8 +115,8 @@ def _placed(rows: DataFrame, times: DataFrame) -> DataFrame:
     """Rows of _VECTORS with their slab and their cell; rows without sequences are in cell -1. times: (id, utc_us) of these rows, which tell
     how many cells a slab needs."""
     sizes = times.groupBy(_slab(F.col("utc_us")).alias("slab")).agg(F.ceil(F.count("*") / CELL_ROWS).alias("cells"))  # a row a slab
-    cell = F.when(F.col("n") > 0, F.shiftright(F.col("least").cast("long") * F.col("cells"), 31).cast("int")).otherwise(-1)
-    return rows.withColumn("slab", _slab(F.col("us"))).join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "least")
+    cell = F.when(F.col("n") > 0, F.shiftright(F.col("place").cast("long") * F.col("cells"), 31).cast("int")).otherwise(-1)
+    return rows.withColumn("slab", _slab(F.col("us"))).join(sizes, "slab", "left").withColumn("cell", cell).drop("cells", "place")
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

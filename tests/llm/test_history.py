@@ -125,6 +125,14 @@ def test_overlaps_by_planes_are_plain_counts():
         assert set(zip(q.tolist(), c.tolist(), n.tolist(), strict=True)) == {(i, j, counts[i, j]) for i in range(queries) for j in range(cells) if counts[i, j] >= least[i]}
 
 
+def test_cells_are_of_about_their_size(spark):
+    rng = random.Random(12)
+    rows = [(i, 0, "t", " ".join(rng.choice(VOCABULARY) for _ in range(50)), None, None, "2025-01-05T00:00:00Z") for i in range(800)]
+    df = frame(spark, rows)
+    sizes = [r["count"] for r in history._placed(history._vectorised(df, times(df)), times(df)).groupBy("cell").count().collect()]
+    assert sum(sizes) == 800 and len(sizes) > 0.9 * 800 / history.CELL_ROWS and max(sizes) < 4 * history.CELL_ROWS
+
+
 def test_very_long_texts(spark):
     text = " ".join(f"w{k}" for k in range(70_000))
     a = frame(spark, [(1, 0, "t", text, None, None, "2025-01-05T00:00:00Z"), (2, 0, "t", None, None, None, None)])
