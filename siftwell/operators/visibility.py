@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import times, urls
 
 # The statuses of a checked address that let a record be used.
-USABLE = ["verified", "verified-live", "verified-feed", "verified-api", "access-restricted"]
+USABLE = ["verified-primary", "verified-publisher", "verified-community", "verified-link", "access-restricted"]
 
 
 def verified(status: Column) -> Column:

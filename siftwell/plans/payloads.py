@@ -243,6 +243,16 @@ def articles_ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranked.ranked_articles(entries, pages, _sources(spark)).select("id", "rank", "title", "author", F.unix_seconds("published_at").alias("seconds"))
 
 
+@query(rows_of("(1, 'p1', 'T & U', 'https://e.com/a', 'D', 'N', 12::BIGINT, 0::BIGINT, true, 1735689600::BIGINT)", columns="rank, id, title, url, summary, author, points, comments, qualified, seconds"))
+def hot_list_articles(spark: SparkSession, d: str) -> DataFrame:
+    entry = {"articleDetailUrl": "https://e.com/a", "articleTitle": "T &amp; U", "hotRankScore": "12", "commentCount": None, "nickName": "N", "productId": "p1"}
+    hot = [entry, entry | {"articleDetailUrl": "https://e.com/away"}, entry | {"articleDetailUrl": "https://e.com/undated"}, entry | {"articleDetailUrl": ""}, entry | {"articleDetailUrl": "https://e.com/unread"}, entry | {"articleTitle": ""}]
+    page = b'<meta property="article:published_time" content="2025-01-01T00:00:00Z"><meta name="description" content="D">'
+    pages = [("https://e.com/a", "https://e.com/a", page), ("https://e.com/away", "https://evil.com/a", page), ("https://e.com/undated", "https://e.com/u", b"<p>")]
+    found = ranked.hot_list(_pages(spark, json.dumps(hot).encode()), spark.createDataFrame([(u, f, bytearray(b)) for u, f, b in pages], "url string, final_url string, payload binary"), _sources(spark))
+    return found.select("rank", F.col("external_id").alias("id"), "title", "url", "summary", "author", "points", "comments", "qualified", F.unix_seconds("published_at").alias("seconds"))
+
+
 def _entry(i: str, cross: str = "", primary: str = "cs.A", label: str | None = None) -> str:
     return f'<dt><a href="/abs/{i}v1" title="Abstract">arXiv:{label or i}</a> {cross}</dt><dd><div class="list-title"><span>Title:</span> T</div><div class="list-authors"><a href="#">N. One</a>, <a>M. Two</a></div><div class="list-comments">Comments: c</div><div class="list-subjects"><span class="primary-subject">Area ({primary})</span>; Other (cs.B)</div><p class="mathjax">Sum</p></dd>'
 

@@ -32,11 +32,11 @@ def _squeezed(c: str) -> str:
     return f"trim(regexp_replace({c}, '{_BLANK}', ' ', 'g'))"
 
 
-_STATUS = "CASE WHEN success AND domain_match THEN 'verified-live' WHEN http_status = 403 THEN 'access-restricted' WHEN http_status IS NOT NULL THEN 'unverified' END"
+_STATUS = "CASE WHEN success AND domain_match THEN 'verified-link' WHEN http_status = 403 THEN 'access-restricted' WHEN http_status IS NOT NULL THEN 'unverified' END"
 
 
 def _status():
-    return F.when(F.col("success") & F.col("domain_match"), "verified-live").when(F.col("http_status") == 403, "access-restricted").when(F.col("http_status").isNotNull(), "unverified")
+    return F.when(F.col("success") & F.col("domain_match"), "verified-link").when(F.col("http_status") == 403, "access-restricted").when(F.col("http_status").isNotNull(), "unverified")
 
 
 @query(f"SELECT id, s AS status FROM (SELECT DISTINCT id, {_STATUS} AS s FROM source_checks) WHERE s LIKE 'verified-%' OR s = 'access-restricted'")
@@ -45,7 +45,7 @@ def checks_verified(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(visibility.verified(F.col("status")))
 
 
-@query(f"SELECT source_id, count(*) AS n FROM (SELECT DISTINCT id, source_id, {_STATUS} AS s FROM source_checks) WHERE s IN ('verified', 'verified-live', 'verified-feed', 'verified-api', 'access-restricted') GROUP BY source_id")
+@query(f"SELECT source_id, count(*) AS n FROM (SELECT DISTINCT id, source_id, {_STATUS} AS s FROM source_checks) WHERE s IN ('verified-primary', 'verified-publisher', 'verified-community', 'verified-link', 'access-restricted') GROUP BY source_id")
 def checks_usable(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "source_checks").select("id", "source_id", _status().alias("status")).distinct()
     return rows.where(visibility.usable(F.col("status"))).groupBy("source_id").agg(F.count("*").alias("n"))
@@ -268,7 +268,7 @@ def clusters_merged(spark: SparkSession, d: str) -> DataFrame:
     return found.select("representative", "size", "sources", F.array_join("alternates", "|").alias("alternates"), F.array_join("tags", "|").alias("tags"))
 
 
-_GOOD = f"(SELECT DISTINCT source_id FROM (SELECT source_id, {_STATUS} AS s, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS r FROM (SELECT DISTINCT * FROM source_checks)) WHERE r = 1 AND s IN ('verified-live', 'access-restricted'))"
+_GOOD = f"(SELECT DISTINCT source_id FROM (SELECT source_id, {_STATUS} AS s, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS r FROM (SELECT DISTINCT * FROM source_checks)) WHERE r = 1 AND s IN ('verified-link', 'access-restricted'))"
 
 
 @query(f"WITH c AS (SELECT id AS member, source_id, min(id) OVER (PARTITION BY k) AS id FROM {_KEYS}), g AS (SELECT * FROM c WHERE source_id IN (SELECT source_id FROM {_GOOD})) SELECT id, member FROM g WHERE id IN (SELECT id FROM g WHERE id = member)")

@@ -58,7 +58,7 @@ def load_sources(spark: SparkSession, path: str | Path, enabled_only: bool = Tru
 
 
 #: Readers by adapter: the module and function that turns a source's payloads into rows.
-ADAPTERS = {"rss": ("siftwell.sources.feeds", "raw_entries"), "wordpress": ("siftwell.sources.feeds", "posts"), "hackernews": ("siftwell.sources.ranked", "stories"), "ranked": ("siftwell.sources.ranked", "ranked_articles"), "listing": ("siftwell.sources.listings", "listed")}
+ADAPTERS = {"rss": ("siftwell.sources.feeds", "raw_entries"), "wordpress": ("siftwell.sources.feeds", "posts"), "hackernews": ("siftwell.sources.ranked", "stories"), "ranked": ("siftwell.sources.ranked", "ranked_articles"), "hot-list": ("siftwell.sources.ranked", "hot_list"), "listing": ("siftwell.sources.listings", "listed")}
 
 
 def reader(adapter: str):
