@@ -301,6 +301,11 @@ class History:
     def pages(self) -> DataFrame:
         return self._read("pages", _PAGES, [p for p in self._below("pages") if p.startswith("part=")])
 
+    def drop(self) -> None:
+        """Deletes the tables; what checks returned stays, as it is at rest elsewhere."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def check(self, batch: DataFrame, times: DataFrame, append_as: str | None = None) -> DataFrame:
         """(accepted_id, id) for the rows of one or more batches that repeat accepted records; the accepted are appended.
 
@@ -417,7 +422,8 @@ def _settled(nodes: pa.Table, edges: pa.Table) -> pa.Table:
 def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(accepted_id, id): the batches of `incoming`, in order, against `items` and what was accepted before.
 
-    Batches that have arrived are checked and appended in lots of `together`; any number gives the same rows.
+    Batches that have arrived are checked and appended in lots of `together`; any number gives the same rows. The history is made for this call and
+    deleted at its end; one that is kept is built, asked and appended to by `History`.
     """
     kept = History.build(items, instants(items, sources))
     times = cut(instants(incoming.select("id", "source_id", "published_at"), sources))
@@ -428,4 +434,5 @@ def repeats(items: DataFrame, incoming: DataFrame, sources: DataFrame, together:
         batch = incoming.where(F.col("batch_id").isin([b for b in lot if b is not None]) | (F.col("batch_id").isNull() & F.lit(None in lot)))
         now = kept.check(batch, times, f"batches-{k}")
         found = now if found is None else found.unionByName(now)
+    kept.drop()
     return found if found is not None else kept.spark.createDataFrame([], "accepted_id long, id long")
