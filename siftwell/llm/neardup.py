@@ -3,14 +3,17 @@
 Each record that takes part is sketched by 256 bits, two of each of 128 minhashes: two records differ in a bit with half
 the share by which their likeness falls short of one. The sketches of a block are a binary trie; the self-join goes down pairs of its
 nodes together, adds up the bits in which the two paths differ, and drops a pair of nodes once the Hamming budget
-is spent. The budget of 86 bits lies 2.7 standard deviations beyond what a pair of likeness 0.5 shows, 3.6 beyond one of 0.55
-and 4.6 beyond one of 0.6. What is left is compared exactly.
+is spent. Of what is left, pairs with fewer than 65 equal pieces (two bits of a minhash) are dropped, and the rest is compared exactly. Equal pieces tell
+more than bits: unrelated pairs of a block pass both a fifth as often as a budget of 86 bits alone, and a pair of likeness 0.5 fails either
+with probability 0.0028 (that budget alone: 0.0032), one of 0.55 with 0.0001, one of 0.6 below 0.00001. Unrelated pairs of a block differ in some 107 bits
+and part from each other within the first twenty or so, where the budget isn't spent: there the walk can drop nothing, and whole nodes are compared at once.
 
 Blocks: records that agree in one of 40 bands of three minhashes, so that the nodes of one trie can meet in one task. A
 pair of likeness 0.5 meets with probability 0.995, one of 0.55 with 0.9993, one of 0.6 with 0.9999. Records of one and the
 same set of sequences are one class: only its representative is joined, and its members are put back at the end.
 A block of more than BLOCK_ROWS rows is split into parts, each pair of parts being its own task; such blocks are found
-by bucket counts first, and no row is left out. Every pair that is compared comes from the walk of the trie. Where no miss may be risked,
+by bucket counts first, and no row is left out. Texts of common phrases meet in blocks that grow with the collection, so compared pairs grow with its
+square, at some 10 ns each. Where no miss may be risked,
 `exact_links` finds the same links over the rarest sequences.
 
 Defined results: records whose summary is null or of fewer than 12 words take no part; repeated rows of one id are one record;
@@ -20,6 +23,7 @@ a pair is given once, smaller id first; a group holds all that pairs connect, is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +36,14 @@ from siftwell.session import cut
 
 BANDS, ROWS, HASHES, BITS = 40, 3, 128, 256
 WORDS = BITS // 64
-BUDGET = 86
+BUDGET, PIECES = 90, 65
 BLOCK_ROWS = 20_000
 BUCKETS = 1 << 16
+ROUNDS = 4
 ODD = 8
 _BITS, _ODDS = [f"w{i}" for i in range(WORDS)], [f"o{i}" for i in range(ODD)]
 _MOST_PAIRS = 1 << 21
+_TILE, _TILED, _GATHERED = 256, 600, 1 << 17
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -85,24 +91,40 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _partings(starts: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """For each row, how deep its path and that of the next row in its block part: 1 to BITS, or 0 where they don't or there is none."""
+    out = np.zeros(len(bits[0]), "int64")
+    for k in range(WORDS - 1, -1, -1):
+        x = bits[k][:-1] ^ bits[k][1:]
+        for by in (1, 2, 4, 8, 16, 32):
+            x |= x >> np.uint64(by)
+        np.copyto(out[:-1], 64 * k + 65 - np.bitwise_count(x).astype("int64"), where=x != 0)
+    out[starts[1:] - 1] = 0
+    return out
+
+
 def trie_pairs(starts: np.ndarray, bits: list[np.ndarray], side: np.ndarray | None = None, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of rows of one block whose sketches differ in at most `budget` bits.
 
     Rows are sorted by block and sketch, so that a trie node is a range of rows; starts: where the blocks begin, and the end.
     side: if given, only pairs of rows with different sides count.
+    A pair of nodes is followed while its rows part, on average, deeper than the budget left reaches. Where they part sooner the walk could drop hardly
+    anything, as a level spends one bit at most, and it costs far more than the rest of all paths compared at once; so do pairs of small nodes.
     """
     lo, hi = starts[:-1], starts[1:]
     more = hi - lo > 1
     stack = [(0, lo[more], hi[more], lo[more], hi[more], np.zeros(int(more.sum()), "int64"))]
+    deep = np.concatenate([[0], np.cumsum(_partings(starts, bits))]) if more.any() else None
     while stack:
         depth, a0, a1, b0, b1, diff = stack.pop()
         if not len(a0):
             continue
-        leaf = ((a1 - a0) * (b1 - b0) == 1) | (depth == BITS)  # below two single rows there are no branches: the rest of both paths is compared at once
+        mean = np.maximum(*((deep[end - 1] - deep[begin]) / np.maximum(1, end - 1 - begin) for begin, end in ((a0, a1), (b0, b1))))
+        leaf = ((a1 - a0) * (b1 - b0) < _TILED) | (diff + mean - depth <= budget) | (depth == BITS)
         if leaf.any():
             yield from _leaves(a0[leaf], a1[leaf], b0[leaf], b1[leaf], bits, side, budget)
             a0, a1, b0, b1, diff = (x[~leaf] for x in (a0, a1, b0, b1, diff))
-        if not len(a0) or depth == BITS:
+        if not len(a0):
             continue
         word, shift = bits[depth // 64], np.uint64(63 - depth % 64)
         ones = np.concatenate([[0], np.cumsum(((word >> shift) & np.uint64(1)).astype("int64"))])
@@ -117,8 +139,20 @@ def trie_pairs(starts: np.ndarray, bits: list[np.ndarray], side: np.ndarray | No
 
 
 def _leaves(a0, a1, b0, b1, bits, side, budget):
-    """Row pairs of leaf pairs, in pieces of bounded size."""
+    """Row pairs of pairs of nodes: large ones by tiles, small ones together in pieces of bounded size."""
     count = (a1 - a0) * (b1 - b0)
+    large = count >= _TILED
+    for p, q, r, s in zip(*(x[large].tolist() for x in (a0, a1, b0, b1)), strict=True):
+        a, b = np.arange(p, q), np.arange(r, s)
+        if side is None:
+            yield from _tiles(a, b, p == r, bits, budget)
+        else:
+            yield from _tiles(a[side[a] == 0], b[side[b] == 1], False, bits, budget)
+            if p != r:
+                yield from _tiles(a[side[a] == 1], b[side[b] == 0], False, bits, budget)
+    a0, a1, b0, b1, count = (x[~large] for x in (a0, a1, b0, b1, count))
+    if not len(count):
+        return
     cuts = np.searchsorted(np.cumsum(count), np.arange(_MOST_PAIRS, count.sum() + _MOST_PAIRS, _MOST_PAIRS), "left") + 1
     for s, e in zip([0, *cuts[:-1]], cuts, strict=True):
         n = count[s:e]
@@ -128,13 +162,30 @@ def _leaves(a0, a1, b0, b1, bits, side, budget):
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = (b1 - b0)[which]
         i, j = a0[which] + k // width, b0[which] + k % width
-        keep = i < j if side is None else (side[i] != side[j])
-        keep &= (a0[which] != b0[which]) | (i < j)
+        keep = (a0[which] != b0[which]) | (i < j)
+        if side is not None:
+            keep &= side[i] != side[j]
         i, j = i[keep], j[keep]
-        near = sum(np.bitwise_count(w[i] ^ w[j]).astype("int64") for w in bits) <= budget
+        near = sum(np.bitwise_count(w[i] ^ w[j]).astype("int16") for w in bits) <= budget
         yield i[near], j[near]
 
 
+def _tiles(a: np.ndarray, b: np.ndarray, own: bool, bits: list[np.ndarray], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of a and b, or of a with itself, in tiles that fit the processor's cache."""
+    x, y = [w[a] for w in bits], [w[b] for w in bits]
+    for s in range(0, len(a), _TILE):
+        for t in range(s if own else 0, len(b), _TILE):
+            far = np.zeros((len(a[s : s + _TILE]), len(b[t : t + _TILE])), "uint16")
+            for v, w in zip(x, y, strict=True):
+                far += np.bitwise_count(v[s : s + _TILE, None] ^ w[None, t : t + _TILE])
+            i, j = np.divmod(np.flatnonzero(far <= budget), far.shape[1])
+            i, j = a[i + s], b[j + t]
+            if own and s == t:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield i, j
+
+
 def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, part, side, id, *_BITS) sorted by key and part: the near pairs of each block."""
     held: list[np.ndarray] | None = None
@@ -156,13 +207,16 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             chosen = (side >= 0)[starts[:-1]] == crossed if len(starts) > 1 else np.empty(0, bool)
             for s, e in _runs(starts, chosen):
-                sub = starts[s : e + 1]
-                for i, j in trie_pairs(sub, bits, side if crossed else None):
-                    x, y = ids[i], ids[j]
-                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                    found = found[found[:, 0] != found[:, 1]]
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["id_a", "id_b"])
+                for i, j in _gathered(trie_pairs(starts[s : e + 1], bits, side if crossed else None)):
+                    near = equal_pieces(bits, i, j) >= PIECES
+                    x, y = ids[i[near]], ids[j[near]]
+                    x, y = np.minimum(x, y), np.maximum(x, y)
+                    order = np.lexsort((y, x))
+                    x, y = x[order], y[order]
+                    keep = x != y
+                    keep[1:] &= (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                    if keep.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["id_a", "id_b"])
 
     for b in batches:
         cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 + WORDS)]
@@ -177,6 +231,25 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from joined(held)
 
 
+def equal_pieces(bits: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the HASHES two-bit pieces of both sketches, how many are equal."""
+    apart = (w[i] ^ w[j] for w in bits)
+    return HASHES - sum(np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).astype("int16") for x in apart)
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in pieces of _GATHERED or more, except the last."""
+    held, n = [], 0
+    for x in found:
+        held.append(x)
+        n += len(x[0])
+        if n >= _GATHERED:
+            yield tuple(np.concatenate(k) for k in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(k) for k in zip(*held, strict=True))
+
+
 def _runs(starts: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int]]:
     """Runs of chosen blocks as (first, after last)."""
     out, s = [], None
@@ -189,24 +262,35 @@ def _runs(starts: np.ndarray, chosen: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(reps: DataFrame) -> DataFrame:
-    """(key, part, side, id, *_BITS), with blocks of more than BLOCK_ROWS rows split into pairs of parts."""
-    rows = reps.select("id", *_BITS, F.posexplode("bands").alias("band", "code"))
-    rows = rows.select((F.shiftleft(F.col("band").cast("long"), 32) + (F.col("code").cast("long") + F.lit(1 << 31))).alias("key"), "id", *_BITS)
-    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+def _keyed(rows: DataFrame, *columns: str, first: int = 0, n: int = BANDS) -> DataFrame:
+    """(key, *columns): each row once for each of n bands from the first."""
+    bands = rows.select(*columns, F.posexplode(F.slice("bands", first + 1, n)).alias("band", "code"))
+    return bands.select((F.shiftleft(F.col("band").cast("long") + F.lit(first), 32) + (F.col("code").cast("long") + F.lit(1 << 31))).alias("key"), *columns)
+
+
+def _hot(reps: DataFrame) -> DataFrame | None:
+    """(key, parts) of the blocks of more than BLOCK_ROWS rows, or None. At most one row for BLOCK_ROWS of the keyed rows, so it may be broadcast."""
+    keys = _keyed(reps)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
     # keys are only counted where their bucket holds enough rows for one to be full; a bucket is a row of a table of at most BUCKETS
-    full = cut(rows.groupBy(bucket.alias("bucket")).count().where(F.col("count") > BLOCK_ROWS).select("bucket"))
-    whole = rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "id", *_BITS)
+    full = cut(keys.groupBy(bucket).count().where(F.col("count") > BLOCK_ROWS).select("bucket"))
     if full.isEmpty():
-        return whole
-    counts = rows.select("key", bucket.alias("bucket")).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
-    hot = counts.select("key", F.ceil(F.col("count") / (BLOCK_ROWS // 2)).cast("int").alias("parts"))
-    split = rows.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        return None
+    counts = keys.select("key", bucket).join(F.broadcast(full), "bucket", "left_semi").groupBy("key").count().where(F.col("count") > BLOCK_ROWS)
+    hot = cut(counts.select("key", F.ceil(F.col("count") / (BLOCK_ROWS // 2)).cast("int").alias("parts")), freed=True)
+    return None if hot.isEmpty() else hot
+
+
+def _blocks(reps: DataFrame, hot: DataFrame | None, first: int = 0, n: int = BANDS) -> DataFrame:
+    """(key, part, side, id, *_BITS) of n bands from the first, with hot blocks split into pairs of parts."""
+    rows = _keyed(reps, "id", *_BITS, first=first, n=n)
+    if hot is None:
+        return rows.select("key", F.lit(0).alias("part"), F.lit(-1).alias("side"), "id", *_BITS)
+    split = rows.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    split = split.select("key", (low * F.col("parts") + high).alias("part"), side.alias("side"), "id", *_BITS)
-    return whole.join(hot, "key", "left_anti").unionByName(split)
+    return split.select("key", (low * F.col("parts") + high).alias("part"), side.alias("side"), "id", *_BITS)
 
 
 def classes(records: DataFrame) -> DataFrame:
@@ -248,11 +332,14 @@ def exact_links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, Data
 def links(records: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of each record that takes part, and (rep_a, rep_b) of the classes that are alike."""
     found = classes(records)
-    reps = found.groupBy("one", "two").agg(F.min("id").alias("rep"), F.min_by(F.struct(*_BITS, "bands"), "id").alias("x"))
-    members = found.select("id", "one", "two").distinct().join(reps.select("rep", "one", "two"), ["one", "two"]).select("id", "rep")
-    blocks = _blocks(reps.select(F.col("rep").alias("id"), "x.*"))
-    near = blocks.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long").distinct()
-    near = cut(_may_be_alike(near, found, like))
+    reps = found.groupBy("one", "two").agg(F.min("id").alias("id"), F.min_by(F.struct(*_BITS, "bands"), "id").alias("x"))
+    reps = cut(reps.select("one", "two", "id", "x.*"), freed=True)
+    members = found.select("id", "one", "two").distinct().join(reps.select(F.col("id").alias("rep"), "one", "two"), ["one", "two"]).select("id", "rep")
+    hot, n = _hot(reps), BANDS // ROUNDS
+    # some bands at a time, as the keyed rows of all are several times the input
+    rounds = [_blocks(reps, hot, k, n).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_join_rows, "id_a long, id_b long") for k in range(0, BANDS, n)]
+    near = reduce(DataFrame.union, [cut(x, freed=True) for x in rounds]).distinct()
+    near = cut(_may_be_alike(near, found, like), freed=True)
     alike = with_likeness(near, records).where(F.col("likeness") >= like)
     return members, alike.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b")).distinct()
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 
@@ -106,6 +107,40 @@ def test_trie_join_equals_all_pairs():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_unrelated_rows_of_a_large_block_cost_little():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 2**63, (5000, 4), dtype="uint64")
+    rows[1::50] = rows[::50] ^ np.uint64(1)  # near ones among them
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    bits = [np.ascontiguousarray(rows[:, k]) for k in range(4)]
+    began = time.process_time()
+    got = {(min(i, j), max(i, j)) for x, y in neardup.trie_pairs(np.array([0, 5000]), bits, budget=60) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    assert time.process_time() - began < 1.5  # followed bit by bit, 12.5 million pairs took over 5 s
+    want = {(i, i + 1 + int(j)) for i in range(4999) for j in np.flatnonzero(sum(np.bitwise_count(w[i] ^ w[i + 1 :]).astype(int) for w in bits) <= 60)}
+    assert got == want and len(want) >= 100
+
+
+def test_pairs_of_two_sides_in_large_nodes(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = np.repeat(rng.integers(0, 2**63, (20, 4), dtype="uint64"), 8, 0) ^ (np.uint64(1) << rng.integers(0, 64, (160, 4), dtype="uint64"))
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    side, bits = rng.integers(0, 2, 160), [np.ascontiguousarray(rows[:, k]) for k in range(4)]
+    want = {(i, j) for i, j in itertools.combinations(range(160), 2) if side[i] != side[j] and sum(int(w[i] ^ w[j]).bit_count() for w in bits) <= 40}
+    for tiled, tile in ((1, 7), (600, 256), (10**9, 256)):
+        monkeypatch.setattr(neardup, "_TILED", tiled)
+        monkeypatch.setattr(neardup, "_TILE", tile)
+        got = [(min(i, j), max(i, j)) for x, y in neardup.trie_pairs(np.array([0, 160]), bits, side, 40) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_bands_in_rounds_meet_alike(spark, monkeypatch):
+    rows, got = corpus(8, 15), []
+    for n in (1, 8):
+        monkeypatch.setattr(neardup, "ROUNDS", n)
+        got.append({tuple(r) for r in neardup.pairs(items(spark, rows)).collect()})
+    assert got[0] == got[1] == brute(rows)
+
+
 def test_gram_sets():
     rows, offsets, grams = gram_sets([["a", "b", "a", "b"], None, ["x"], ["a", "b"]])
     assert rows.tolist() == [0, 3] and np.diff(offsets).tolist() == [2, 1] and grams[offsets[1]] in grams[: offsets[1]]
