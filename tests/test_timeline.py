@@ -100,3 +100,19 @@ def test_sparse_ids_fill_blocks_like_dense_ones(spark, monkeypatch):
         assert 5 <= len(blocks) <= 10 and max(b["count"] for b in blocks) <= 16
         out.append({(r["id"] + spread) // spread: r["utc_us"] for r in timeline.choose(found).collect()})
     assert out[0] == out[1] and len(out[0]) == 60
+
+
+def test_a_clock_time_shown_twice_has_both_readings(spark):
+    first = int(datetime(2025, 11, 2, 5, 30, tzinfo=UTC).timestamp()) * 10**6
+    assert [(u - first, c) for u, _, c in interpretations("2025-11-02 01:30:00", NY)] == [(0, 0.0), (3600 * 10**6, CONVENTION)]
+    assert [c for *_, c in interpretations("25/10/2025 02:30", ZoneInfo("Europe/Paris"))] == [0.0]
+    assert len(interpretations("2025-03-09 02:30:00", NY)) == 1 and len(interpretations("2025-11-02 01:30:00 EDT", NY)) == 1  # skipped, and told by its zone
+    assert [c for *_, c in interpretations("26/10/2025 02:30", ZoneInfo("Europe/Paris"))] == [0.0, CONVENTION]  # no month 26: what is left is ranked anew
+    rows = [(k, "a", f"2025-11-02 {t}:00") for k, t in enumerate(("00:50", "01:10", "01:40", "01:10", "01:50", "02:05"))]
+    items, sources = spark.createDataFrame(rows, "id long, source_id string, published_at string"), spark.createDataFrame(SOURCES, "id string, time_zone string")
+    hours = {}
+    for convention in (CONVENTION, 0.0):
+        got = {r["id"]: (r["utc_us"] - first) / 60e6 for r in timeline.instants(items, sources, convention).collect()}
+        hours[convention] = [got[k] for k in range(6)]
+    assert hours[CONVENTION] == [-40, -20, 10, -20, 20, 95]  # TESTDATA: the first counts
+    assert hours[0.0] == [-40, -20, 10, 40, 80, 95]  # context: time runs on
